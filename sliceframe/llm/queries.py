@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from sliceframe.llm import decontaminate, mixing, quality_rules
+from sliceframe.llm import chat, decontaminate, mixing, pii, quality_rules, tokens
 from sliceframe.llm.common import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark, sf_dir):
+    return chat.query(table(spark, sf_dir, "conversations"))
+
+
+def op5_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return tokens.query(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,8 +33,8 @@ def op9_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op6_quality_rules, op8_benchmark_decontamination, op9_mixing)}
+    return {f.__name__: f for f in (op1_pii, op4_chat_formatting, op5_token_counts, op6_quality_rules, op8_benchmark_decontamination, op9_mixing)}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_chat_formatting": chat.ORACLE}
