@@ -27,15 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir`` as it is.
 
-    The session's ``spark.checkpoint.dir`` is used as it is; only where none is
-    set (as in tests) a local one is chosen.
+    Only where none is set (as in tests) a local one is chosen.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -51,3 +56,8 @@ def words(text: Column) -> Column:
 
 def count_matches(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint, if a count shows at most ``rows`` rows; give it a table that is cheap to read."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

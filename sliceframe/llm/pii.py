@@ -28,7 +28,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import WORD, durable
+from sliceframe.llm.common import WORD, durable, few
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,11 +164,6 @@ def _apply(texts, terms):
     return pa.array(rows, type=pa.struct([("spans", pa.list_(span)), ("text", pa.string())]))
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint, if a count shows that there are few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, min_bits: float = 6.0, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(h, entity) of every text with entities, and (entity, term, how) of disclosing terms."""
     h = F.xxhash64(F.col(f"`{text}`"))

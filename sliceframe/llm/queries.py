@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sliceframe.llm import chat, decontaminate, mixing, pii, quality_rules, tokens
+from sliceframe.llm import chat, decontaminate, mixing, ngram_join, pii, quality_rules, tokens
 from sliceframe.llm.common import table
 
 
@@ -32,8 +32,12 @@ def op9_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.query(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii, op4_chat_formatting, op5_token_counts, op6_quality_rules, op8_benchmark_decontamination, op9_mixing)}
+    return {f.__name__: f for f in (op1_pii, op4_chat_formatting, op5_token_counts, op6_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_ngram_jaccard_join)}
 
 
 def oracle_sql():
