@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sliceframe.llm import chat, decontaminate, mixing, ngram_join, pii, quality_rules, tokens
+from sliceframe.llm import chat, decontaminate, mixing, ngram_join, pii, quality_rules, substring_dedup, tokens
 from sliceframe.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_pii(spark, sf_dir):
     return pii.query(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.query(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark, sf_dir):
     return chat.query(table(spark, sf_dir, "conversations"))
 
@@ -37,8 +41,8 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op4_chat_formatting, op5_token_counts, op6_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_pii, op3_substring_dedup, op4_chat_formatting, op5_token_counts, op6_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_ngram_jaccard_join)}
 
 
 def oracle_sql():
-    return {"op4_chat_formatting": chat.ORACLE}
+    return {"op3_substring_dedup": substring_dedup.ORACLE, "op4_chat_formatting": chat.ORACLE}
