@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sliceframe.llm import chat, decontaminate, mixing, ngram_join, pii, quality_rules, substring_dedup, tokens
+from sliceframe.llm import chat, cotraining, decontaminate, license_rules, mixing, ngram_join, pii, quality_rules, substring_dedup, tokens
 from sliceframe.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_pii(spark, sf_dir):
     return pii.query(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_rules.query(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.query(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return cotraining.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +49,7 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op3_substring_dedup, op4_chat_formatting, op5_token_counts, op6_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_pii, op2_license_scan, op3_substring_dedup, op4_chat_formatting, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_benchmark_decontamination, op9_mixing, op10_ngram_jaccard_join)}
 
 
 def oracle_sql():
