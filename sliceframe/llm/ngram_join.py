@@ -4,7 +4,8 @@ A text's set of distinct word shingles is also a point: tokens are hashed into
 ``GROUPS`` groups, and a coordinate is the number of shingles in a group. Two
 sets share at most the sum of coordinate minima, so an R-tree over the points
 prunes every subtree whose box cannot reach the overlap that the threshold
-asks for; surviving pairs are verified on the words themselves.
+asks for. Surviving pairs meet the same bound on finer counts (their parities in
+``BITS`` groups), and are then verified on the words themselves.
 
 To let no tree grow with the corpus, trees are built over blocks: documents that
 share a shingle of their prefix. With one global order of shingles, sets of
@@ -39,9 +40,9 @@ from sliceframe.llm.common import LOWER_TABLE, durable, few
 from sliceframe.llm.components import components
 
 N, PERCENT = 5, 80
-GROUPS = 32
-HEAVY = 0.004
-PIVOTS, SALT_ROWS, BLOCK, LEAF = 4, 4096, 8192, 16
+GROUPS, BITS = 128, 4096
+HEAVY = 0.002
+PIVOTS, SALT_ROWS, SALTS, BLOCK, LEAF, FAN = 4, 4096, 64, 8192, 64, 8
 FEATURES = "kind int, id long, cid long, n int, vec binary, k1 long, k2 long, k3 long"
 
 
@@ -111,7 +112,8 @@ def features(batches):
             if not len(s):
                 rows.append((0, i, 0, 0, None, None, None, None))
                 continue
-            vec = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
+            vec = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+            vec = vec.astype("u1" if vec.max() < 256 else "<u4")
             low = s[:3].view(np.int64).tolist()
             rows.append((0, i, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), vec.tobytes(), *(low + [None] * 3)[:3]))
             pending.append(s)
@@ -135,6 +137,38 @@ def packer(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "blob"])
 
 
+def signature(s) -> bytes:
+    """Parities of the numbers of shingles in BITS groups: sets differ in at least as many shingles as signatures in bits."""
+    import numpy as np
+
+    return np.packbits((np.bincount(((s >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
+def signer(batches):
+    """Adds the signature to (id, cid, text), and packs the text."""
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, cids, texts = columns_of(batch)
+        sig = pa.array([signature(shingles(t)) for t in texts], type=pa.binary())
+        packed = next(packer([batch]))
+        yield pa.RecordBatch.from_arrays([batch.column(1), sig, packed.column(2)], names=["cid", "sig", "blob"])
+
+
+def unsigned(batches):
+    """(a, b, n, m, x, y) with sizes and signatures to the pairs that may still link."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        a, b, n, m = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8) for k in (4, 5))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        # The overlap is at most (n + m - apart) / 2, and the union then (n + m + apart) / 2.
+        ok = 100 * (n + m - apart) >= PERCENT * (n + m + apart)
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+
 def unpacked(blob: bytes) -> bytes:
     import zstandard
 
@@ -164,7 +198,7 @@ def pivots(batches):
 
 def prefixes(heavy):
     def emit(batches):
-        """(text, comp) to a row (key, comp, cid) for each shingle of the prefix."""
+        """(text, comp) to a row (key, salt, comp, cid) for each shingle of the prefix; only frequent ones are salted."""
         import numpy as np
         import pyarrow as pa
         import xxhash
@@ -173,33 +207,70 @@ def prefixes(heavy):
         for batch in batches:
             texts, comps = columns_of(batch)
             for at in range(0, len(texts), 1000):
-                keys, sizes, cs, ds = [], [], [], []
+                keys, sizes, cs, ds, salts = [], [], [], [], []
                 for t, comp in zip(texts[at : at + 1000], comps[at : at + 1000]):
                     s = shingles(t)
                     if not len(s):
                         continue
                     cid = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
                     p = len(s) - need(len(s)) + 1
+                    free = p
                     if len(last):
                         late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                        free = min(p, int((~late).sum()))
                         s = np.concatenate([s[~late][:p], s[late]])
                     keys.append(s[:p])
+                    salts += [np.full(free, -1), np.full(p - free, cid % SALTS)]
                     sizes.append(p)
                     cs.append(cid if comp is None else comp)
                     ds.append(cid)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cs, dtype=np.int64), sizes)), pa.array(np.repeat(np.array(ds, dtype=np.int64), sizes))], names=["key", "comp", "cid"])
+                    each = [np.concatenate(keys).view(np.int64), np.concatenate(salts).astype(np.int32), np.repeat(np.array(cs, dtype=np.int64), sizes), np.repeat(np.array(ds, dtype=np.int64), sizes)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in each], names=["key", "salt", "comp", "cid"])
 
     return emit
 
 
+def shared_keys(batches):
+    """(key, salt, comp, cid) in order of key and salt to distinct (key, comp, cid, m).
+
+    Unsalted keys stay if they have two components, and m counts their rows; rows of salted keys all stay, without m.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def solve(rows):
+        rows = np.unique(rows, axis=0)
+        edge = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        starts = np.array([0, *edge])
+        size = np.diff([*starts, len(rows)])
+        several = np.minimum.reduceat(rows[:, 2], starts) != np.maximum.reduceat(rows[:, 2], starts)
+        keep = np.repeat(several | (rows[starts, 1] >= 0), size)
+        m = pa.array(np.repeat(size, size)[keep], mask=rows[keep, 1] >= 0)
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[keep, k]) for k in (0, 2, 3)), m], names=["key", "comp", "cid", "m"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        rows = rows if held is None else np.concatenate([held, rows])
+        cut = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        held = rows[cut:]
+        if cut:
+            yield solve(rows[:cut])
+    if held is not None:
+        yield solve(held)
+
+
 class CountTree:
-    """R-tree over count vectors, bulk-loaded by recursive splits of the widest coordinate."""
+    """R-tree over count vectors (column 0: the size), bulk-loaded by halving the widest coordinate."""
 
     def __init__(self, points):
         import numpy as np
 
-        self.points, order, stack, leaves = points, [], [np.arange(len(points))], []
+        order, stack, leaves = [], [np.arange(len(points))], []
         while stack:
             part = stack.pop()
             if len(part) <= LEAF:
@@ -211,42 +282,69 @@ class CountTree:
             axis = int(np.argmax(p.max(axis=0) - p.min(axis=0)))
             part = part[np.argsort(p[:, axis], kind="stable")]
             stack += [part[len(part) // 2 :], part[: len(part) // 2]]
-        self.order = np.array(order)
-        packed = points[self.order]
-        low = np.array([packed[a:b].min(axis=0) for a, b in leaves])
-        high = np.array([packed[a:b].max(axis=0) for a, b in leaves])
-        # Levels from leaves to root; a node's children are LEAF consecutive nodes below.
-        self.spans, self.levels = np.array(leaves), [(low, high)]
-        while len(self.levels[-1][0]) > LEAF:
+        self.order, self.spans = np.array(order), np.array(leaves)
+        self.points = points[self.order]
+        low = np.array([self.points[a:b].min(axis=0) for a, b in leaves])
+        high = np.array([self.points[a:b].max(axis=0) for a, b in leaves])
+        # Levels from leaves to root; a node's children are FAN consecutive nodes below.
+        self.levels = [(low, high)]
+        while len(self.levels[-1][0]) > FAN:
             low, high = self.levels[-1]
-            cuts = range(0, len(low), LEAF)
-            self.levels.append((np.array([low[i : i + LEAF].min(axis=0) for i in cuts]), np.array([high[i : i + LEAF].max(axis=0) for i in cuts])))
+            cuts = range(0, len(low), FAN)
+            self.levels.append((np.array([low[i : i + FAN].min(axis=0) for i in cuts]), np.array([high[i : i + FAN].max(axis=0) for i in cuts])))
 
-    def search(self, q):
-        """Indexes of points that may reach the threshold with q; column 0 is the size."""
+    def leaves_near(self, leaf: int):
+        """Leaves from ``leaf`` on whose boxes may hold a partner of a point in its box."""
         import numpy as np
 
+        low, high = (x[leaf : leaf + 1] for x in self.levels[0])
         nodes = np.arange(len(self.levels[-1][0]))
         for k in range(len(self.levels) - 1, -1, -1):
-            low, high = self.levels[k]
-            nodes = nodes[possible(q, low[nodes], high[nodes])]
+            lows, highs = self.levels[k]
+            nodes = nodes[possible(low, high, lows[nodes], highs[nodes])[0]]
             if k:
-                nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
+                nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
                 nodes = nodes[nodes < len(self.levels[k - 1][0])]
-        if not len(nodes):
-            return nodes
-        at = self.order[np.concatenate([np.arange(a, b) for a, b in self.spans[nodes]])]
-        return at[possible(q, self.points[at], self.points[at])]
+        return nodes[nodes >= leaf]
+
+    def pairs(self):
+        """Arrays (i, j) of points that may reach the threshold together, each pair once."""
+        import numpy as np
 
+        for leaf, (a, b) in enumerate(self.spans):
+            for other in self.leaves_near(leaf):
+                c, d = self.spans[other]
+                p, q = self.points[a:b], self.points[c:d]
+                hit = possible(p, p, q, q)
+                if other == leaf:
+                    hit = np.triu(hit, 1)
+                i, j = np.nonzero(hit)
+                if len(i):
+                    yield self.order[a + i], self.order[c + j]
 
-def possible(q, low, high):
-    """Whether a box may hold a set that links with q: sizes, then overlap bounded by summed minima."""
+
+def bound(high, highs, low=None, lows=None):
+    """Row by row: whether sets of these points (or boxes) may link, by sizes and summed coordinate minima."""
     import numpy as np
 
-    n = q[0]
-    fits = (high[:, 0] * 100 >= PERCENT * n) & (low[:, 0] * PERCENT <= 100 * n)
-    most = np.minimum(q[1:], high[:, 1:]).sum(axis=1)
-    return fits & (most * (100 + PERCENT) >= PERCENT * (n + np.maximum(low[:, 0], -(-PERCENT * n // 100))))
+    out = np.zeros(len(high), dtype=bool)
+    for at in range(0, len(high), 4096):
+        p, q = high[at : at + 4096], highs[at : at + 4096]
+        n, m = (x[at : at + 4096, 0].astype(np.int64) for x in ((high, highs) if low is None else (low, lows)))
+        fits = np.flatnonzero((q[:, 0].astype(np.int64) * 100 >= PERCENT * n) & (m * PERCENT <= 100 * p[:, 0].astype(np.int64)))
+        n, m = n[fits], m[fits]
+        least = np.maximum(n, -(-PERCENT * m // 100)) + np.maximum(m, -(-PERCENT * n // 100))
+        most = np.minimum(p[fits, 1:], q[fits, 1:]).sum(axis=1, dtype=np.int64)
+        out[at + fits] = most * (100 + PERCENT) >= PERCENT * least
+    return out
+
+
+def possible(low, high, lows, highs):
+    """The bound for each of one list of boxes and each of another, as a matrix."""
+    import numpy as np
+
+    i, j = (x.ravel() for x in np.indices((len(low), len(lows))))
+    return bound(high[i], highs[j], low[i], lows[j]).reshape(len(low), len(lows))
 
 
 def block_pairs(batches):
@@ -254,40 +352,69 @@ def block_pairs(batches):
     import numpy as np
     import pyarrow as pa
 
-    group, rows, done = None, [], set()
-
-    def close():
+    done: set = set()
+    held = None
+
+    def arrays(batch):
+        vec = batch.column(7)
+        vec = vec.to_pylist()
+        if all(len(v) == GROUPS for v in vec):
+            flat = np.frombuffer(b"".join(vec), dtype="u1").reshape(-1, GROUPS).astype(np.uint32)
+        else:
+            flat = np.stack([np.frombuffer(v, dtype="u1" if len(v) == GROUPS else "<u4").astype(np.uint32) for v in vec])
+        ints = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)
+        return ints, flat
+
+    def solve(ints, flat):
+        edge = np.flatnonzero((ints[1:, :3] != ints[:-1, :3]).any(axis=1)) + 1
+        starts, ends = np.array([0, *edge]), np.array([*edge, len(ints)])
+        points = np.concatenate([ints[:, 6:7].astype(np.uint32), flat], axis=1)
         out = []
-        if group is None or len({r[1] for r in rows}) < 2:
-            return out
-        points = np.array([[r[3], *np.frombuffer(r[4], dtype="<u4")] for r in rows], dtype=np.int64)
-        chunk, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        tree = CountTree(points)
-        for i, q in enumerate(points):
-            hit = tree.search(q)
-            hit = hit[(hit > i) & (comp[hit] != comp[i])]
-            if group[1] != group[2]:
-                hit = hit[chunk[hit] != chunk[i]]
-            for j in hit.tolist():
-                pair = (rows[i][2], rows[j][2]) if rows[i][2] < rows[j][2] else (rows[j][2], rows[i][2])
-                if pair not in done:
-                    if len(done) > 500_000:
-                        done.clear()
-                    done.add(pair)
-                    out.append(pair)
-        return out
-
-    def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        def keep(i, j, bounded):
+            """Pairs of rows, across components (and chunks, if the block is dealt out), each pair of classes once."""
+            ok = (ints[i, 4] != ints[j, 4]) & ((ints[i, 1] == ints[i, 2]) | (ints[i, 3] != ints[j, 3]))
+            i, j = i[ok], j[ok]
+            ids = np.sort(np.stack([ints[i, 5], ints[j, 5]], axis=1), axis=1)
+            ids, first = np.unique(ids, axis=0, return_index=True)
+            if not bounded:
+                ids = ids[bound(points[i[first]], points[j[first]])]
+            out.append(ids)
+
+        for m in np.unique(ends - starts):
+            at = starts[ends - starts == m]
+            if m > LEAF:
+                for a in at:
+                    if (ints[a : a + m, 4] != ints[a, 4]).any():
+                        for i, j in CountTree(points[a : a + m]).pairs():
+                            keep(a + i, a + j, True)
+            elif m > 1:
+                # A block that fits a leaf is one; leaves of a size are joined together.
+                i, j = np.triu_indices(m, 1)
+                step = max(1, (1 << 19) // len(i))
+                for k in range(0, len(at), step):
+                    keep((at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel(), False)
+        new = np.unique(np.concatenate(out), axis=0).tolist() if out else []
+        new = [p for p in map(tuple, new) if p not in done]
+        if len(done) > 300_000:
+            done.clear()
+        done.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for key, ca, cb, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, ca, cb) != group:
-                if out := close():
-                    yield batch_of(out)
-                group, rows = (key, ca, cb), []
-            rows.append(row)
-    yield batch_of(close())
+        if not batch.num_rows:
+            continue
+        ints, flat = arrays(batch)
+        if held is not None:
+            ints, flat = np.concatenate([held[0], ints]), np.concatenate([held[1], flat])
+        # The last block may go on in the next batch.
+        cut = np.flatnonzero((ints[:, :3] != ints[-1, :3]).any(axis=1))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        held = ints[cut:], flat[cut:]
+        if cut:
+            yield solve(ints[:cut], flat[:cut])
+    if held is not None:
+        yield solve(*held)
 
 
 def checked(batches):
@@ -344,9 +471,13 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_
 
     members = durable(usable.select("id", "cid").join(roots, F.col("cid") == F.col("node")).groupBy("id").agg(F.min("root").alias("comp")))
     marked = docs.join(few(members, broadcast_rows), "id", "left").where("id is not null").select("text", "comp")
-    prefix = marked.mapInArrow(prefixes(spark.sparkContext.broadcast(last)), "key long, comp long, cid long")
-    shared = durable(prefix.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m"))
-    rows = durable(prefix.join(few(shared, broadcast_rows), "key").distinct())
+    prefix = marked.mapInArrow(prefixes(spark.sparkContext.broadcast(last)), "key long, salt int, comp long, cid long")
+    # Other keys are in fewer than HEAVY of all documents, so only the salted ones could fill a task.
+    dealt = prefix.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt")
+    rows = durable(dealt.mapInArrow(shared_keys, "key long, comp long, cid long, m long"))
+    salted = rows.where("m is null").drop("m")
+    mixed = salted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
+    rows = rows.where("m is not null").unionByName(salted.join(mixed, "key"))
     chunks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cid"), chunks).cast("int")
     dealt = rows.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
@@ -357,9 +488,13 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_
 
     ids = classes.select("cid", "id")
     sides = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(ids, "cid").select("id", "cid")
-    packed = durable(texts_of(docs, durable(sides), "id long, cid long, blob binary", broadcast_rows).groupBy("cid").agg(F.first("blob").alias("blob")))
+    near = docs.join(few(durable(sides), broadcast_rows), "id").select("id", "cid", "text")
+    packed = durable(near.mapInArrow(signer, "cid long, sig binary, blob binary").dropDuplicates(["cid"]))
+    sized = packed.select("cid", "sig").join(classes.select("cid", "n"), "cid")
+    x, y = (sized.toDF(c, f"sig_{c}", f"n_{c}") for c in ("a", "b"))
+    pairs = durable(pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(unsigned, "a long, b long"))
     x, y = (packed.select(F.col("cid").alias(c), F.col("blob").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    verified = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long")
+    verified = (pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"))
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified))
 
     named = usable.select("id", "cid").distinct().join(final, F.col("cid") == F.col("node"), "left").select("id", F.coalesce("root", "cid").alias("root"))
