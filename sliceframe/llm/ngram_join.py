@@ -16,9 +16,9 @@ number is bounded by the mean set size over ``HEAVY``.
 
 Large groups of near copies need no pairs:
  1. equal sets collapse to one class;
- 2. classes that share their smallest shingle are compared with a few pivots
-    each (hot groups are salted), then the pivots' components are compared by
-    further shingles;
+ 2. classes that share their smallest shingle are compared with at most PIVOTS of
+    their group (hot groups are salted), then the groups' representatives are
+    compared by further shingles;
  3. blocks keep only documents of different components, and a block beyond
     ``BLOCK`` rows is dealt out as pairs of chunks;
  4. components of all verified links are joined.
@@ -40,9 +40,9 @@ from sliceframe.llm.common import LOWER_TABLE, durable, few
 from sliceframe.llm.components import components
 
 N, PERCENT = 5, 80
-GROUPS, BITS = 128, 4096
+GROUPS, BITS = 512, 4096
 HEAVY = 0.002
-PIVOTS, SALT_ROWS, SALTS, BLOCK, LEAF, FAN = 4, 4096, 64, 8192, 64, 8
+PIVOTS, SALT_ROWS, SALTS, BLOCK, LEAF, FAN = 48, 4096, 64, 8192, 64, 8
 FEATURES = "kind int, id long, cid long, n int, vec binary, k1 long, k2 long, k3 long"
 
 
@@ -186,13 +186,11 @@ def pivots(batches):
             if (key, salt) != group:
                 group, known = (key, salt), []
             s = shingles(unpacked(blob))
-            for other, t in known:
-                if linked(s, t):
-                    out.append((cid, other))
-                    break
-            else:
-                if len(known) < PIVOTS:
-                    known.append((cid, s))
+            links = [other for other, t in known if linked(s, t)]
+            out += [(cid, other) for other in links]
+            # Early members stay as pivots even if they link: not all copies are as near to one as to another.
+            if len(known) < PIVOTS and (not links or len(known) < PIVOTS // 2):
+                known.append((cid, s))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -462,7 +460,8 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_
     same = same.join(same.groupBy("id").agg(F.min("cid").alias("b")), "id").select(F.col("cid").alias("a"), "b")
 
     one = star_links(docs, classes.select("id", F.col("k1").alias("key"), "cid"), broadcast_rows)
-    comp = classes.join(one, classes["cid"] == one["a"], "left").select("cid", "id", "k1", "k2", "k3", F.coalesce("b", "cid").alias("comp"))
+    first_of = one.groupBy("a").agg(F.min("b").alias("b"))
+    comp = classes.join(first_of, classes["cid"] == first_of["a"], "left").select("cid", "id", "k1", "k2", "k3", F.coalesce("b", "cid").alias("comp"))
     keyed = comp.select("cid", "id", "comp", F.explode(F.array("k1", "k2", "k3")).alias("key")).where("key is not null")
     again = keyed.groupBy("key", "comp").agg(F.min(F.struct("cid", "id")).alias("x")).select("x.id", "key", "x.cid")
     two = star_links(docs, again, broadcast_rows)
