@@ -150,18 +150,21 @@ def sanitised(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
-@F.arrow_udf(f"spans {SPANS}, text string")
-def _apply(texts, terms):
-    import pyarrow as pa
+def applier():
+    @F.arrow_udf(f"spans {SPANS}, text string")
+    def apply(texts, terms):
+        import pyarrow as pa
+
+        rows = []
+        for t, ds in zip(texts.to_pylist(), terms.to_pylist()):
+            base = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t or "")]
+            if ds:
+                base += term_spans(t or "", base, {d["term"]: d["how"] for d in ds})
+            rows.append({"spans": base, "text": sanitised(t, base) if t and base else t})
+        span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        return pa.array(rows, type=pa.struct([("spans", pa.list_(span)), ("text", pa.string())]))
 
-    rows = []
-    for t, ds in zip(texts.to_pylist(), terms.to_pylist()):
-        base = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t or "")]
-        if ds:
-            base += term_spans(t or "", base, {d["term"]: d["how"] for d in ds})
-        rows.append({"spans": base, "text": sanitised(t, base) if t and base else t})
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    return pa.array(rows, type=pa.struct([("spans", pa.list_(span)), ("text", pa.string())]))
+    return apply
 
 
 def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, min_bits: float = 6.0, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +194,7 @@ def sanitise(docs: DataFrame, *, text: str = "text", out: str = "pii", broadcast
     kept = [c for c in docs.columns if c != out]
     keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(f"`{text}`")).alias("_h"))
     joined = keyed.join(by_text.withColumnRenamed("h", "_h"), "_h", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], _apply(F.col(f"`{text}`"), F.col("_terms")).alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], applier()(F.col(f"`{text}`"), F.col("_terms")).alias(out))
 
 
 def stage(spark, docs: DataFrame) -> DataFrame:

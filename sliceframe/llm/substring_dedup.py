@@ -258,16 +258,19 @@ def cut(words: list[bytes], found) -> tuple[bytes, int]:
     return b" ".join([w for w, x in zip(words, gone.tolist()) if not x]), int(gone.sum())
 
 
-@F.arrow_udf("n_words long, n_removed long, kept string")
-def _cut(texts, found):
-    import pyarrow as pa
+def cutter():
+    @F.arrow_udf("n_words long, n_removed long, kept string")
+    def apply(texts, found):
+        import pyarrow as pa
+
+        rows = []
+        for t, f in zip(texts.cast(pa.binary()).to_pylist(), found.to_pylist()):
+            w = words_of(t)
+            kept, n = cut(w, f)
+            rows.append({"n_words": len(w), "n_removed": n, "kept": kept.decode("utf-8", "replace")})
+        return pa.array(rows, type=pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
-    rows = []
-    for t, f in zip(texts.cast(pa.binary()).to_pylist(), found.to_pylist()):
-        w = words_of(t)
-        kept, n = cut(w, f)
-        rows.append({"n_words": len(w), "n_removed": n, "kept": kept.decode("utf-8", "replace")})
-    return pa.array(rows, type=pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+    return apply
 
 
 def dedup(docs: DataFrame, *, text: str = "text", out: str = "dedup", broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -294,7 +297,7 @@ def dedup(docs: DataFrame, *, text: str = "text", out: str = "dedup", broadcast_
     kept = [c for c in docs.columns if c != out]
     keyed = docs.select(*[F.col(f"`{c}`") for c in kept], h.alias("_h"), g.alias("_g"))
     joined = keyed.join(found.withColumnsRenamed({"h": "_h", "g": "_g"}), ["_h", "_g"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], _cut(t, F.col("_found")).alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], cutter()(t, F.col("_found")).alias(out))
 
 
 def query(docs: DataFrame) -> DataFrame:
