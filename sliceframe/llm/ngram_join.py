@@ -42,7 +42,7 @@ from sliceframe.llm.components import components
 N, PERCENT = 5, 80
 GROUPS, BITS = 512, 4096
 HEAVY = 0.002
-PIVOTS, SALT_ROWS, SALTS, BLOCK, LEAF, FAN = 48, 4096, 64, 8192, 64, 8
+PIVOTS, SALT_ROWS, SALTS, BLOCK, LEAF, FAN = 48, 4096, 64, 4096, 64, 8
 FEATURES = "kind int, id long, cid long, n int, vec binary, k1 long, k2 long, k3 long"
 
 
@@ -117,11 +117,14 @@ def features(batches):
             low = s[:3].view(np.int64).tolist()
             rows.append((0, i, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), vec.tobytes(), *(low + [None] * 3)[:3]))
             pending.append(s)
-        floor = max(8, int(HEAVY / 2 * len(ids)))
-        if len(ids) >= 200 and pending:
-            u, c = np.unique(np.concatenate(pending), return_counts=True)
-            counts = dict(zip(u[c >= floor].view(np.int64).tolist(), c[c >= floor].tolist()))
+        for at in range(0, len(pending), 4000):
+            part = pending[at : at + 4000]
+            u, c = np.unique(np.concatenate(part), return_counts=True)
+            often = c >= max(8, int(HEAVY / 2 * len(part)))
+            for k, v in zip(u[often].view(np.int64).tolist(), c[often].tolist()):
+                counts[k] = counts.get(k, 0) + v
         rows += [(1, None, k, v, None, None, None, None) for k, v in counts.items()]
+        del pending
         yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], type=k) for k in kinds], names=names)
 
 
@@ -326,9 +329,9 @@ def bound(high, highs, low=None, lows=None):
     import numpy as np
 
     out = np.zeros(len(high), dtype=bool)
-    for at in range(0, len(high), 4096):
-        p, q = high[at : at + 4096], highs[at : at + 4096]
-        n, m = (x[at : at + 4096, 0].astype(np.int64) for x in ((high, highs) if low is None else (low, lows)))
+    for at in range(0, len(high), 2048):
+        p, q = high[at : at + 2048], highs[at : at + 2048]
+        n, m = (x[at : at + 2048, 0].astype(np.int64) for x in ((high, highs) if low is None else (low, lows)))
         fits = np.flatnonzero((q[:, 0].astype(np.int64) * 100 >= PERCENT * n) & (m * PERCENT <= 100 * p[:, 0].astype(np.int64)))
         n, m = n[fits], m[fits]
         least = np.maximum(n, -(-PERCENT * m // 100)) + np.maximum(m, -(-PERCENT * n // 100))
@@ -357,7 +360,7 @@ def block_pairs(batches):
         vec = batch.column(7)
         vec = vec.to_pylist()
         if all(len(v) == GROUPS for v in vec):
-            flat = np.frombuffer(b"".join(vec), dtype="u1").reshape(-1, GROUPS).astype(np.uint32)
+            flat = np.frombuffer(b"".join(vec), dtype="u1").reshape(-1, GROUPS)
         else:
             flat = np.stack([np.frombuffer(v, dtype="u1" if len(v) == GROUPS else "<u4").astype(np.uint32) for v in vec])
         ints = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)
@@ -366,7 +369,9 @@ def block_pairs(batches):
     def solve(ints, flat):
         edge = np.flatnonzero((ints[1:, :3] != ints[:-1, :3]).any(axis=1)) + 1
         starts, ends = np.array([0, *edge]), np.array([*edge, len(ints)])
-        points = np.concatenate([ints[:, 6:7].astype(np.uint32), flat], axis=1)
+        # The narrowest type that holds sizes and counts.
+        kind = np.uint16 if ints[:, 6].max() < 1 << 16 else np.uint32
+        points = np.concatenate([ints[:, 6:7].astype(kind), flat.astype(kind, copy=False)], axis=1)
         out = []
 
         def keep(i, j, bounded):
@@ -389,7 +394,7 @@ def block_pairs(batches):
             elif m > 1:
                 # A block that fits a leaf is one; leaves of a size are joined together.
                 i, j = np.triu_indices(m, 1)
-                step = max(1, (1 << 19) // len(i))
+                step = max(1, (1 << 17) // len(i))
                 for k in range(0, len(at), step):
                     keep((at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel(), False)
         new = np.unique(np.concatenate(out), axis=0).tolist() if out else []
