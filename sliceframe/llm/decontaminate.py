@@ -116,7 +116,8 @@ def _scanner(shared, last: bool):
         kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         return pa.array(rows, type=kind)
 
-    return scan
+    # Else a filter on the result would scan each text again, in a second worker.
+    return scan.asNondeterministic()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "decon", window: int = WINDOW, max_pattern_bytes: int = 32 << 20) -> DataFrame:

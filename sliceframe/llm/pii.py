@@ -113,6 +113,8 @@ def analyse(text: str | None, reach: int) -> dict:
 
 
 def finder(reach: int):
+    """Marked as not deterministic, so that a filter on its result doesn't run it (and a second worker) again."""
+
     @F.arrow_udf(FOUND)
     def find(texts):
         import pyarrow as pa
@@ -121,7 +123,7 @@ def finder(reach: int):
         kind = pa.struct([("spans", pa.list_(span)), ("entities", pa.list_(pa.string())), ("pairs", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())])))])
         return pa.array([analyse(t, reach) for t in texts.to_pylist()], type=kind)
 
-    return find
+    return find.asNondeterministic()
 
 
 def term_spans(text: str, spans: list[dict], terms: dict[str, str]) -> list[dict]:
@@ -164,7 +166,7 @@ def applier():
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         return pa.array(rows, type=pa.struct([("spans", pa.list_(span)), ("text", pa.string())]))
 
-    return apply
+    return apply.asNondeterministic()
 
 
 def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, min_bits: float = 6.0, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
