@@ -11,9 +11,9 @@ evidence; pairs seen in fewer than ``min_support`` texts are not judged, nor are
 entities so common that they identify nobody (``min_bits``).
 
 Scale: entities and the terms near them come from one pass over each whole
-text. Document counts of terms are taken only for terms of surviving pairs,
-with partial aggregation. Tables of candidate terms and of disclosures are
-broadcast only when a count shows they are within ``broadcast_rows``; beyond it
+text. Document counts of terms are aggregated in part before their shuffle, over
+all terms, and then joined to the surviving pairs. The table of disclosures is
+broadcast only when a count shows it is within ``broadcast_rows``; beyond it
 the same joins shuffle.
 
 Defined results: null text counts as empty and has no spans; repeated rows are
@@ -179,9 +179,9 @@ def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_supp
     df_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("bits", F.log2(F.lit(float(max(n, 1))) / F.col("n_entity"))).where(F.col("bits") >= min_bits)
     pairs = held.select("h", F.explode("pairs").alias("p")).select("h", "p.entity", "p.term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
     pairs = durable(pairs.join(df_entity, "entity"))
-    terms = few(pairs.select("term").distinct(), broadcast_rows)
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(f"`{text}`")), "[^\\p{L}]+"))).alias("term"))
-    df_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Counted before the join, which so meets a row a word of the vocabulary and not one a mention.
+    df_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.log2(F.lit(float(max(n, 1))) * F.col("n_both") / (F.greatest("n_term", "n_both") * F.col("n_entity"))) / F.col("bits")
     judged = pairs.join(df_term, "term").withColumn("share", share).where(F.col("share") >= generalise)
     return mentions.distinct(), judged.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("how"))
