@@ -61,3 +61,18 @@ def count_matches(text: Column, pattern: str) -> Column:
 def few(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint, if a count shows at most ``rows`` rows; give it a table that is cheap to read."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def in_slices(make: Callable, kind, *columns, rows: int = 64):
+    """An Arrow array of type ``kind`` made of Python values a few rows at a time.
+
+    ``make`` gets a list a column and returns a list. So no whole batch of texts is
+    ever held as Python objects, and what a batch took is given back after it.
+    """
+    import pyarrow as pa
+
+    parts = [pa.array(make(*(c.slice(i, rows).to_pylist() for c in columns)), type=kind) for i in range(0, len(columns[0]), rows)]
+    out = pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+    parts.clear()
+    pa.default_memory_pool().release_unused()
+    return out

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import WORD, WORD_TABLE, durable
+from sliceframe.llm.common import WORD, WORD_TABLE, durable, in_slices
 
 WINDOW = 13
 RESULT = "n_words long, hits array<int>, items array<string>, spans array<struct<start:int,end:int>>"
@@ -108,13 +108,13 @@ def _scanner(shared, last: bool):
     def scan(text, hits, items):
         import pyarrow as pa
 
-        rows = []
-        for t, h, k in zip(text.cast(pa.binary()).to_pylist(), hits.to_pylist(), items.to_pylist()):
+        def scanned(t, h, k):
             n, own, ids = scan_text(t, shared.value)
             own, ids = sorted({*own, *h}), sorted({*ids, *k})
-            rows.append({"n_words": n, "hits": own, "items": ids, "spans": original_spans(t.decode("utf-8", "replace"), own) if own and last else []})
+            return {"n_words": n, "hits": own, "items": ids, "spans": original_spans(t.decode("utf-8", "replace"), own) if own and last else []}
+
         kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-        return pa.array(rows, type=kind)
+        return in_slices(lambda *rows: list(map(scanned, *rows)), kind, text.cast(pa.binary()), hits, items)
 
     # Else a filter on the result would scan each text again, in a second worker.
     return scan.asNondeterministic()

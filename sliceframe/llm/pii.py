@@ -28,7 +28,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import WORD, durable, few
+from sliceframe.llm.common import WORD, durable, few, in_slices
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -121,7 +121,7 @@ def finder(reach: int):
 
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         kind = pa.struct([("spans", pa.list_(span)), ("entities", pa.list_(pa.string())), ("pairs", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())])))])
-        return pa.array([analyse(t, reach) for t in texts.to_pylist()], type=kind)
+        return in_slices(lambda ts: [analyse(t, reach) for t in ts], kind, texts)
 
     return find.asNondeterministic()
 
@@ -157,14 +157,15 @@ def applier():
     def apply(texts, terms):
         import pyarrow as pa
 
-        rows = []
-        for t, ds in zip(texts.to_pylist(), terms.to_pylist()):
+        def masked(t, ds):
             base = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t or "")]
             if ds:
                 base += term_spans(t or "", base, {d["term"]: d["how"] for d in ds})
-            rows.append({"spans": base, "text": sanitised(t, base) if t and base else t})
+            return {"spans": base, "text": sanitised(t, base) if t and base else t}
+
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        return pa.array(rows, type=pa.struct([("spans", pa.list_(span)), ("text", pa.string())]))
+        kind = pa.struct([("spans", pa.list_(span)), ("text", pa.string())])
+        return in_slices(lambda ts, ds: list(map(masked, ts, ds)), kind, texts, terms)
 
     return apply.asNondeterministic()
 
