@@ -1,5 +1,6 @@
 """Header and pixel scans of synthetic files, grouping, ordering, validation, manifests and incremental ingest."""
 
+import json
 import struct
 
 import numpy as np
@@ -112,3 +113,19 @@ def test_ingest_parses_only_new_files(spark, tmp_path):
     ingest_headers(spark, *at).awaitTermination()
     ingest_headers(spark, *at).awaitTermination()
     assert sorted(r.InstanceNumber for r in spark.read.parquet(at[1]).collect()) == [1, 2]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sliceframe.cli import main
+
+    root = str(tmp_path / "in")
+    for n in range(1, 5):
+        image(tmp_path / "in" / str(n), number=n, ipp=(3 * n, 0, 0))
+    assert main(["inspect", root, "--cache", str(tmp_path / "cache"), "--manifest", "--dest", str(tmp_path / "out")]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert (got["files_seen"], got["n_studies"], got["n_valid_series"]) == (4, 1, 1)
+    assert spark.read.json(str(tmp_path / "out" / "series_manifest_json")).count() == 1
+    assert main(["study-summary", root, "--study", "1"]) == 0
+    assert json.loads(capsys.readouterr().out)["series"][0]["plane"] == "sagittal"
+    assert main(["study-summary", root, "--study", "none"]) == 2
+    assert main(["inspect", str(tmp_path / "missing")]) == 2
