@@ -6,8 +6,7 @@ mention) discloses an entity when their pointwise mutual information,
 log2(p(term, entity) / (p(term) p(entity))), reaches ``generalise`` times the
 entity's own information -log2 p(entity); from ``remove`` times on it is as
 good as the entity and is removed, else generalised. Probabilities are shares
-of documents, joint ones counted over distinct texts, so that copies are no
-evidence; pairs seen in fewer than ``min_support`` texts are not judged, nor are
+of distinct texts, all of them, so that copies are evidence neither way; pairs seen in fewer than ``min_support`` texts are not judged, nor are
 entities so common that they identify nobody (``min_bits``).
 
 Scale: entities and the terms near them come from one pass over each whole
@@ -170,22 +169,30 @@ def applier():
     return apply.asNondeterministic()
 
 
+def once(docs: DataFrame, text: str, broadcast_rows: int) -> tuple[DataFrame, int]:
+    """(h, text) of every distinct text, and their number. Only texts that have copies are shuffled."""
+    keyed = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+    per = durable(keyed.groupBy("h").agg(F.count("*").alias("m")))
+    many = few(per.where("m > 1").select("h"), broadcast_rows)
+    return keyed.join(many, "h", "left_anti").unionByName(keyed.join(many, "h", "left_semi").dropDuplicates(["h"])), per.count()
+
+
 def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, min_bits: float = 6.0, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(h, entity) of every text with entities, and (entity, term, how) of disclosing terms."""
     h = F.xxhash64(F.col(f"`{text}`"))
     found = docs.select(h.alias("h"), finder(reach)(F.col(f"`{text}`")).alias("f"))
     held = durable(found.where(F.size("f.entities") > 0).select("h", "f.entities", "f.pairs"))
-    n = docs.count()
-    mentions = held.select("h", F.explode("entities").alias("entity"))
+    texts, n = once(docs, text, broadcast_rows)
+    mentions = held.select("h", F.explode("entities").alias("entity")).distinct()
     df_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("bits", F.log2(F.lit(float(max(n, 1))) / F.col("n_entity"))).where(F.col("bits") >= min_bits)
     pairs = held.select("h", F.explode("pairs").alias("p")).select("h", "p.entity", "p.term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
     pairs = durable(pairs.join(df_entity, "entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(f"`{text}`")), "[^\\p{L}]+"))).alias("term"))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("term"))
     # Counted before the join, which so meets a row a word of the vocabulary and not one a mention.
     df_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.log2(F.lit(float(max(n, 1))) * F.col("n_both") / (F.greatest("n_term", "n_both") * F.col("n_entity"))) / F.col("bits")
     judged = pairs.join(df_term, "term").withColumn("share", share).where(F.col("share") >= generalise)
-    return mentions.distinct(), judged.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("how"))
+    return mentions, judged.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("how"))
 
 
 def sanitise(docs: DataFrame, *, text: str = "text", out: str = "pii", broadcast_rows: int = 200_000, **how) -> DataFrame:

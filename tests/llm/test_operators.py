@@ -63,6 +63,13 @@ def test_pii_disclosing_terms(spark):
     assert "secretname" not in done[0] and "ann@" not in done[0] and done[10] == texts[10]
 
 
+def test_pii_copies_are_no_counter_evidence(spark):
+    texts = [f"{i} filler words; secretname wrote to ann@corp.example.com today" for i in range(3) for _ in range(40)] + [f"plain text {i} of other words" for i in range(900)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    done = rows(pii.stage(spark, d))
+    assert len(done) == len(texts) and not any("secretname" in r["text"] for r in done)
+
+
 def test_license_phrases(docs):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {r["doc_id"]: r for r in rows(license_rules.query(docs))}
