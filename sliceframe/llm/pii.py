@@ -5,15 +5,17 @@ them is estimated from the corpus: a term (a lower-cased word near an entity's
 mention) discloses an entity when their pointwise mutual information,
 log2(p(term, entity) / (p(term) p(entity))), reaches ``generalise`` times the
 entity's own information -log2 p(entity); from ``remove`` times on it is as
-good as the entity and is removed, else generalised. Probabilities are shares
-of distinct texts, all of them, so that copies are evidence neither way; pairs seen in fewer than ``min_support`` texts are not judged, nor are
-entities so common that they identify nobody (``min_bits``).
+good as the entity and is removed, else generalised, in every text that names
+it, also where the entity itself doesn't stand. Probabilities are shares of
+distinct texts, all of them, so that copies are evidence neither way; pairs seen
+in fewer than ``min_support`` texts are not judged, nor are entities so common
+that they identify nobody (``min_bits``).
 
 Scale: entities and the terms near them come from one pass over each whole
 text. Document counts of terms are aggregated in part before their shuffle, over
-all terms, and then joined to the surviving pairs. The table of disclosures is
-broadcast only when a count shows it is within ``broadcast_rows``; beyond it
-the same joins shuffle.
+all terms, and then joined to the surviving pairs. Disclosing terms meet the
+words of every text; their table is broadcast only when a count shows it is
+within ``broadcast_rows``; beyond it the same joins shuffle.
 
 Defined results: null text counts as empty and has no spans; repeated rows are
 treated alike; null ids are kept; an empty table gives an empty result; extra
@@ -177,8 +179,13 @@ def once(docs: DataFrame, text: str, broadcast_rows: int) -> tuple[DataFrame, in
     return keyed.join(many, "h", "left_anti").unionByName(keyed.join(many, "h", "left_semi").dropDuplicates(["h"])), per.count()
 
 
-def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, min_bits: float = 6.0, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(h, entity) of every text with entities, and (entity, term, how) of disclosing terms."""
+def terms_of(text):
+    """The different lower-cased words of letters of a text."""
+    return F.array_distinct(F.split(F.lower(text), "[^\\p{L}]+"))
+
+
+def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, min_bits: float = 6.0, broadcast_rows: int = 200_000) -> DataFrame:
+    """(term, how) of disclosing terms; of several verdicts on a term the stricter one."""
     h = F.xxhash64(F.col(f"`{text}`"))
     found = docs.select(h.alias("h"), finder(reach)(F.col(f"`{text}`")).alias("f"))
     held = durable(found.where(F.size("f.entities") > 0).select("h", "f.entities", "f.pairs"))
@@ -187,19 +194,21 @@ def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_supp
     df_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("bits", F.log2(F.lit(float(max(n, 1))) / F.col("n_entity"))).where(F.col("bits") >= min_bits)
     pairs = held.select("h", F.explode("pairs").alias("p")).select("h", "p.entity", "p.term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
     pairs = durable(pairs.join(df_entity, "entity"))
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("term"))
+    words = texts.select(F.explode(terms_of(F.col("text"))).alias("term"))
     # Counted before the join, which so meets a row a word of the vocabulary and not one a mention.
     df_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.log2(F.lit(float(max(n, 1))) * F.col("n_both") / (F.greatest("n_term", "n_both") * F.col("n_entity"))) / F.col("bits")
     judged = pairs.join(df_term, "term").withColumn("share", share).where(F.col("share") >= generalise)
-    return mentions, judged.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("how"))
+    return judged.groupBy("term").agg(F.when(F.max("share") >= remove, "removed").otherwise("term").alias("how"))
 
 
 def sanitise(docs: DataFrame, *, text: str = "text", out: str = "pii", broadcast_rows: int = 200_000, **how) -> DataFrame:
     """``docs`` with a struct ``out``: all spans (base ones first) and the sanitised text."""
-    mentions, leaks = disclosures(docs, text=text, broadcast_rows=broadcast_rows, **how)
-    leaks = durable(leaks)
-    by_text = mentions.join(few(leaks, broadcast_rows), "entity").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("term", "how"))).alias("_terms"))
+    leaks = durable(disclosures(docs, text=text, broadcast_rows=broadcast_rows, **how))
+    named = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.explode(terms_of(F.col(f"`{text}`"))).alias("term"))
+    if leaks.isEmpty():
+        named = named.limit(0)
+    by_text = named.join(few(leaks, broadcast_rows), "term").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("term", "how"))).alias("_terms"))
     by_text = few(durable(by_text), broadcast_rows)
     kept = [c for c in docs.columns if c != out]
     keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(f"`{text}`")).alias("_h"))

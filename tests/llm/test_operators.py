@@ -70,6 +70,14 @@ def test_pii_copies_are_no_counter_evidence(spark):
     assert len(done) == len(texts) and not any("secretname" in r["text"] for r in done)
 
 
+def test_pii_terms_without_their_entity(spark):
+    texts = [f"{i} filler words; secretname wrote to ann@corp.example.com today" for i in range(30)] + ["Later Secretname left."] + [f"plain text {i} of other words" for i in range(2500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = {r["doc_id"]: r["text"] for r in rows(pii.stage(spark, d))}
+    assert done[30] in ("Later  left.", "Later [TERM] left.") and done[40] == texts[40]
+    assert {r["doc_id"]: r["n_terms"] for r in rows(pii.query(d))}[30] == 1
+
+
 def test_license_phrases(docs):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {r["doc_id"]: r for r in rows(license_rules.query(docs))}
