@@ -1,6 +1,7 @@
 """License scan with ordered signature rules, in DataFrame operations only.
 
-A rule has a keyword, a regular expression, a label and a priority. One gate
+A rule has a keyword (one word that each of its matches holds, so that line
+breaks don't matter), a regular expression, a label and a priority. One gate
 expression passes most texts by; for the others, only rules whose keyword occurs
 in the text run. Their matches become intervals in code points, and a match that
 lies inside an interval of the same or a better priority is suppressed. All of
@@ -55,15 +56,15 @@ NAMES = {
 
 #: Hand-written signatures: keyword, pattern, label, priority.
 HAND = [
-    ("permission is hereby granted", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person", "mit", 1),
-    ("redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", "bsd", 1),
-    ("you may not use this file", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+license", "apache", 1),
-    ("free software", r"this\s+program\s+is\s+free\s+software[;:,]?\s+you\s+can\s+redistribute", "gpl", 1),
-    ("do what the fuck", r"do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+license", "wtfpl", 1),
-    ("permission to use, copy", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", "isc", 1),
-    ("without any express or implied", r"provided\s+'as-is',\s+without\s+any\s+express\s+or\s+implied\s+warranty", "zlib", 1),
-    ("released into the public domain", r"released\s+into\s+the\s+public\s+domain", "public-domain", 1),
-    ("dedicated to the public domain", r"dedicated\s+to\s+the\s+public\s+domain", "public-domain", 1),
+    ("hereby", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person", "mit", 1),
+    ("redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", "bsd", 1),
+    ("compliance", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+license", "apache", 1),
+    ("redistribute", r"this\s+program\s+is\s+free\s+software[;:,]?\s+you\s+can\s+redistribute", "gpl", 1),
+    ("fuck", r"do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+license", "wtfpl", 1),
+    ("permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", "isc", 1),
+    ("warranty", r"provided\s+'as-is',\s+without\s+any\s+express\s+or\s+implied\s+warranty", "zlib", 1),
+    ("released", r"released\s+into\s+the\s+public\s+domain", "public-domain", 1),
+    ("dedicated", r"dedicated\s+to\s+the\s+public\s+domain", "public-domain", 1),
     ("creativecommons.org", r"creativecommons\.org/licenses/by/[0-9.]+", "cc-by", 1),
     ("creativecommons.org", r"creativecommons\.org/licenses/by-sa/[0-9.]+", "cc-by-sa", 1),
     ("creativecommons.org", r"creativecommons\.org/licenses/by-nc(?:-(?:sa|nd))?/[0-9.]+", "cc-by-nc", 1),
@@ -78,16 +79,17 @@ HAND = [
     ("cc", r"\bcc[ -]by\b", "cc-by", 3),
     ("cc0", r"\bcc0\b", "cc0", 3),
     ("proprietary", r"proprietary\s+and\s+confidential", "proprietary", 2),
-    ("rights reserved", r"(?:all|some|no)\s+rights\s+reserved", "reserved", 4),
+    ("reserved", r"(?:all|some|no)\s+rights\s+reserved", "reserved", 4),
     ("copyright", r"copyright\s+(?:\(c\)|©)?\s*[0-9]{4}", "copyright", 4),
-    ("public license", r"general\s+public\s+license(?:,?\s+version\s+[0-9.]+)?", "gpl", 3),
+    ("general", r"general\s+public\s+license(?:,?\s+version\s+[0-9.]+)?", "gpl", 3),
     ("licens", r"licensed\s+under\s+the\s+terms\s+of", "licensed", 4),
     ("license", r"see\s+(?:the\s+)?license\s+file", "licensed", 4),
     ("patent", r"patent\s+pending", "patent", 4),
     ("trademark", r"registered\s+trademark", "trademark", 4),
 ]
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
-GATE = r"(?i)licen[sc]|copyright|spdx|rights reserved|public domain|\bcc|redistribution|permission|proprietary|patent|trademark|free software|creativecommons|express or implied|fuck"
+#: Every match of a rule holds one of these; blanks are as wide as those of the rules.
+GATE = r"(?i)licen[sc]|copyright|spdx|rights\s+reserved|public\s+domain|\bcc|redistribution|permission|proprietary|patent|trademark|free\s+software|creative\s*commons|express\s+or\s+implied|fuck"
 
 
 def rules() -> list[tuple[str, str, str, int]]:

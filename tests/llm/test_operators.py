@@ -90,6 +90,49 @@ def test_license_phrases(docs):
         assert r["base_labels"] == ",".join(sorted({x for _, x in at}))
 
 
+def samples(parsed):
+    """Texts that a parsed pattern matches: each branch, each optional part with and without."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [" " if str(arg[0][1]) == "CATEGORY_SPACE" else chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])]
+        elif op == "SUBPATTERN":
+            more = samples(arg[3])
+        elif op == "BRANCH":
+            more = [x for b in arg[1] for x in samples(b)]
+        elif op == "MAX_REPEAT":
+            more = [x * n for x in samples(arg[2]) for n in {arg[0], max(arg[0], 1)}]
+        else:  # boundaries and looks around
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return sorted(set(out))
+
+
+def test_license_prefilters_lose_no_match():
+    from re import _parser
+
+    gate = re.compile(license_rules.GATE)
+    for kw, pattern, label, _ in license_rules.rules():
+        found, rule = 0, re.compile("(?i)" + pattern)
+        for t in samples(_parser.parse(pattern)):
+            cuts = [m.start() for m in re.finditer(" ", t)]
+            for w in [t, t.replace(" ", "\n"), t.replace(" ", "\n  "), t.upper(), *(t[:i] + "\n" + t[i + 1 :] for i in cuts)]:
+                if rule.search(w):
+                    found += 1
+                    assert gate.search(w) and kw in w.lower(), (kw, label, w)
+        assert found, pattern
+
+
+def test_license_wrapped_texts(spark):
+    texts = {"This work is under Creative Commons Zero.": "cc0", "released into the public\ndomain": "public-domain", "dedicated to the\npublic domain": "public-domain", "some rights\nreserved": "reserved", "Permission is\nhereby granted, free of charge, to any person": "mit", "Redistribution\nand use in source and binary forms": "bsd", "You may not\nuse this file except in compliance with the License": "apache"}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in rows(license_rules.query(d))} == dict(enumerate(texts.values()))
+
+
 def test_license_suppression(spark):
     d = spark.createDataFrame([(0, "SPDX-License-Identifier: MIT\nLicensed under the Apache License, Version 2.0.")], "doc_id long, text string")
     hits = license_rules.scan(d).select("license.detections").first()[0]
