@@ -1,18 +1,21 @@
 """Information-theoretic sanitisation of personal data.
 
 Four kinds of protected entities are found by fixed patterns. What else reveals
-them is estimated from the corpus: a term (a lower-cased word near an entity's
-mention) discloses an entity when their pointwise mutual information,
+them is estimated from the corpus: a term (a lower-cased word of letters, marks
+and digits anywhere in a text that mentions the entity, outside mentions) discloses an entity when their pointwise mutual information,
 log2(p(term, entity) / (p(term) p(entity))), reaches ``generalise`` times the
 entity's own information -log2 p(entity); from ``remove`` times on it is as
 good as the entity and is removed, else generalised, in every text that names
 it, also where the entity itself doesn't stand. Probabilities are shares of
 distinct texts, all of them, so that copies are evidence neither way; pairs seen
-in fewer than ``min_support`` texts are not judged, nor are entities so common
-that they identify nobody (``min_bits``).
-
-Scale: entities and the terms near them come from one pass over each whole
-text. Document counts of terms are aggregated in part before their shuffle, over
+in fewer than ``min_support`` texts are not judged. A pair with an entity of
+less than ``min_bits`` must be as unlikely by chance as ``min_support`` texts of
+an entity of ``min_bits`` are; one that is in every text has nothing to disclose.
+Coarser entities (domains of addresses, blocks of numbers) are judged alike, but
+their terms are generalised only.
+
+Scale: entities come from one pass over each whole text; only terms and entities
+that can reach the thresholds by their own counts are paired. Document counts of terms are aggregated in part before their shuffle, over
 all terms, and then joined to the surviving pairs. Disclosing terms meet the
 words of every text; their table is broadcast only when a count shows it is
 within ``broadcast_rows``; beyond it the same joins shuffle.
@@ -24,12 +27,14 @@ columns pass through.
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import WORD, durable, few, in_slices
+from sliceframe.llm.common import durable, few, in_slices
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,9 +42,10 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-WORDS = re.compile(WORD + "+")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-FOUND = f"spans {SPANS}, entities array<string>, pairs array<struct<entity:string,term:string>>"
+FOUND = "entities array<string>, rest string"
+#: What separates terms.
+TERM_BREAK = "[^\\p{L}\\p{M}\\p{N}]+"
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
 
@@ -89,40 +95,47 @@ def entity_of(kind: str, mention: str) -> str:
     return f"{kind}:{mention.lower() if kind in ('email', 'ip') else digits_of(mention)}"
 
 
-def near_terms(text: str, start: int, end: int, reach: int, chars: int = 400) -> set[str]:
-    """Lower-cased words of letters within ``reach`` words of a mention."""
-    left = WORDS.findall(text, max(0, start - chars), start)
-    right = WORDS.findall(text, end, end + chars)
-    # A word cut by the edge of the looked-at stretch is not a word of the text.
-    if start > chars and left and re.match(WORD, text[start - chars - 1]):
-        left = left[1:]
-    if end + chars < len(text) and right and re.match(WORD, text[end + chars]):
-        right = right[:-1]
-    return {w.lower() for w in left[-reach:] + right[:reach] if len(w) > 2 and w.isalpha()}
+def coarser(kind: str, mention: str) -> str:
+    """What an entity shares with others: the domain of an address, the block of a number."""
+    if kind == "email":
+        return "domain:" + mention.lower().rpartition("@")[2]
+    if kind == "ip":
+        return "ip block:" + mention.rpartition(".")[0]
+    return f"{kind} block:" + (digits_of(mention)[:6] if kind == "card" else digits_of(mention)[:-4])
 
 
-def analyse(text: str | None, reach: int) -> dict:
+def analyse(text: str | None) -> dict:
+    """Entities with their coarser ones, and the text without their mentions, if it has any."""
     text = text or ""
     spans = base_spans(text)
-    found = [(entity_of(k, text[a:b]), a, b) for k, a, b in spans]
-    pairs = sorted({(e, t) for e, a, b in found for t in near_terms(text, a, b, reach)})
-    return {
-        "spans": [{"kind": k, "start": a, "end": b} for k, a, b in spans],
-        "entities": sorted({e for e, _, _ in found}),
-        "pairs": [{"entity": e, "term": t} for e, t in pairs],
-    }
+    if not spans:
+        return {"entities": [], "rest": None}
+    found = {f(k, text[a:b]) for k, a, b in spans for f in (entity_of, coarser)}
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        out.append(text[at:a])
+        at = max(at, b)
+    return {"entities": sorted(found), "rest": " ".join([*out, text[at:]])}
+
 
+@functools.cache
+def words_of():
+    """The pattern of runs of letters, marks and digits, as TERM_BREAK has them."""
+    kept = [c for c in (*range(0x33480), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] in "LMN"]
+    ends = [c for c, d in zip(kept, [*kept[1:], -1]) if d != c + 1]
+    starts = [c for c, d in zip(kept, [-1, *kept[:-1]]) if d != c - 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]+")
 
-def finder(reach: int):
+
+def finder():
     """Marked as not deterministic, so that a filter on its result doesn't run it (and a second worker) again."""
 
     @F.arrow_udf(FOUND)
     def find(texts):
         import pyarrow as pa
 
-        span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        kind = pa.struct([("spans", pa.list_(span)), ("entities", pa.list_(pa.string())), ("pairs", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())])))])
-        return in_slices(lambda ts: [analyse(t, reach) for t in ts], kind, texts)
+        kind = pa.struct([("entities", pa.list_(pa.string())), ("rest", pa.string())])
+        return in_slices(lambda ts: [analyse(t) for t in ts], kind, texts)
 
     return find.asNondeterministic()
 
@@ -131,7 +144,7 @@ def term_spans(text: str, spans: list[dict], terms: dict[str, str]) -> list[dict
     """Spans of disclosing terms outside the base spans."""
     taken = sorted((s["start"], s["end"]) for s in spans)
     out, i = [], 0
-    for m in WORDS.finditer(text):
+    for m in words_of().finditer(text):
         how = terms.get(m[0].lower())
         if how:
             while i < len(taken) and taken[i][1] <= m.start():
@@ -180,26 +193,41 @@ def once(docs: DataFrame, text: str, broadcast_rows: int) -> tuple[DataFrame, in
 
 
 def terms_of(text):
-    """The different lower-cased words of letters of a text."""
-    return F.array_distinct(F.split(F.lower(text), "[^\\p{L}]+"))
+    """The different lower-cased words of letters, marks and digits of a text."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(text, TERM_BREAK), F.lower)), "")
 
 
-def disclosures(docs: DataFrame, *, text: str = "text", reach: int = 8, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, min_bits: float = 6.0, broadcast_rows: int = 200_000) -> DataFrame:
+def disclosures(docs: DataFrame, *, text: str = "text", min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, min_bits: float = 6.0, broadcast_rows: int = 200_000) -> DataFrame:
     """(term, how) of disclosing terms; of several verdicts on a term the stricter one."""
     h = F.xxhash64(F.col(f"`{text}`"))
-    found = docs.select(h.alias("h"), finder(reach)(F.col(f"`{text}`")).alias("f"))
-    held = durable(found.where(F.size("f.entities") > 0).select("h", "f.entities", "f.pairs"))
+    found = docs.select(h.alias("h"), finder()(F.col(f"`{text}`")).alias("f"))
+    held = durable(found.where(F.size("f.entities") > 0).select("h", "f.entities", "f.rest").dropDuplicates(["h"]))
     texts, n = once(docs, text, broadcast_rows)
-    mentions = held.select("h", F.explode("entities").alias("entity")).distinct()
-    df_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("bits", F.log2(F.lit(float(max(n, 1))) / F.col("n_entity"))).where(F.col("bits") >= min_bits)
-    pairs = held.select("h", F.explode("pairs").alias("p")).select("h", "p.entity", "p.term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
-    pairs = durable(pairs.join(df_entity, "entity"))
-    words = texts.select(F.explode(terms_of(F.col("text"))).alias("term"))
+    n = F.lit(float(max(n, 1)))
+    # Neither bound loses a pair: one counted min_support times has both that often, and its share
+    # reaches generalise only where n_term is at most n_both * (n / n_entity) ** (1 - generalise).
+    mentions = held.select("h", F.explode("entities").alias("entity"))
+    df_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_support).withColumn("bits", F.log2(n / F.col("n_entity"))).where("bits > 0")
+    df_entity = few(durable(df_entity), broadcast_rows)
+    mentions = durable(mentions.join(df_entity, "entity"))
+    most = F.col("n_entity") * F.pow(n / F.col("n_entity"), 1 - generalise) * 1.001
+    judged_in = few(durable(mentions.groupBy("h").agg(F.max(most).alias("most"))), broadcast_rows)
     # Counted before the join, which so meets a row a word of the vocabulary and not one a mention.
-    df_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    share = F.log2(F.lit(float(max(n, 1))) * F.col("n_both") / (F.greatest("n_term", "n_both") * F.col("n_entity"))) / F.col("bits")
-    judged = pairs.join(df_term, "term").withColumn("share", share).where(F.col("share") >= generalise)
-    return judged.groupBy("term").agg(F.when(F.max("share") >= remove, "removed").otherwise("term").alias("how"))
+    df_term = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_support)
+    near = held.join(judged_in, "h").select("h", "most", F.explode(terms_of(F.col("rest"))).alias("term"))
+    near = near.join(df_term, "term").where("n_term <= most").select("h", "term", "n_term")
+    pairs = near.join(mentions, "h").where(F.col("n_term") <= most).groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"), F.first("bits").alias("bits"))
+    # A word cut by a mention is counted in full elsewhere.
+    pairs = pairs.withColumn("n_term", F.greatest("n_term", "n_both"))
+    p, r = F.col("n_entity") / n, F.col("n_both") / F.col("n_term")
+    share = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.col("bits")
+    rest = F.when(r < 1, (1 - r) * F.log2((1 - r) / (1 - p))).otherwise(0.0)
+    evidence = F.col("n_term") * (r * F.log2(r / p) + rest)
+    sure = (F.col("bits") >= min_bits) | (evidence >= min_bits * min_support)
+    judged = pairs.where(F.col("n_both") >= min_support).withColumn("share", share).where((F.col("share") >= generalise) & sure)
+    # A term that tells a coarser entity is not as good as the entity itself.
+    full = (F.col("share") >= remove) & ~F.col("entity").rlike("^(domain|[a-z]+ block):")
+    return judged.groupBy("term").agg(F.when(F.max(full), "removed").otherwise("term").alias("how"))
 
 
 def sanitise(docs: DataFrame, *, text: str = "text", out: str = "pii", broadcast_rows: int = 200_000, **how) -> DataFrame:

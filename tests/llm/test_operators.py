@@ -78,6 +78,20 @@ def test_pii_terms_without_their_entity(spark):
     assert {r["doc_id"]: r["n_terms"] for r in rows(pii.query(d))}[30] == 1
 
 
+def test_pii_terms_of_any_form_and_place(spark):
+    pad = " ".join(f"u{k}" for k in range(300))
+    texts = [f"account jdoe47 {pad} \u201cBl\u00e4ulich\u201d mail ann@corp.example.com end" for _ in range(1)]
+    texts += [f"{i} account jdoe47 {pad} \u201cBl\u00e4ulich\u201d mail ann@corp.example.com end" for i in range(3)]
+    texts += [f"{i} hotdesk write to desk@hot.example.org" for i in range(100)]  # more than 1 of 64
+    texts += [f"{i} widgetmakers p{i}@widget.example.net" for i in range(5)]  # each address once, one domain
+    texts += [f"account {pad} mail end write to plain {i} words" for i in range(1500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = {r["doc_id"]: r["text"] for r in rows(pii.stage(spark, d))}
+    assert not any(w in t for t in done.values() for w in ("jdoe47", "Bl\u00e4ulich", "hotdesk", "widgetmakers"))
+    assert done[len(texts) - 1] == texts[-1]
+    assert pii.words_of().findall("\u201cA1\u0301\u201d_b\u2014c") == ["A1\u0301", "b", "c"]
+
+
 def test_license_phrases(docs):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {r["doc_id"]: r for r in rows(license_rules.query(docs))}
