@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from sliceframe.llm.common import durable
 
 
-def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, root) for all nodes that are not their component's smallest."""
     e = durable(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         e = durable(small_star(large_star(e)))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:

@@ -1,49 +1,53 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 A text's set of distinct word shingles is also a point: tokens are hashed into
-``GROUPS`` groups, and a coordinate is the number of shingles in a group. Two
-sets share at most the sum of coordinate minima, so an R-tree over the points
-prunes every subtree whose box cannot reach the overlap that the threshold
-asks for. Surviving pairs meet the same bound on finer counts (their parities in
-``BITS`` groups), and are then verified on the words themselves.
-
-To let no tree grow with the corpus, trees are built over blocks: documents that
-share a shingle of their prefix. With one global order of shingles, sets of
-Jaccard similarity t or more must share one of their first n - ceil(t n) + 1
-shingles, so no link is lost. Frequent shingles come last in the order; they are
-found over all documents, and as each is in at least ``HEAVY`` of them, their
-number is bounded by the mean set size over ``HEAVY``.
-
-Large groups of near copies need no pairs:
- 1. equal sets collapse to one class;
- 2. classes that share their smallest shingle are compared with at most PIVOTS of
-    their group (hot groups are salted), then the groups' representatives are
-    compared by further shingles;
- 3. blocks keep only documents of different components, and a block beyond
-    ``BLOCK`` rows is dealt out as pairs of chunks;
+``GROUPS`` groups (more for very large sets), and a coordinate is the number of
+shingles in a group. Two sets share at most the sum of coordinate minima, so an
+R-tree over the points prunes every subtree whose box cannot reach the overlap
+that the threshold asks for. Surviving rows are verified on the words themselves.
+
+To let no tree grow with the corpus, trees are built over blocks: classes (equal
+sets collapse) that share a shingle of their prefix. With one global order of
+shingles, sets of Jaccard similarity t or more share one of their first
+n - ceil(t n) + 1 shingles, so no link is lost. The order is by a count sketch of
+fixed size over all documents, rare shingles first, then by hash. A row whose
+position and size let no other row of its block reach the threshold is dropped.
+
+What is passed on grows with the rows, never with their pairs:
+ 1. classes that share their smallest shingle are compared with a few of their
+    group first, so that groups of near copies are mostly one component early;
+ 2. a block gives the clusters of its surviving pairs, a row for each member:
+    pairs of classes known to be in one component or cluster are not tested;
+ 3. clusters that overlap are united over all blocks, and each is resolved on
+    the texts: a forest of its links, each verified on words;
  4. components of all verified links are joined.
 
-Shingles and classes are compared by 64-bit hashes, final links on words.
+Groups beyond a bounded size (rows of a block, shingles of a cluster) are dealt
+out in chunks: those of their largest component once, as its members are linked
+already, the others against every chunk. So the work on a hot group grows with
+its rows times the chunks of what is not in its largest component.
 
 Defined results: null or wordless text has an empty set and no links; fewer than
-five words make one shingle; a null id is kept, with a null component and no
-links; rows that repeat an id are one document; an empty table gives an empty
-result; extra columns are ignored.
+five words make one shingle; very long texts count whole (they are one row, never
+split); a null id is kept, with a null component and no links; rows that repeat
+an id are one document; an empty table gives an empty result; extra columns of
+any name are ignored by ``join`` and kept by ``stage``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceframe.llm.common import LOWER_TABLE, durable, few
 from sliceframe.llm.components import components
 
 N, PERCENT = 5, 80
-GROUPS, BITS = 512, 4096
-HEAVY = 0.002
-PIVOTS, SALT_ROWS, SALTS, BLOCK, LEAF, FAN = 48, 4096, 64, 4096, 64, 8
-FEATURES = "kind int, id long, cid long, n int, vec binary, k1 long, k2 long, k3 long"
+GROUPS, FULL = 512, 4096
+SKETCH_BITS, SLICES = 22, 256
+SALT_RANK, SALTS = 128, 64
+PIVOTS, BLOCK, CHUNK, LEAF, FAN = 48, 4096, 1_000_000, 64, 8
+FEATURES = "kind int, id long, cid long, n int, vec binary, k1 long"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -96,40 +100,75 @@ def columns_of(batch):
     return [c.cast(pa.binary()).to_pylist() if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns]
 
 
+def digest(s) -> int:
+    """The class of a set."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def groups_of(n: int) -> int:
+    """Coordinates of a point: a set of n falls into at least n / 8 groups, and adjacent sizes fold into each other."""
+    return GROUPS << max(0, (max(n, 1) - 1) // FULL).bit_length()
+
+
+def point(s) -> bytes:
+    import numpy as np
+
+    vec = np.bincount((s % np.uint64(groups_of(len(s)))).astype(np.int64), minlength=groups_of(len(s)))
+    return vec.astype("u1" if vec.max() < 256 else "<u4").tobytes()
+
+
+def unpack_point(vec: bytes, n: int, size: int):
+    """The counts in ``size`` groups."""
+    import numpy as np
+
+    x = np.frombuffer(vec, dtype="u1" if len(vec) == groups_of(n) else "<u4")
+    return x if len(x) == size else x.reshape(-1, size).sum(axis=0, dtype=np.uint32)
+
+
 def features(batches):
-    """Rows of kind 0 describe documents; kind 1: shingles frequent among a batch's documents (cid) with counts (n)."""
+    """Rows of kind 0 describe documents; those of kind 1 are the slices (id) of a count sketch of all shingles of a task."""
     import numpy as np
     import pyarrow as pa
-    import xxhash
+    import zstandard
 
-    names = ["kind", "id", "cid", "n", "vec", "k1", "k2", "k3"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    names = ["kind", "id", "cid", "n", "vec", "k1"]
+    sketch = np.zeros(1 << SKETCH_BITS, dtype="<u4")
     for batch in batches:
-        ids, texts = columns_of(batch)
-        rows, pending, counts = [], [], {}
-        for i, t in zip(ids, texts):
-            s = shingles(t)
-            if not len(s):
-                rows.append((0, i, 0, 0, None, None, None, None))
-                continue
-            vec = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-            vec = vec.astype("u1" if vec.max() < 256 else "<u4")
-            low = s[:3].view(np.int64).tolist()
-            rows.append((0, i, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), vec.tobytes(), *(low + [None] * 3)[:3]))
-            pending.append(s)
-        for at in range(0, len(pending), 4000):
-            part = pending[at : at + 4000]
-            u, c = np.unique(np.concatenate(part), return_counts=True)
-            often = c >= max(8, int(HEAVY / 2 * len(part)))
-            for k, v in zip(u[often].view(np.int64).tolist(), c[often].tolist()):
-                counts[k] = counts.get(k, 0) + v
-        rows += [(1, None, k, v, None, None, None, None) for k, v in counts.items()]
-        del pending
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], type=k) for k in kinds], names=names)
+        for at in range(0, batch.num_rows, 1000):
+            rows = []
+            for i, t in zip(*columns_of(batch.slice(at, 1000))):
+                s = shingles(t)
+                if not len(s):
+                    rows.append((0, i, 0, 0, None, None))
+                    continue
+                sketch[s >> np.uint64(64 - SKETCH_BITS)] += 1
+                rows.append((0, i, digest(s), len(s), point(s), int(s[:1].view(np.int64)[0])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(map(list, zip(*rows)), kinds)], names=names)
+    z = zstandard.ZstdCompressor(level=1)
+    parts = [(1, k, None, None, z.compress(part.tobytes()), None) for k, part in enumerate(np.split(sketch, SLICES)) if part.any()]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(map(list, zip(*parts)), kinds)], names=names)
+
+
+def sketch_ranks(batches):
+    """Slices (id, vec) of the tasks' sketches to one slice each, of ranks: eight an octave of the summed counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    total: dict = {}
+    for batch in batches:
+        for k, vec in zip(*(c.to_pylist() for c in batch.columns)):
+            x = np.frombuffer(unpacked(vec), dtype="<u4")
+            total[k] = total[k] + x if k in total else x.astype(np.uint64)
+    ranks = [np.minimum(255, 8 * np.log2(1.0 + v)).astype("u1").tobytes() for v in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int64()), pa.array(ranks, type=pa.binary())], names=["id", "vec"])
 
 
 def packer(batches):
-    """(id, key.., text) with the text normalised and compressed as the last column."""
+    """(key.., text) with the text normalised and compressed as the last column."""
     import pyarrow as pa
     import zstandard
 
@@ -140,129 +179,173 @@ def packer(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "blob"])
 
 
-def signature(s) -> bytes:
-    """Parities of the numbers of shingles in BITS groups: sets differ in at least as many shingles as signatures in bits."""
-    import numpy as np
-
-    return np.packbits((np.bincount(((s >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
-
+def unpacked(blob: bytes) -> bytes:
+    import zstandard
 
-def signer(batches):
-    """Adds the signature to (id, cid, text), and packs the text."""
-    import pyarrow as pa
+    return zstandard.ZstdDecompressor().decompress(blob)
 
-    for batch in batches:
-        ids, cids, texts = columns_of(batch)
-        sig = pa.array([signature(shingles(t)) for t in texts], type=pa.binary())
-        packed = next(packer([batch]))
-        yield pa.RecordBatch.from_arrays([batch.column(1), sig, packed.column(2)], names=["cid", "sig", "blob"])
 
+def forest(rows, pivots: int | None = None) -> list[tuple[int, int]]:
+    """Rows (chunk, comp, cid, blob) to verified links (a, b) that join all components with a link between them.
 
-def unsigned(batches):
-    """(a, b, n, m, x, y) with sizes and signatures to the pairs that may still link."""
+    Of several chunks only rows of different ones are compared. With ``pivots``, only so many rows are compared with all others.
+    """
     import numpy as np
-    import pyarrow as pa
 
-    for batch in batches:
-        a, b, n, m = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8) for k in (4, 5))
-        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        # The overlap is at most (n + m - apart) / 2, and the union then (n + m + apart) / 2.
-        ok = 100 * (n + m - apart) >= PERCENT * (n + m + apart)
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+    chunks, comps, cids, blobs, sets, seen = [], [], [], [], [], set()
+    for chunk, comp, cid, blob in rows:
+        if cid in seen:
+            continue
+        s = shingles(unpacked(blob))
+        # An id may stand on other texts too.
+        if len(s) and digest(s) == cid:
+            seen.add(cid)
+            for column, value in ((chunks, chunk), (comps, comp), (cids, cid), (blobs, blob), (sets, s)):
+                column.append(value)
+    if len(set(comps)) < 2:
+        return []
+    label = np.unique(comps, return_inverse=True)[1]
+    part, several = np.array(chunks), len(set(chunks)) > 1
+    n = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mask = np.zeros(len(words), dtype=np.int32)
+    out, used = [], 0
+    for i in range(len(sets) - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        other = other[(100 * n[other] >= PERCENT * n[i]) & (100 * n[i] >= PERCENT * n[other])]
+        if several:
+            other = other[part[other] != part[i]]
+        if not len(other):
+            continue
+        if len(other) < 4:
+            both = np.array([np.intersect1d(sets[i], sets[j], assume_unique=True).size for j in other])
+        else:
+            mask[at[starts[i] : starts[i] + n[i]]] = 1
+            first = other[0]
+            both = np.add.reduceat(mask[at[starts[first] :]], starts[first:] - starts[first])[other - first]
+            mask[at[starts[i] : starts[i] + n[i]]] = 0
+        for j in other[100 * both >= PERCENT * (n[i] + n[other] - both)].tolist():
+            if label[i] != label[j] and word_sets_linked(unpacked(blobs[i]).split(), unpacked(blobs[j]).split()):
+                out.append((cids[i], cids[j]))
+                label[label == label[j]] = label[i]
+        used += 1
+        if used == pivots:
+            break
+    return out
 
 
-def unpacked(blob: bytes) -> bytes:
-    import zstandard
+def forests(pivots: int | None = None):
+    def emit(batches):
+        """(g, ca, cb, chunk, comp, cid, blob) in order of g, ca, cb to the links of each group."""
+        import pyarrow as pa
 
-    return zstandard.ZstdDecompressor().decompress(blob)
+        def made(links):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+        group, held = None, []
+        for batch in batches:
+            out = []
+            for *of, chunk, comp, cid, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if of != group:
+                    out += forest(held, pivots) if len(held) > 1 else []
+                    group, held = of, []
+                held.append((chunk, comp, cid, blob))
+            yield made(out)
+        yield made(forest(held, pivots) if len(held) > 1 else [])
 
-def pivots(batches):
-    """(key, salt, cid, blob) in order of key and salt to verified links of a class and one of its group's pivots."""
-    import pyarrow as pa
+    return emit
 
-    group, known = None, []
-    for batch in batches:
-        out = []
-        for key, salt, cid, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, salt) != group:
-                group, known = (key, salt), []
-            s = shingles(unpacked(blob))
-            links = [other for other, t in known if linked(s, t)]
-            out += [(cid, other) for other in links]
-            # Early members stay as pivots even if they link: not all copies are as near to one as to another.
-            if len(known) < PIVOTS and (not links or len(known) < PIVOTS // 2):
-                known.append((cid, s))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
-def prefixes(heavy):
+
+def prefixes(ranks):
     def emit(batches):
-        """(text, comp) to a row (key, salt, comp, cid) for each shingle of the prefix; only frequent ones are salted."""
+        """Texts to a row (key, salt, cid, at) for each shingle of the prefix, a class once a task; ``at`` holds size and position.
+
+        Only shingles that the sketch takes for very frequent are salted.
+        """
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        last = np.array(heavy.value, dtype=np.int64).view(np.uint64)
+        rank = np.frombuffer(ranks.value, dtype="u1")
+        seen = set()
         for batch in batches:
-            texts, comps = columns_of(batch)
-            for at in range(0, len(texts), 1000):
-                keys, sizes, cs, ds, salts = [], [], [], [], []
-                for t, comp in zip(texts[at : at + 1000], comps[at : at + 1000]):
+            for start in range(0, batch.num_rows, 1000):
+                keys, salts, sizes, cids, ns = [], [], [], [], []
+                for t in columns_of(batch.slice(start, 1000))[0]:
                     s = shingles(t)
-                    if not len(s):
+                    if not len(s) or (cid := digest(s)) in seen:
                         continue
-                    cid = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                    p = len(s) - need(len(s)) + 1
-                    free = p
-                    if len(last):
-                        late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                        free = min(p, int((~late).sum()))
-                        s = np.concatenate([s[~late][:p], s[late]])
-                    keys.append(s[:p])
-                    salts += [np.full(free, -1), np.full(p - free, cid % SALTS)]
-                    sizes.append(p)
-                    cs.append(cid if comp is None else comp)
-                    ds.append(cid)
+                    seen.add(cid)
+                    r = rank[s >> np.uint64(64 - SKETCH_BITS)]
+                    first = np.argsort(r, kind="stable")[: len(s) - need(len(s)) + 1]
+                    keys.append(s[first])
+                    salts.append(np.where(r[first] >= SALT_RANK, cid % SALTS, -1).astype(np.int32))
+                    sizes.append(len(first))
+                    cids.append(cid)
+                    ns.append(len(s))
                 if keys:
-                    each = [np.concatenate(keys).view(np.int64), np.concatenate(salts).astype(np.int32), np.repeat(np.array(cs, dtype=np.int64), sizes), np.repeat(np.array(ds, dtype=np.int64), sizes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in each], names=["key", "salt", "comp", "cid"])
+                    at = np.repeat(np.array(ns, dtype=np.int64) << 32, sizes) | np.concatenate([np.arange(k) for k in sizes])
+                    each = [np.concatenate(keys).view(np.int64), np.concatenate(salts), np.repeat(np.array(cids, dtype=np.int64), sizes), at]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in each], names=["key", "salt", "cid", "at"])
 
     return emit
 
 
-def shared_keys(batches):
-    """(key, salt, comp, cid) in order of key and salt to distinct (key, comp, cid, m).
+def partnered(n, pos):
+    """Rows of blocks (a matrix: blocks, rows) that may link with another row of theirs, by sizes and positions.
 
-    Unsalted keys stay if they have two components, and m counts their rows; rows of salted keys all stay, without m.
+    The first shingle that two sets share leaves them at most min(n - pos, m - pos) in common.
     """
     import numpy as np
+
+    most = np.minimum((n - pos)[:, :, None], (n - pos)[:, None, :])
+    ok = most * (100 + PERCENT) >= PERCENT * (n[:, :, None] + n[:, None, :])
+    i = np.arange(n.shape[1])
+    ok[:, i, i] = False
+    return ok.any(axis=2)
+
+
+def shared_keys(batches):
+    """(key, salt, cid, at) in order of key and salt to distinct (key, cid) that may have a partner; rows of salted keys all stay."""
+    import numpy as np
     import pyarrow as pa
 
-    def solve(rows):
-        rows = np.unique(rows, axis=0)
-        edge = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-        starts = np.array([0, *edge])
-        size = np.diff([*starts, len(rows)])
-        several = np.minimum.reduceat(rows[:, 2], starts) != np.maximum.reduceat(rows[:, 2], starts)
-        keep = np.repeat(several | (rows[starts, 1] >= 0), size)
-        m = pa.array(np.repeat(size, size)[keep], mask=rows[keep, 1] >= 0)
-        return pa.RecordBatch.from_arrays([*(pa.array(rows[keep, k]) for k in (0, 2, 3)), m], names=["key", "comp", "cid", "m"])
+    def solve(key, salt, cid, at):
+        order = np.lexsort((cid, salt, key))
+        key, salt, cid, at = key[order], salt[order], cid[order], at[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (cid[1:] != cid[:-1])])
+        key, salt, cid, at = key[new], salt[new], cid[new], at[new]
+        edge = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+        starts = np.flatnonzero(edge)
+        size = np.diff(np.append(starts, len(key)))
+        keep = salt >= 0
+        n, pos = at >> 32, at & 0xFFFFFFFF
+        for m in np.unique(size):
+            first = starts[(size == m) & (salt[starts] < 0)]
+            if m > BLOCK:
+                for a in first:
+                    keep[a : a + m] = True
+            elif m > 1:
+                step = max(1, (1 << 21) // int(m) ** 2)
+                for k in range(0, len(first), step):
+                    rows = first[k : k + step, None] + np.arange(m)
+                    keep[rows] = partnered(n[rows], pos[rows])
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cid[keep])], names=["key", "cid"])
 
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        rows = rows if held is None else np.concatenate([held, rows])
-        cut = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
         cut = int(cut[-1]) + 1 if len(cut) else 0
-        held = rows[cut:]
+        held = [x[cut:] for x in rows]
         if cut:
-            yield solve(rows[:cut])
+            yield solve(*(x[:cut] for x in rows))
     if held is not None:
-        yield solve(held)
+        yield solve(*held)
 
 
 class CountTree:
@@ -308,20 +391,21 @@ class CountTree:
                 nodes = nodes[nodes < len(self.levels[k - 1][0])]
         return nodes[nodes >= leaf]
 
-    def pairs(self):
-        """Arrays (i, j) of points that may reach the threshold together, each pair once."""
+    def pairs(self, open_pairs=None):
+        """Arrays (i, j) of points that may reach the threshold together, each pair once.
+
+        ``open_pairs`` tells for two lists of points which pairs are still to be tested, as a matrix.
+        """
         import numpy as np
 
         for leaf, (a, b) in enumerate(self.spans):
             for other in self.leaves_near(leaf):
                 c, d = self.spans[other]
-                p, q = self.points[a:b], self.points[c:d]
-                hit = possible(p, p, q, q)
-                if other == leaf:
-                    hit = np.triu(hit, 1)
-                i, j = np.nonzero(hit)
+                test = np.ones((b - a, d - c), dtype=bool) if open_pairs is None else open_pairs(self.order[a:b], self.order[c:d])
+                i, j = np.nonzero(np.triu(test, 1) if other == leaf else test)
                 if len(i):
-                    yield self.order[a + i], self.order[c + j]
+                    ok = bound(self.points[a + i], self.points[c + j])
+                    yield self.order[a + i[ok]], self.order[c + j[ok]]
 
 
 def bound(high, highs, low=None, lows=None):
@@ -348,8 +432,51 @@ def possible(low, high, lows, highs):
     return bound(high[i], highs[j], low[i], lows[j]).reshape(len(low), len(lows))
 
 
-def block_pairs(batches):
-    """Blocks (key, ca, cb, chunk, comp, cid, n, vec) in order to candidate pairs across components."""
+def clusters(points, comp, chunk, large):
+    """Labels of a block's rows: rows of one component, and what candidate pairs join, share one.
+
+    points: sizes and counts; chunk: of each row, only rows of different ones are tested if there are several;
+    large: finer points of large sets, by row.
+    """
+    import numpy as np
+
+    names, own = np.unique(comp, return_inverse=True)
+    label = np.arange(len(names))
+    several = chunk.min() != chunk.max()
+
+    def open_pairs(i, j):
+        test = label[own[i]][:, None] != label[own[j]][None, :]
+        return test & (chunk[i][:, None] != chunk[j][None, :]) if several else test
+
+    def join(i, j):
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = label[own[x]], label[own[y]]
+            if p != q and not (x in large and y in large and apart(large[x], large[y])):
+                label[label == q] = p
+
+    if len(points) > LEAF:
+        for i, j in CountTree(points).pairs(open_pairs):
+            join(i, j)
+    else:
+        every = np.arange(len(points))
+        i, j = np.nonzero(np.triu(open_pairs(every, every), 1))
+        ok = bound(points[i], points[j])
+        join(i[ok], j[ok])
+    return label[own], names
+
+
+def apart(a, b) -> bool:
+    """Whether the finer counts of two large sets (size, counts) rule a link out."""
+    import numpy as np
+
+    (n, x), (m, y) = a, b
+    size = min(len(x), len(y))
+    most = int(np.minimum(*(v.reshape(-1, size).sum(axis=0, dtype=np.int64) for v in (x, y))).sum())
+    return most * (100 + PERCENT) < PERCENT * (n + m)
+
+
+def block_clusters(batches):
+    """Blocks (key, ca, cb, chunk, comp, cid, n, vec) in order to their clusters of candidates: (cid, comp, root), linear in the rows."""
     import numpy as np
     import pyarrow as pa
 
@@ -357,92 +484,87 @@ def block_pairs(batches):
     held = None
 
     def arrays(batch):
-        vec = batch.column(7)
-        vec = vec.to_pylist()
+        vec, n = batch.column(7).to_pylist(), batch.column(6).to_pylist()
         if all(len(v) == GROUPS for v in vec):
             flat = np.frombuffer(b"".join(vec), dtype="u1").reshape(-1, GROUPS)
         else:
-            flat = np.stack([np.frombuffer(v, dtype="u1" if len(v) == GROUPS else "<u4").astype(np.uint32) for v in vec])
-        ints = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)
-        return ints, flat
+            flat = np.stack([unpack_point(v, m, GROUPS).astype(np.uint32) for v, m in zip(vec, n)])
+        raw = [(m, unpack_point(v, m, groups_of(m))) if m > FULL else None for v, m in zip(vec, n)]
+        return np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1), flat, raw
 
-    def solve(ints, flat):
+    def solve(ints, flat, raw):
         edge = np.flatnonzero((ints[1:, :3] != ints[:-1, :3]).any(axis=1)) + 1
         starts, ends = np.array([0, *edge]), np.array([*edge, len(ints)])
         # The narrowest type that holds sizes and counts.
         kind = np.uint16 if ints[:, 6].max() < 1 << 16 else np.uint32
         points = np.concatenate([ints[:, 6:7].astype(kind), flat.astype(kind, copy=False)], axis=1)
         out = []
-
-        def keep(i, j, bounded):
-            """Pairs of rows, across components (and chunks, if the block is dealt out), each pair of classes once."""
-            ok = (ints[i, 4] != ints[j, 4]) & ((ints[i, 1] == ints[i, 2]) | (ints[i, 3] != ints[j, 3]))
-            i, j = i[ok], j[ok]
-            ids = np.sort(np.stack([ints[i, 5], ints[j, 5]], axis=1), axis=1)
-            ids, first = np.unique(ids, axis=0, return_index=True)
-            if not bounded:
-                ids = ids[bound(points[i[first]], points[j[first]])]
-            out.append(ids)
-
-        for m in np.unique(ends - starts):
-            at = starts[ends - starts == m]
-            if m > LEAF:
-                for a in at:
-                    if (ints[a : a + m, 4] != ints[a, 4]).any():
-                        for i, j in CountTree(points[a : a + m]).pairs():
-                            keep(a + i, a + j, True)
-            elif m > 1:
-                # A block that fits a leaf is one; leaves of a size are joined together.
-                i, j = np.triu_indices(m, 1)
-                step = max(1, (1 << 17) // len(i))
-                for k in range(0, len(at), step):
-                    keep((at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel(), False)
-        new = np.unique(np.concatenate(out), axis=0).tolist() if out else []
-        new = [p for p in map(tuple, new) if p not in done]
+        # Most blocks are pairs of rows: tested together.
+        two = starts[ends - starts == 2]
+        two = two[ints[two, 4] != ints[two + 1, 4]]
+        two = two[bound(points[two], points[two + 1])]
+        blocks = [(a, a + 2) for a in two.tolist()]
+        blocks += [(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if b - a > 2 and (ints[a:b, 4] != ints[a, 4]).any()]
+        for a, b in blocks:
+            large = {k: raw[a + k] for k in range(b - a) if raw[a + k]}
+            label, names = clusters(points[a:b], ints[a:b, 4], ints[a:b, 3], large)
+            order = np.argsort(label, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+                root = int(ints[a + rows, 4].min())
+                if (ints[a + rows, 4] != root).any():
+                    out += [(cid, comp, root) for cid, comp in zip(ints[a + rows, 5].tolist(), ints[a + rows, 4].tolist())]
+        new = [x for x in dict.fromkeys(out) if x not in done]
         if len(done) > 300_000:
             done.clear()
         done.update(new)
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], type=pa.int64()) for i in range(3)], names=["cid", "comp", "root"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        ints, flat = arrays(batch)
+        ints, flat, raw = arrays(batch)
         if held is not None:
-            ints, flat = np.concatenate([held[0], ints]), np.concatenate([held[1], flat])
+            ints, flat, raw = np.concatenate([held[0], ints]), np.concatenate([held[1], flat]), held[2] + raw
         # The last block may go on in the next batch.
         cut = np.flatnonzero((ints[:, :3] != ints[-1, :3]).any(axis=1))
         cut = int(cut[-1]) + 1 if len(cut) else 0
-        held = ints[cut:], flat[cut:]
+        held = ints[cut:], flat[cut:], raw[cut:]
         if cut:
-            yield solve(ints[:cut], flat[:cut])
+            yield solve(ints[:cut], flat[:cut], raw[:cut])
     if held is not None:
         yield solve(*held)
 
 
-def checked(batches):
-    """(a, b, x, y) with packed texts to the pairs that link."""
-    import pyarrow as pa
-
-    for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        ok = [word_sets_linked(unpacked(p).split(), unpacked(q).split()) for p, q in zip(x, y)]
-        yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, ok) if k], type=pa.int64()) for c in (a, b)], names=["a", "b"])
+def dealt(rows: DataFrame, by: str, weight, limit: int, broadcast_rows: int) -> DataFrame:
+    """Rows (by, comp, cid, ..) of groups with several components, dealt to (by, ca, cb) by chunk.
 
-
-def texts_of(docs: DataFrame, wanted: DataFrame, schema: str, broadcast_rows: int) -> DataFrame:
-    """Packed texts of the documents in ``wanted`` (id first)."""
-    rows = docs.join(few(wanted, broadcast_rows), "id")
-    return rows.select(*wanted.columns, "text").mapInArrow(packer, schema)
-
-
-def star_links(docs: DataFrame, rows: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Links within groups of rows (key, cid, id), each group dealt to salts of bounded size."""
-    size = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    salted = rows.join(size, "key").select("id", "key", F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / SALT_ROWS)).cast("int").alias("salt"), "cid")
-    packed = texts_of(docs, durable(salted), "id long, key long, salt int, cid long, blob binary", broadcast_rows)
-    dealt = packed.select("key", "salt", "cid", "blob").repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "cid")
-    return durable(dealt.mapInArrow(pivots, "a long, b long"))
+    A group beyond ``limit`` falls into chunks. Rows of its largest component meet only the chunks of the others, all others meet every chunk.
+    """
+    weight = weight.cast("long")
+    size = rows.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(weight).alias("w")).where("lo != hi").select(by, "w")
+    size = durable(size)
+    rows = rows.join(few(size, broadcast_rows), by)
+    if size.where(F.col("w") > limit).isEmpty():
+        return rows.withColumns({c: F.lit(0) for c in ("ca", "cb", "chunk")}).drop("w")
+    per = rows.where(F.col("w") > limit).groupBy(by, "comp").agg(F.sum(weight).alias("own"))
+    top = durable(per.groupBy(by).agg(F.max(F.struct("own", "comp")).alias("top")))
+    rows = rows.join(few(top, broadcast_rows), by, "left")
+    major, minor = (F.ceil(x / limit).cast("int") for x in (F.col("top.own"), F.col("w") - F.col("top.own")))
+    h, zero = F.xxhash64("cid", F.lit(7)), F.lit(0)
+    in_top, whole = F.col("comp") == F.col("top.comp"), F.col("top").isNull()
+    chunk = F.when(whole, 0).when(in_top, minor + F.pmod(h, major)).otherwise(F.pmod(h, minor)).cast("int")
+    others = F.when(whole, F.array(zero)).otherwise(F.sequence(zero, F.when(in_top, minor - 1).otherwise(major + minor - 1)))
+    rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(others))
+    return rows.withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other")).drop("other", "w", "top")
+
+
+def resolved(docs: DataFrame, rows: DataFrame, broadcast_rows: int, pivots: int | None = None) -> DataFrame:
+    """Links of the groups of rows (id, g, ca, cb, chunk, comp, cid), on the texts."""
+    wanted = durable(rows.select("id", "g", "ca", "cb", "chunk", "comp", "cid"))
+    texts = docs.join(few(wanted, broadcast_rows), "id").select("g", "ca", "cb", "chunk", "comp", "cid", "text")
+    packed = texts.mapInArrow(packer, "g long, ca int, cb int, chunk int, comp long, cid long, blob binary")
+    groups = packed.repartition(F.col("g"), F.col("ca"), F.col("cb")).sortWithinPartitions("g", "ca", "cb", "cid")
+    return durable(groups.mapInArrow(forests(pivots), "a long, b long"))
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = 400_000) -> DataFrame:
@@ -451,76 +573,62 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     base = durable(docs.mapInArrow(features, FEATURES))
     each = base.where("kind = 0").drop("kind")
-    total = each.count()
     usable = each.where("n > 0 and id is not null")
-    first = F.min("id").alias("id")
-    classes = durable(usable.groupBy("cid").agg(first, F.first("n").alias("n"), F.first("vec").alias("vec"), *[F.first(k).alias(k) for k in ("k1", "k2", "k3")]))
-    heavy = base.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("c")).where(F.col("c") >= HEAVY * total)
-    # At most (mean set size / HEAVY) rows, however many documents there are; sorted as unsigned numbers.
-    last = sorted((r[0] for r in heavy.select("cid").collect()), key=lambda x: x % (1 << 64))
+    classes = durable(usable.groupBy("cid").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "vec", "k1")]))
 
     # Copies under one id but of several texts are one document.
     same = usable.groupBy("id").agg(F.min("cid").alias("b"), F.max("cid").alias("c")).where("b != c").select("id")
     same = usable.join(same, "id").select("cid", "id").distinct()
     same = same.join(same.groupBy("id").agg(F.min("cid").alias("b")), "id").select(F.col("cid").alias("a"), "b")
 
-    one = star_links(docs, classes.select("id", F.col("k1").alias("key"), "cid"), broadcast_rows)
-    first_of = one.groupBy("a").agg(F.min("b").alias("b"))
-    comp = classes.join(first_of, classes["cid"] == first_of["a"], "left").select("cid", "id", "k1", "k2", "k3", F.coalesce("b", "cid").alias("comp"))
-    keyed = comp.select("cid", "id", "comp", F.explode(F.array("k1", "k2", "k3")).alias("key")).where("key is not null")
-    again = keyed.groupBy("key", "comp").agg(F.min(F.struct("cid", "id")).alias("x")).select("x.id", "key", "x.cid")
-    two = star_links(docs, again, broadcast_rows)
-    links = one.unionAll(two).unionAll(same)
-    roots = components(links)
-
-    members = durable(usable.select("id", "cid").join(roots, F.col("cid") == F.col("node")).groupBy("id").agg(F.min("root").alias("comp")))
-    marked = docs.join(few(members, broadcast_rows), "id", "left").where("id is not null").select("text", "comp")
-    prefix = marked.mapInArrow(prefixes(spark.sparkContext.broadcast(last)), "key long, salt int, comp long, cid long")
-    # Other keys are in fewer than HEAVY of all documents, so only the salted ones could fill a task.
-    dealt = prefix.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt")
-    rows = durable(dealt.mapInArrow(shared_keys, "key long, comp long, cid long, m long"))
-    salted = rows.where("m is null").drop("m")
-    mixed = salted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
-    rows = rows.where("m is not null").unionByName(salted.join(mixed, "key"))
-    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cid"), chunks).cast("int")
-    dealt = rows.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), "chunk", "comp", "cid")
-    dealt = dealt.join(classes.select("cid", "n", "vec"), "cid").select("key", "ca", "cb", "chunk", "comp", "cid", "n", "vec")
-    blocks = dealt.repartition(F.col("key"), F.col("ca"), F.col("cb")).sortWithinPartitions("key", "ca", "cb")
-    pairs = durable(blocks.mapInArrow(block_pairs, "a long, b long").distinct())
-
-    ids = classes.select("cid", "id")
-    sides = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(ids, "cid").select("id", "cid")
-    near = docs.join(few(durable(sides), broadcast_rows), "id").select("id", "cid", "text")
-    packed = durable(near.mapInArrow(signer, "cid long, sig binary, blob binary").dropDuplicates(["cid"]))
-    sized = packed.select("cid", "sig").join(classes.select("cid", "n"), "cid")
-    x, y = (sized.toDF(c, f"sig_{c}", f"n_{c}") for c in ("a", "b"))
-    pairs = durable(pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(unsigned, "a long, b long"))
-    x, y = (packed.select(F.col("cid").alias(c), F.col("blob").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    verified = (pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"))
-    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified))
-
-    named = usable.select("id", "cid").distinct().join(final, F.col("cid") == F.col("node"), "left").select("id", F.coalesce("root", "cid").alias("root"))
+    size = classes.groupBy(F.col("k1").alias("g")).agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1").select("g", "w")
+    salt = F.pmod(F.xxhash64("cid"), F.ceil(F.col("w") / CHUNK)).cast("int")
+    star = classes.select("id", F.col("k1").alias("g"), "cid").join(few(durable(size), broadcast_rows), "g").withColumn("salt", salt)
+    star = star.select("id", "g", F.col("salt").alias("ca"), F.col("salt").alias("cb"), F.col("salt").alias("chunk"), F.col("cid").alias("comp"), "cid")
+    roots = components(resolved(docs, star, broadcast_rows, PIVOTS).unionAll(same))
+    roots = few(roots.select(F.col("node").alias("cid"), "root"), broadcast_rows)
+
+    slices = base.where("kind = 1").select("id", "vec").repartition("id").mapInArrow(sketch_ranks, "id long, vec binary")
+    # SLICES rows of fixed size, however many documents there are.
+    ranks = {r[0]: bytes(r[1]) for r in slices.collect()}
+    empty = bytes((1 << SKETCH_BITS) // SLICES)
+    ranks = spark.sparkContext.broadcast(b"".join(ranks.get(k, empty) for k in range(SLICES)))
+    prefix = docs.where("id is not null").select("text").mapInArrow(prefixes(ranks), "key long, salt int, cid long, at long")
+    # A key that isn't salted is, by the sketch, in a bounded number of documents.
+    by_key = prefix.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt")
+    rows = by_key.mapInArrow(shared_keys, "key long, cid long")
+    rows = durable(rows.join(roots, "cid", "left").select("key", F.coalesce("root", "cid").alias("comp"), "cid"))
+    blocks = dealt(rows, "key", F.lit(1), BLOCK, broadcast_rows).join(classes.select("cid", "n", "vec"), "cid")
+    blocks = blocks.select("key", "ca", "cb", "chunk", "comp", "cid", "n", "vec").repartition(F.col("key"), F.col("ca"), F.col("cb"))
+    found = durable(blocks.sortWithinPartitions("key", "ca", "cb").mapInArrow(block_clusters, "cid long, comp long, root long").distinct())
+
+    united = components(found.select(F.col("comp").alias("a"), F.col("root").alias("b")).where("a != b").distinct())
+    united = few(united.select(F.col("node").alias("comp"), F.col("root").alias("g")), broadcast_rows)
+    members = found.select("cid", "comp").distinct().join(united, "comp", "left").withColumn("g", F.coalesce("g", "comp"))
+    members = durable(members.join(classes.select("cid", "id", "n"), "cid"))
+    verified = resolved(docs, dealt(members, "g", F.col("n"), CHUNK, broadcast_rows), broadcast_rows)
+    final = components(roots.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionAll(verified))
+
+    named = classes.select("cid", "id").join(final, F.col("cid") == F.col("node"), "left").select("cid", "id", F.coalesce("root", "cid").alias("root"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))
-    of = named.join(smallest, "root").groupBy("id").agg(F.min("component").alias("component"))
-    out = each.select("id", "n").join(of, "id", "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    of = named.join(smallest, "root").select("cid", "component")
+    out = each.select("id", "n", "cid").join(of, "cid", "left")
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def stage(spark, docs: DataFrame, broadcast_rows: int = 400_000) -> DataFrame:
     """One document of each component: the one with the smallest id, once; rows without an id stay."""
-    found = join(docs)
-    gone = durable(found.where("component != id").select(F.col("id").alias("doc_id")).distinct())
-    twice = durable(found.where("id is not null").groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("id").alias("doc_id")))
-    kept = docs.join(few(gone, broadcast_rows), "doc_id", "left_anti").select(docs.columns)
-    if twice.isEmpty():
-        return kept
-    # Ids that occur on several rows: one of those rows, in an order that reruns repeat.
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    few_rows = kept.join(few(twice, broadcast_rows), "doc_id").select(docs.columns)
-    once = few_rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
-    return kept.join(few(twice, broadcast_rows), "doc_id", "left_anti").select(docs.columns).unionAll(once)
+    found = durable(join(docs, broadcast_rows=broadcast_rows))
+    gone = durable(found.where("component != id").select("id").distinct())
+    twice = durable(found.where("id is not null").groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id"))
+    # The row travels as one struct, so that its columns may have any name.
+    every = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = every.join(few(gone, broadcast_rows), "id", "left_anti")
+    if not twice.isEmpty():
+        # Ids that occur on several rows: one of those rows, in an order that reruns repeat.
+        once = kept.join(few(twice, broadcast_rows), "id").groupBy("id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(few(twice, broadcast_rows), "id", "left_anti").select("id", "row").unionAll(once)
+    return kept.select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
