@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -30,14 +31,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir`` as it is.
 
-    Only where none is set (as in tests) a local one is chosen.
+    Only where none is set and all runs in this process (as in tests) a local one is chosen.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return sc.getCheckpointDir()
 
 
+def as_row(docs: DataFrame, *, without: str | None = None) -> Column:
+    """All columns as one struct, which travels under a name of its own: columns of any name can't clash with an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without])
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables by the file system that it is in."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     checkpoint_dir(df.sparkSession)
@@ -54,6 +70,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def count_between(text: Column, separator: str) -> Column:
+    """Number of pieces that are not empty; ``separator`` takes whole runs, so only the first and the last can be."""
+    parts = F.split(text, separator)
+    last = (F.size(parts) > 1) & (F.element_at(parts, -1) == "")
+    return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - last.cast("int")).cast("long")
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 

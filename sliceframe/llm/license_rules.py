@@ -1,9 +1,9 @@
 """License scan with ordered signature rules, in DataFrame operations only.
 
 A rule has a keyword (one word that each of its matches holds, so that line
-breaks don't matter), a regular expression, a label and a priority. One gate
-expression passes most texts by; for the others, only rules whose keyword occurs
-in the text run. Their matches become intervals in code points, and a match that
+breaks don't matter), a regular expression, a label and a priority, all written
+by hand in ``license_signatures``. Only rules whose keyword occurs in the text
+run. Their matches become intervals in code points, and a match that
 lies inside an interval of the same or a better priority is suppressed. All of
 it is row-local: no shuffle, no Python.
 
@@ -16,102 +16,37 @@ characters; an empty table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import BREAK, WORD, count_matches, let
+from sliceframe.llm.common import BREAK, WORD, count_between, let
+from sliceframe.llm.license_signatures import parsed
 
 #: Phrases of the contract and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: License identifiers of the SPDX list (fixed values).
-SPDX = """0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0
-BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-1.0
-CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0
-CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0
-EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.2-only GFDL-1.3-only GPL-1.0-only GPL-2.0-only GPL-2.0-or-later GPL-3.0-only
-GPL-3.0-or-later HPND ICU IPL-1.0 ISC LGPL-2.0-only LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later
-LPL-1.02 LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0
-NCSA NPOSL-3.0 ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL Python-2.0 QPL-1.0
-Ruby Sleepycat SSPL-1.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11
-Zend-2.0 Zlib ZPL-2.1""".split()
-
-#: Names as texts write them, with the label of the family (fixed values).
-NAMES = {
-    "Academic Free License": "afl", "GNU Affero General Public License": "agpl", "Apache License": "apache", "Apache Software License": "apache",
-    "Apple Public Source License": "apsl", "Artistic License": "artistic", "BSD 2-Clause License": "bsd-2-clause", "BSD 3-Clause License": "bsd-3-clause",
-    "BSD License": "bsd", "Boost Software License": "bsl", "Business Source License": "busl", "Common Development and Distribution License": "cddl",
-    "CeCILL License": "cecill", "Common Public License": "cpl", "Creative Commons Attribution License": "cc-by", "Creative Commons Zero": "cc0",
-    "Eclipse Public License": "epl", "European Union Public Licence": "eupl", "GNU Free Documentation License": "gfdl", "GNU General Public License": "gpl",
-    "GNU Lesser General Public License": "lgpl", "GNU Library General Public License": "lgpl", "IBM Public License": "ipl", "ISC License": "isc",
-    "LaTeX Project Public License": "lppl", "Microsoft Public License": "ms-pl", "Microsoft Reciprocal License": "ms-rl", "MIT License": "mit",
-    "Mozilla Public License": "mpl", "Mulan Permissive Software License": "mulan", "Open Database License": "odbl", "SIL Open Font License": "ofl",
-    "Open Software License": "osl", "OpenSSL License": "openssl", "PHP License": "php", "PostgreSQL License": "postgresql",
-    "Python Software Foundation License": "psf", "Q Public License": "qpl", "Ruby License": "ruby", "Server Side Public License": "sspl",
-    "Universal Permissive License": "upl", "Unlicense": "unlicense", "Vim License": "vim", "W3C Software Notice and License": "w3c",
-    "X11 License": "x11", "Zend License": "zend", "zlib License": "zlib", "Zope Public License": "zpl",
-}
-
-#: Hand-written signatures: keyword, pattern, label, priority.
-HAND = [
-    ("hereby", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person", "mit", 1),
-    ("redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", "bsd", 1),
-    ("compliance", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+license", "apache", 1),
-    ("redistribute", r"this\s+program\s+is\s+free\s+software[;:,]?\s+you\s+can\s+redistribute", "gpl", 1),
-    ("fuck", r"do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+license", "wtfpl", 1),
-    ("permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", "isc", 1),
-    ("warranty", r"provided\s+'as-is',\s+without\s+any\s+express\s+or\s+implied\s+warranty", "zlib", 1),
-    ("released", r"released\s+into\s+the\s+public\s+domain", "public-domain", 1),
-    ("dedicated", r"dedicated\s+to\s+the\s+public\s+domain", "public-domain", 1),
-    ("creativecommons.org", r"creativecommons\.org/licenses/by/[0-9.]+", "cc-by", 1),
-    ("creativecommons.org", r"creativecommons\.org/licenses/by-sa/[0-9.]+", "cc-by-sa", 1),
-    ("creativecommons.org", r"creativecommons\.org/licenses/by-nc(?:-(?:sa|nd))?/[0-9.]+", "cc-by-nc", 1),
-    ("creativecommons.org", r"creativecommons\.org/licenses/by-nd/[0-9.]+", "cc-by-nd", 1),
-    ("creativecommons.org", r"creativecommons\.org/publicdomain/zero/[0-9.]+", "cc0", 1),
-    ("gnu.org/licenses", r"gnu\.org/licenses/(?:old-licenses/)?a?l?gpl", "gpl", 1),
-    ("apache.org/licenses", r"apache\.org/licenses/license-2\.0", "apache", 1),
-    ("opensource.org/licenses", r"opensource\.org/licenses/[a-z0-9.-]+", "osi", 2),
-    ("cc", r"\bcc[ -]by[ -]sa\b", "cc-by-sa", 2),
-    ("cc", r"\bcc[ -]by[ -]nc\b", "cc-by-nc", 2),
-    ("cc", r"\bcc[ -]by[ -]nd\b", "cc-by-nd", 2),
-    ("cc", r"\bcc[ -]by\b", "cc-by", 3),
-    ("cc0", r"\bcc0\b", "cc0", 3),
-    ("proprietary", r"proprietary\s+and\s+confidential", "proprietary", 2),
-    ("reserved", r"(?:all|some|no)\s+rights\s+reserved", "reserved", 4),
-    ("copyright", r"copyright\s+(?:\(c\)|©)?\s*[0-9]{4}", "copyright", 4),
-    ("general", r"general\s+public\s+license(?:,?\s+version\s+[0-9.]+)?", "gpl", 3),
-    ("licens", r"licensed\s+under\s+the\s+terms\s+of", "licensed", 4),
-    ("license", r"see\s+(?:the\s+)?license\s+file", "licensed", 4),
-    ("patent", r"patent\s+pending", "patent", 4),
-    ("trademark", r"registered\s+trademark", "trademark", 4),
-]
+#: Stands in every match of a rule whose pattern names it.
+STEM = "licen"
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
-#: Every match of a rule holds one of these; blanks are as wide as those of the rules.
-GATE = r"(?i)licen[sc]|copyright|spdx|rights\s+reserved|public\s+domain|\bcc|redistribution|permission|proprietary|patent|trademark|free\s+software|creative\s*commons|express\s+or\s+implied|fuck"
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """(keyword in lower case, pattern, label, priority), best first; three forms of each name or identifier."""
-    out = list(HAND)
-    out += [("spdx-license-identifier", rf"spdx-license-identifier:\s*{re.escape(x)}(?![\w.+-])", x.lower(), 1) for x in SPDX]
-    for name, label in NAMES.items():
-        words = r"\s+".join(re.escape(w) for w in name.split())
-        last = name.split()[-1].lower()
-        keyword = name.split()[0 if name.split()[0] != "GNU" else 1].lower()
-        out.append((keyword, rf"\b{words}(?:,?\s+version)?\s+v?[0-9](?:\.[0-9]+)*", label, 2))
-        out.append((keyword, rf"(?:licensed|released|distributed|available)\s+under\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?{words}(?:,?\s+version\s+[0-9.]*[0-9])?", label, 2))
-        if last != "license" or keyword not in ("mit", "isc"):
-            out.append((keyword, rf"\b{words}\b", label, 3))
-        else:
-            out.append((keyword, rf"(?<!\w){words}(?!\w)", label, 3))
-    return sorted(out, key=lambda r: r[3])
-
-
-def rule_table() -> Column:
-    rs = rules()
-    return F.array(*[F.struct(F.lit(k).alias("kw"), F.lit("(?i)" + p).alias("re"), F.lit(label).alias("label"), F.lit(prio).alias("prio")) for k, p, label, prio in rs])
+    """(keyword in lower case, pattern, label, priority), best first."""
+    return parsed()
+
+
+def matched(text: Column, lower: Column) -> Column:
+    """The rules that match, with their matches. Patterns are literals, so each is compiled once; it runs only where its keyword stands."""
+    # Most rules hold one word stem, so most texts are asked for few keywords.
+    by_keyword: dict = {True: {}, False: {}}
+    for kw, pattern, label, prio in rules():
+        found = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0))
+        rule = F.struct(found.alias("found"), F.lit("(?i)" + pattern).alias("re"), F.lit(label).alias("label"), F.lit(prio).alias("prio"))
+        by_keyword[STEM in pattern].setdefault(kw, []).append(rule)
+    none = F.expr("cast(array() as array<struct<found:array<string>,re:string,label:string,prio:int>>)")
+    of = {stem: F.flatten(F.array(*[F.when(F.contains(lower, F.lit(kw)), F.array(*rs)).otherwise(none) for kw, rs in some.items()])) for stem, some in by_keyword.items()}
+    each = F.concat(of[False], F.when(F.contains(lower, F.lit(STEM)), of[True]).otherwise(none))
+    return F.filter(each, lambda r: F.size(r["found"]) > 0)
 
 
 def intervals(text: Column, rule: Column) -> Column:
@@ -125,10 +60,11 @@ def intervals(text: Column, rule: Column) -> Column:
             return F.struct((here + F.length(found[i])).alias("at"), F.array_append(acc["out"], here).alias("out"))
 
         starts = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-        return F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), (-(s + F.length(m))).alias("neg_end"), rule["prio"].alias("prio"), rule["label"].alias("label")))
+        # An identifier names itself.
+        label = lambda m: F.when(rule["label"] == "spdx", F.lower(F.regexp_replace(m, r"^.*:\s*", ""))).otherwise(rule["label"])
+        return F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), (-(s + F.length(m))).alias("neg_end"), rule["prio"].alias("prio"), label(m).alias("label")))
 
-    found = F.regexp_extract_all(text, rule["re"], F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, rule["re"]), lambda g: places(g, m))))
+    return let(F.split(text, rule["re"]), lambda g: places(g, rule["found"]))
 
 
 def suppressed(hits: Column) -> Column:
@@ -154,12 +90,11 @@ def scan(docs: DataFrame, *, text: str = "text", out: str = "license") -> DataFr
     """``docs`` with a struct ``out``: word counts, phrases, detections (start, neg_end, prio, label) and score."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    n_words = count_matches(t, WORD + "+")
+    n_words = count_between(t, BREAK + "+")
     found = F.when(t.rlike("(?i)cc|public|reserved"), F.regexp_extract_all(t, F.lit(phrase_pattern()), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
     lower = F.lower(t)
-    hits = let(lower, lambda low: F.flatten(F.filter(F.transform(F.filter(rule_table(), lambda r: F.contains(low, r["kw"])), lambda r: intervals(t, r)), lambda x: x.isNotNull())))
-    none = F.expr("cast(array() as array<struct<start:int,neg_end:int,prio:int,label:string>>)")
-    detections = F.when(t.rlike(GATE), let(F.sort_array(hits), suppressed)).otherwise(none)
+    hits = let(lower, lambda low: F.flatten(F.transform(matched(t, low), lambda r: intervals(t, r))))
+    detections = let(F.sort_array(hits), suppressed)
     return docs.select(*kept, F.explode(F.array(F.struct(n_words.alias("n_words"), found.alias("phrases"), detections.alias("detections")))).alias(out))
 
 
@@ -167,7 +102,7 @@ def query(docs: DataFrame) -> DataFrame:
     d = scan(docs.select("doc_id", "text"))
     t, phrases = F.coalesce(F.col("text"), F.lit("")), F.col("license.phrases")
     gaps = F.split(t, phrase_pattern())
-    words_in = lambda x: count_matches(x, WORD + "+")
+    words_in = lambda x: count_between(x, BREAK + "+")
     some = F.size(phrases) > 0
     normal = F.transform(phrases, lambda p: F.regexp_replace(F.translate(p, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), BREAK + "+", " "))
     names = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
