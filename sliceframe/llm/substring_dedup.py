@@ -15,7 +15,8 @@ windows meet in the shard of their anchor.
  3. Anchors with several different runs get one copy of each: an automaton is
     built over them, and every run is streamed through it; a window whose state
     has two end positions is repeated. An anchor with more than ``SHARD`` runs
-    is dealt out further by window, so no automaton grows with the corpus.
+    is dealt out further by window, so no automaton grows with the corpus; equal
+    windows are compared word by word as they stream by, and only one is held.
  4. Verdicts return to the texts, where covered words are removed.
 
 Texts meet their runs by key; that join broadcasts only tables that a count
@@ -23,7 +24,8 @@ shows to be small.
 
 Defined results: null or wordless text has no words and nothing removed; texts
 shorter than a window stay; repeated rows are other places, so their windows
-are repeated; an empty table gives an empty result; extra columns pass through.
+are repeated; an empty table gives an empty result; extra columns of
+any name pass through, but for one named as the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import durable, few
+from sliceframe.llm.common import as_row, durable, few
 
 WINDOW, GRAM, SHARD = 35, 8, 256
 P = 0x9E3779B97F4A7C15
@@ -209,23 +211,26 @@ def match(batches):
     """Shards in order of (anchor, sub) to (anchor, seg, mask of repeated windows)."""
     import pyarrow as pa
 
-    group, rows = None, []
+    group, rows, texts = None, [], {}
 
     def close():
-        if len(rows) < 2 and not any(r[1] > 1 for r in rows):
+        """Verdicts of a shard of runs; one of single windows has given its own as it went."""
+        if group is None or group[1] >= 0 or (len(rows) < 2 and not any(r[1] > 1 for r in rows)):
             return []
         split = [(r[0], r[1], r[2], r[3].split(b" ")) for r in rows]
-        if group[1] >= 0:  # one window: a single sequence stands for all of its copies
-            texts = {}
-            for _, c, _, w in split:
-                k = tuple(w)
-                texts[k] = texts.get(k, 0) + c
-            automaton = SuffixAutomaton([(list(k), c) for k, c in texts.items()])
-        else:
-            automaton = SuffixAutomaton([(w, c) for _, c, _, w in split])
+        automaton = SuffixAutomaton([(w, c) for _, c, _, w in split])
         out = [(group[0], seg, automaton.repeated(w, WINDOW) << j) for seg, _, j, w in split]
         return [x for x in out if x[2]]
 
+    def window(seg, c, j, words):
+        """Of equal windows only the first is held, until another one comes."""
+        first = texts.setdefault(words, [(seg, j)] if c < 2 else [])
+        out = [(group[0], seg, 1 << j)] if c > 1 or (seg, j) not in first else []
+        if out and first:
+            out.append((group[0], first[0][0], 1 << first[0][1]))
+            first.clear()
+        return out
+
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=pa.int64()) for k in range(3)], names=["anchor", "seg", "mask"])
 
@@ -233,13 +238,14 @@ def match(batches):
         out = []
         for anchor, sub, seg, c, j, words in zip(*(x.to_pylist() for x in batch.columns)):
             if (anchor, sub) != group:
-                if group is not None:
-                    out += close()
-                group, rows = (anchor, sub), []
-            rows.append((seg, c, j, words))
+                out += close()
+                group, rows, texts = (anchor, sub), [], {}
+            if sub >= 0:
+                out += window(seg, c, j, words)
+            else:
+                rows.append((seg, c, j, words))
         yield batch_of(out)
-    if group is not None:
-        yield batch_of(close())
+    yield batch_of(close())
 
 
 def cut(words: list[bytes], found) -> tuple[bytes, int]:
@@ -293,11 +299,10 @@ def dedup(docs: DataFrame, *, text: str = "text", out: str = "dedup", broadcast_
     partly = shards.mapInArrow(match, "anchor long, seg long, mask long")
     whole = kinds.where("c > 1").select("anchor", "seg", F.expr("shiftleft(1L, at.n) - 1L").alias("mask"))
     verdicts = durable(whole.unionAll(partly).groupBy("anchor", "seg").agg(F.bit_or("mask").alias("mask")))
-    found = places.join(verdicts, ["anchor", "seg"]).groupBy("h", "g").agg(F.collect_set(F.struct("lo", "mask")).alias("_found"))
-    kept = [c for c in docs.columns if c != out]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], h.alias("_h"), g.alias("_g"))
-    joined = keyed.join(found.withColumnsRenamed({"h": "_h", "g": "_g"}), ["_h", "_g"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], cutter()(t, F.col("_found")).alias(out))
+    found = places.join(verdicts, ["anchor", "seg"]).groupBy("h", "g").agg(F.collect_set(F.struct("lo", "mask")).alias("found"))
+    row = F.col("row")
+    joined = docs.select(as_row(docs).alias("row"), h.alias("h"), g.alias("g")).join(found, ["h", "g"], "left")
+    return joined.select(*[row.getField(c).alias(c) for c in docs.columns if c != out], cutter()(row.getField(text), F.col("found")).alias(out))
 
 
 def query(docs: DataFrame) -> DataFrame:
