@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import WORD, WORD_TABLE, durable, in_slices
+from sliceframe.llm.common import WORD, WORD_TABLE, as_row, durable, in_slices
 
 WINDOW = 13
 RESULT = "n_words long, hits array<int>, items array<string>, spans array<struct<start:int,end:int>>"
@@ -148,7 +148,23 @@ def contaminated(result: Column) -> Column:
 
 def stage(spark, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated."""
-    return scan(docs, benchmark, out="_decon").where(~contaminated(F.col("_decon"))).drop("_decon")
+    done = scan(docs.select(as_row(docs).alias("row"), F.col("text")), benchmark)
+    return done.where(~contaminated(F.col("decon"))).select("row.*")
+
+
+ORACLE = r"""
+WITH low AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+item AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+sized AS (SELECT item, w, least(13, len(w)) AS n FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+place AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT r, i, n, item FROM place JOIN win USING (n, k)),
+word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM low LEFT JOIN word USING (r) LEFT JOIN ids USING (r)
+"""
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import LOWER_TABLE, durable, few
+from sliceframe.llm.common import LOWER_TABLE, as_row, durable, few
 from sliceframe.llm.components import components
 
 N, PERCENT = 5, 80
@@ -621,8 +621,7 @@ def stage(spark, docs: DataFrame, broadcast_rows: int = 400_000) -> DataFrame:
     found = durable(join(docs, broadcast_rows=broadcast_rows))
     gone = durable(found.where("component != id").select("id").distinct())
     twice = durable(found.where("id is not null").groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id"))
-    # The row travels as one struct, so that its columns may have any name.
-    every = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    every = docs.select(F.col("doc_id").cast("long").alias("id"), as_row(docs).alias("row"))
     kept = every.join(few(gone, broadcast_rows), "id", "left_anti")
     if not twice.isEmpty():
         # Ids that occur on several rows: one of those rows, in an order that reruns repeat.
@@ -631,5 +630,18 @@ def stage(spark, docs: DataFrame, broadcast_rows: int = 400_000) -> DataFrame:
     return kept.select("row.*")
 
 
+#: Transitive closure over all pairs that share a shingle: for small tables.
+ORACLE = r"""
+WITH RECURSIVE low AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM low WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM low UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT low.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM low LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
 def query(docs: DataFrame) -> DataFrame:
     return join(docs).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

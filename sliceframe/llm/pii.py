@@ -34,7 +34,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import durable, few, in_slices
+from sliceframe.llm.common import as_row, durable, few, in_slices
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -230,25 +230,28 @@ def disclosures(docs: DataFrame, *, text: str = "text", min_support: int = 3, ge
     return judged.groupBy("term").agg(F.when(F.max(full), "removed").otherwise("term").alias("how"))
 
 
-def sanitise(docs: DataFrame, *, text: str = "text", out: str = "pii", broadcast_rows: int = 200_000, **how) -> DataFrame:
-    """``docs`` with a struct ``out``: all spans (base ones first) and the sanitised text."""
+def masked(docs: DataFrame, *, text: str = "text", broadcast_rows: int = 200_000, **how) -> DataFrame:
+    """(row, pii): the row as it was, all spans (base ones first) and the sanitised text."""
     leaks = durable(disclosures(docs, text=text, broadcast_rows=broadcast_rows, **how))
     named = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.explode(terms_of(F.col(f"`{text}`"))).alias("term"))
     if leaks.isEmpty():
         named = named.limit(0)
-    by_text = named.join(few(leaks, broadcast_rows), "term").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("term", "how"))).alias("_terms"))
+    by_text = named.join(few(leaks, broadcast_rows), "term").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("term", "how"))).alias("terms"))
     by_text = few(durable(by_text), broadcast_rows)
-    kept = [c for c in docs.columns if c != out]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(f"`{text}`")).alias("_h"))
-    joined = keyed.join(by_text.withColumnRenamed("h", "_h"), "_h", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], applier()(F.col(f"`{text}`"), F.col("_terms")).alias(out))
+    joined = docs.select(as_row(docs).alias("row"), F.xxhash64(F.col(f"`{text}`")).alias("h")).join(by_text, "h", "left")
+    return joined.select("row", applier()(F.col("row").getField(text), F.col("terms")).alias("pii"))
+
+
+def sanitise(docs: DataFrame, *, out: str = "pii", **how) -> DataFrame:
+    """``docs`` with a struct ``out``: all spans (base ones first) and the sanitised text. A column of that name is replaced."""
+    row = F.col("row")
+    return masked(docs, **how).select(*[row.getField(c).alias(c) for c in docs.columns if c != out], F.col("pii").alias(out))
 
 
 def stage(spark, docs: DataFrame) -> DataFrame:
     """All documents, with sanitised texts."""
-    done = sanitise(docs, out="_pii")
-    new = {"text": F.col("_pii.text"), "n_chars": F.length("_pii.text").cast("long")}
-    return done.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    new = {"text": F.col("pii.text"), "n_chars": F.length("pii.text").cast("long")}
+    return masked(docs).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def joined_spans(spans) -> F:

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import SPACE, durable, let, words
+from sliceframe.llm.common import SPACE, as_row, durable, let, words
 
 #: Contract: documents with fewer words, or with more than half of them in repeated windows, fail.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -109,7 +109,7 @@ def learn(labelled: DataFrame, *, features=FEATURES, max_rules: int = 6, max_con
     collects one row a feature and cut point at most.
     """
     valued = labelled.select("y", "grow", *[F.expr(e).alias(f) for f, e in features.items()])
-    points = valued.agg(*[F.percentile_approx(f, [i / CUTS for i in range(1, CUTS)], 1000).alias(f) for f in features]).first()
+    points = valued.agg(*[F.percentile(f, [i / CUTS for i in range(1, CUTS)]).alias(f) for f in features]).first()
     cuts = {f: sorted({float(x) for x in points[f] or ()}) for f in features}
     if not any(cuts.values()):
         return []
@@ -192,16 +192,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 def judge(docs: DataFrame, rules, *, text: str = "text", out: str = "quality_rules") -> DataFrame:
     """``docs`` with a struct ``out``: the counts, base_failed and kept."""
-    kept = [c for c in docs.columns if c != out]
-    # The row travels as one struct, so that its columns can't clash with the counts.
-    row = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{text}`").alias("_text")), "_text", "_s")
+    return judged(docs, rules, text).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != out], F.col("verdict").alias(out))
+
+
+def judged(docs: DataFrame, rules, text: str = "text") -> DataFrame:
+    """(row, verdict)"""
+    counted = statistics(docs.select(as_row(docs).alias("row"), F.col(f"`{text}`").alias("text")))
     failed = base_failed()
-    return row.select("_row", *flat("_s")).select("_row.*", F.struct(*COUNTS, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept")).alias(out))
+    return counted.select("row", *flat()).select("row", F.struct(*COUNTS, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept")).alias("verdict"))
 
 
 def stage(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the base rule and the learned list keep."""
-    return judge(docs, fit(docs, labels), out="_q").where("_q.kept").drop("_q")
+    return judged(docs, fit(docs, labels)).where("verdict.kept").select("row.*")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -53,4 +53,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_substring_dedup": substring_dedup.ORACLE, "op4_chat_formatting": chat.ORACLE}
+    return {
+        "op3_substring_dedup": substring_dedup.ORACLE,
+        "op4_chat_formatting": chat.ORACLE,
+        "op8_benchmark_decontamination": decontaminate.ORACLE,
+        "op9_mixing": mixing.ORACLE,
+        "op10_ngram_jaccard_join": ngram_join.ORACLE,
+    }

@@ -48,7 +48,8 @@ def load(data: bytes, kind: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(data.decode())
-    t.encode_special_tokens = True
+    t.no_truncation()
+    t.no_padding()
     return t
 
 
