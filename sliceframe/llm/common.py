@@ -72,9 +72,9 @@ def words(text: Column) -> Column:
 
 def count_between(text: Column, separator: str) -> Column:
     """Number of pieces that are not empty; ``separator`` takes whole runs, so only the first and the last can be."""
-    parts = F.split(text, separator)
-    last = (F.size(parts) > 1) & (F.element_at(parts, -1) == "")
-    return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - last.cast("int")).cast("long")
+    # In lambdas, and in generators, common parts are not evaluated once by themselves.
+    ends = lambda p: (F.element_at(p, 1) == "").cast("int") + ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int")
+    return let(F.split(text, separator), lambda p: F.size(p) - ends(p)).cast("long")
 
 
 def count_matches(text: Column, pattern: str) -> Column:

@@ -1,7 +1,7 @@
 """License scan with ordered signature rules, in DataFrame operations only.
 
-A rule has a keyword (one word that each of its matches holds, so that line
-breaks don't matter), a regular expression, a label and a priority, all written
+A rule has a keyword (a word of each of its matches, so that line breaks don't
+matter), a regular expression, a label and a priority, all written
 by hand in ``license_signatures``. Only rules whose keyword occurs in the text
 run. Their matches become intervals in code points, and a match that
 lies inside an interval of the same or a better priority is suppressed. All of
@@ -25,8 +25,6 @@ from sliceframe.llm.license_signatures import parsed
 #: Phrases of the contract and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Stands in every match of a rule whose pattern names it.
-STEM = "licen"
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
 
 
@@ -37,15 +35,22 @@ def rules() -> list[tuple[str, str, str, int]]:
 
 def matched(text: Column, lower: Column) -> Column:
     """The rules that match, with their matches. Patterns are literals, so each is compiled once; it runs only where its keyword stands."""
-    # Most rules hold one word stem, so most texts are asked for few keywords.
-    by_keyword: dict = {True: {}, False: {}}
+    by_keyword: dict = {}
     for kw, pattern, label, prio in rules():
         found = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0))
         rule = F.struct(found.alias("found"), F.lit("(?i)" + pattern).alias("re"), F.lit(label).alias("label"), F.lit(prio).alias("prio"))
-        by_keyword[STEM in pattern].setdefault(kw, []).append(rule)
+        by_keyword.setdefault(kw, []).append(rule)
     none = F.expr("cast(array() as array<struct<found:array<string>,re:string,label:string,prio:int>>)")
-    of = {stem: F.flatten(F.array(*[F.when(F.contains(lower, F.lit(kw)), F.array(*rs)).otherwise(none) for kw, rs in some.items()])) for stem, some in by_keyword.items()}
-    each = F.concat(of[False], F.when(F.contains(lower, F.lit(STEM)), of[True]).otherwise(none))
+    words = sorted(k for k in by_keyword if k[0] != "*")
+    here = lambda kw, own: F.contains(lower, F.lit(kw[1:])) if kw[0] == "*" else F.array_contains(own, F.lit(kw))
+
+    def run(own: Column, some) -> Column:
+        return F.flatten(F.array(*[F.when(here(kw, own), F.array(*by_keyword[kw])).otherwise(none) for kw in some]))
+
+    # One pass over the words tells most texts from those that any rule can match.
+    own = F.array_intersect(F.split(lower, "[^a-z0-9]+"), F.array(*map(F.lit, words)))
+    by_word = let(own, lambda k: F.when(F.size(k) > 0, run(k, words)).otherwise(none))
+    each = F.concat(by_word, run(None, sorted(by_keyword.keys() - set(words))))
     return F.filter(each, lambda r: F.size(r["found"]) > 0)
 
 
