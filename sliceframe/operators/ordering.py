@@ -13,9 +13,9 @@ from sliceframe.functions.vector import dot, slice_normal
 
 
 def ordering_method(df: DataFrame, group: list[str], position: Column, instance: Column, out: str = "method") -> DataFrame:
-    """spatial if all rows of the group have a position, else instance if all have a number, else id."""
+    """spatial if all rows of the group have a position, else instance_number if all have a number, else sop_instance_uid."""
     w = Window.partitionBy(*group)
-    return df.withColumn(out, F.when(F.bool_and(position.isNotNull()).over(w), "spatial").when(F.bool_and(instance.isNotNull()).over(w), "instance").otherwise("id"))
+    return df.withColumn(out, F.when(F.bool_and(position.isNotNull()).over(w), "spatial").when(F.bool_and(instance.isNotNull()).over(w), "instance_number").otherwise("sop_instance_uid"))
 
 
 def order_rows(df: DataFrame, group: list[str], position: Column, instance: Column, uid: Column, *, stage: int = 1) -> DataFrame:
@@ -26,7 +26,7 @@ def order_rows(df: DataFrame, group: list[str], position: Column, instance: Colu
     d = ordering_method(df, group, position, instance)
     spatial = F.col("method") == "spatial"
     second = F.coalesce(instance.cast("long"), F.lit(0).cast("long")) if stage == 1 else F.lit(0).cast("long")
-    keys = [F.when(spatial, position), F.when(spatial, second).when(F.col("method") == "instance", instance.cast("long")), uid]
+    keys = [F.when(spatial, position), F.when(spatial, second).when(F.col("method") == "instance_number", instance.cast("long")), uid]
     return d.withColumn("idx", F.row_number().over(Window.partitionBy(*group).orderBy(*keys)) - 1)
 
 

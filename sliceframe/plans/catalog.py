@@ -30,10 +30,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from sliceframe.plans import health  # noqa: F401  registers its queries here
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from sliceframe.plans import health  # noqa: F401
+
     return ORACLES
 
 
@@ -173,16 +177,23 @@ def attach_attributes(t):
     return t("orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
 
 
-@query("SELECT o_custkey, count(*) AS n_orders, count(DISTINCT o_orderstatus) AS n_status FROM orders GROUP BY 1 HAVING count(*) <> count(DISTINCT o_orderstatus)")
+@query("""WITH a AS (SELECT o_custkey AS study, count(*) AS n_listed FROM orders GROUP BY 1), b AS (SELECT o_custkey AS study, count(DISTINCT l_orderkey) AS n_found FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 9 <> 0 GROUP BY 1)
+SELECT study, n_listed, n_found FROM a JOIN b USING (study) WHERE n_listed <> n_found""")
 def count_mismatch(t):
-    n = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.count_distinct("o_orderstatus").alias("n_status"))
-    return n.where("n_orders != n_status")
+    """Studies whose number of listed series differs from that found."""
+    listed = t("orders").groupBy(F.col("o_custkey").alias("study")).agg(F.count("*").alias("n_listed"))
+    series = t("lineitem").where(F.col("l_orderkey") % 9 != 0).select("l_orderkey").distinct()
+    found = series.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("study")).agg(F.count("*").alias("n_found"))
+    return listed.join(found, "study").where("n_listed != n_found")
 
 
-@query("SELECT n_regionkey, bool_and(n_regionkey = r_regionkey) AS consistent, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE o_custkey % 25 END AS nation FROM orders)
+SELECT nation, bool_and(nation = c_nationkey) AS consistent, count(*) AS n FROM a JOIN orders USING (o_orderkey) JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def mapping_consistency(t):
-    j = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("n_regionkey").agg(F.bool_and(F.col("n_regionkey") == F.col("r_regionkey")).alias("consistent"), F.count("*").alias("n"))
+    """Whether a mapping from orders to nations agrees with that of the customers, by nation."""
+    a = t("orders").select("o_custkey", F.when(F.col("o_orderkey") % 41 == 0, F.lit(0)).otherwise(F.col("o_custkey") % 25).cast("long").alias("nation"))
+    j = a.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy("nation").agg(F.bool_and(F.col("nation") == F.col("c_nationkey")).alias("consistent"), F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
@@ -190,9 +201,9 @@ def orphans_left(t):
     return t("orders").select("o_orderkey").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
 
 
-@query("SELECT l_orderkey FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey")
+@query("SELECT l_orderkey FROM lineitem ANTI JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) ON o_orderkey = l_orderkey")
 def orphans_right(t):
-    return t("lineitem").select("l_orderkey").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    return t("lineitem").select("l_orderkey").join(t("orders").where(F.col("o_orderkey") % 7 != 0), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
 
 
 @query("SELECT doc_id, lang, source FROM documents SEMI JOIN labels USING (doc_id)")
@@ -243,11 +254,11 @@ def ordered_series(t):
 
 
 FALLBACK = """f AS (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 AND value < 5 THEN NULL ELSE value END AS pos, CASE WHEN user_id % 2 = 0 AND value > 95 THEN NULL ELSE event_id % 7 END AS inst FROM events),
-m AS (SELECT *, CASE WHEN bool_and(pos IS NOT NULL) OVER (PARTITION BY user_id) THEN 'spatial' WHEN bool_and(inst IS NOT NULL) OVER (PARTITION BY user_id) THEN 'instance' ELSE 'id' END AS method FROM f)"""
+m AS (SELECT *, CASE WHEN bool_and(pos IS NOT NULL) OVER (PARTITION BY user_id) THEN 'spatial' WHEN bool_and(inst IS NOT NULL) OVER (PARTITION BY user_id) THEN 'instance_number' ELSE 'sop_instance_uid' END AS method FROM f)"""
 
 
 @query(f"""WITH {FALLBACK} SELECT user_id, event_id, method, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN method = 'spatial' THEN pos END NULLS FIRST,
-CASE WHEN method = 'spatial' THEN coalesce(inst, 0) WHEN method = 'instance' THEN inst END NULLS FIRST, event_id) - 1 AS idx FROM m""")
+CASE WHEN method = 'spatial' THEN coalesce(inst, 0) WHEN method = 'instance_number' THEN inst END NULLS FIRST, event_id) - 1 AS idx FROM m""")
 def order_fallback(t):
     pos = F.when(~((F.col("user_id") % 3 == 0) & (F.col("value") < 5)), F.col("value"))
     inst = F.when(~((F.col("user_id") % 2 == 0) & (F.col("value") > 95)), F.col("event_id") % 7)
@@ -352,10 +363,10 @@ CASE WHEN cv > 0.15 THEN 'irregular_gaps' END, CASE WHEN n < 4 THEN 'few_slices'
 @query(f"WITH {SERIES} SELECT l_orderkey, CASE WHEN n_flag > 1 THEN 'INVALID' WHEN len(codes) > 0 THEN 'WARNING' ELSE 'VALID' END AS status, array_to_string(codes, ' | ') AS messages FROM c")
 def series_validation(t):
     n = t("lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.count_distinct("l_returnflag").alias("n_flag"), F.count_distinct("l_linestatus").alias("n_status"),
-        F.try_divide(F.stddev_pop("l_extendedprice"), F.avg("l_extendedprice")).alias("cv"), (F.count("*") - F.count_distinct("l_linenumber")).alias("n_dup"),
+        F.count("*").alias("n"), (F.min("l_returnflag") != F.max("l_returnflag")).alias("mixed_flag"), (F.min("l_linestatus") != F.max("l_linestatus")).alias("mixed_status"),
+        F.try_divide(F.stddev_pop("l_extendedprice"), F.avg("l_extendedprice")).alias("cv"), (F.count("*") - F.size(F.collect_set("l_linenumber"))).alias("n_dup"),
     )
-    rules = [("mixed_size", "INVALID", F.col("n_flag") > 1), ("mixed_spacing", "WARNING", F.col("n_status") > 1), ("duplicate_positions", "WARNING", F.col("n_dup") > 0), ("irregular_gaps", "WARNING", F.col("cv") > 0.15), ("few_slices", "WARNING", F.col("n") < 4)]
+    rules = [("mixed_size", "INVALID", F.col("mixed_flag")), ("mixed_spacing", "WARNING", F.col("mixed_status")), ("duplicate_positions", "WARNING", F.col("n_dup") > 0), ("irregular_gaps", "WARNING", F.col("cv") > 0.15), ("few_slices", "WARNING", F.col("n") < 4)]
     return quality.apply_rules(n, rules, ok="VALID").select("l_orderkey", "status", F.array_join("codes", " | ").alias("messages"))
 
 
@@ -372,7 +383,7 @@ UNION ALL SELECT CASE WHEN (SELECT count(*) FROM documents WHERE text IS NULL) >
 UNION ALL SELECT CASE WHEN (SELECT count(*) FROM documents WHERE n_chars = 0) > 0 THEN 'WARNING' ELSE 'INFO' END)
 SELECT s.severity, count(f.severity) AS n FROM (VALUES ('CRITICAL'), ('WARNING'), ('INFO')) s(severity) LEFT JOIN f USING (severity) GROUP BY 1""")
 def audit_findings(t):
-    n = t("documents").agg((F.count("*") - F.count_distinct("text")).alias("dups"), F.count_if(F.col("lang") != "en").alias("langs"), F.count_if(F.col("text").isNull()).alias("nulls"), F.count_if(F.col("n_chars") == 0).alias("empty"))
+    n = t("documents").agg((F.count("*") - F.count_distinct(F.sha2(F.col("text").cast("binary"), 256))).alias("dups"), F.count_if(F.col("lang") != "en").alias("langs"), F.count_if(F.col("text").isNull()).alias("nulls"), F.count_if(F.col("n_chars") == 0).alias("empty"))
     checks = [("duplicate_images", "WARNING", "INFO", F.col("dups") > 0), ("modality_check", "WARNING", "INFO", F.col("langs") > 0), ("unreadable", "CRITICAL", "INFO", F.col("nulls") > 0), ("constant_or_empty", "WARNING", "INFO", F.col("empty") > 0)]
     return quality.severity_tally(quality.findings(n, checks))
 
@@ -569,9 +580,12 @@ def split_hash(t):
     return split.split_ids(t("events"), F.col("user_id"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_overlap")
+@query("""WITH u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS unit FROM events), r AS (SELECT unit, row_number() OVER (ORDER BY md5('42|' || unit), unit) AS rn, count(*) OVER () AS n FROM u)
+SELECT count(*) AS n_overlap FROM r WHERE rn <= floor(n * 0.8::DOUBLE) AND CAST(unit AS BIGINT) % 10 = 3""")
 def leakage_check(t):
-    return split.leakage(split.split_ids(t("events"), F.col("user_id"))).agg(F.count("*").alias("n_overlap"))
+    """Units on both sides of a split, into whose validation side every tenth unit was copied."""
+    done = split.split_ids(t("events"), F.col("user_id"))
+    return split.leakage(done.unionByName(done.where(F.col("unit").cast("long") % 10 == 3).withColumn("split", F.lit("val")))).agg(F.count("*").alias("n_overlap"))
 
 
 @query("SELECT label, CAST(i - 1 AS INTEGER) AS i, round(avg(v), 6) AS value FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")

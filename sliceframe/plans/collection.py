@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sliceframe.functions.vector import plane_of
+from sliceframe.functions.vector import dot, plane_of
 from sliceframe.operators.ordering import order_rows, slice_positions
 from sliceframe.operators.quality import apply_rules, stage1_rules
 
@@ -40,18 +40,23 @@ def series_table(slices: DataFrame, *, epsilon: float = 1e-3) -> DataFrame:
     c = F.col
     w = Window.partitionBy(*GROUP).orderBy("idx")
     to_first = F.array_max(F.zip_with("iop", F.first("iop").over(w), lambda a, b: F.abs(a - b)))
-    d = slices.withColumns({"_gap": F.abs(c("position") - F.lag("position").over(w)), "_turn": to_first})
+    # Without a spatial order, positions are those along the first ordered slice's normal, if every slice has one.
+    place = F.when(c("method") == "spatial", c("position")).otherwise(dot(c("ipp"), F.first("normal").over(w)))
+    d = slices.withColumns({"_place": place, "_turn": to_first}).withColumn("_gap", F.abs(c("_place") - F.lag("_place").over(w)))
+    known = F.count_if(c("_place").isNull()) == 0
     missing = lambda x: F.count_if(x.isNull())
     one = d.groupBy(*GROUP).agg(
         F.count("*").alias("n_slices"), F.first("method").alias("method"), F.min_by("normal", "idx").alias("_normal"),
         *[F.get(F.min_by(F.array(k), "idx"), F.lit(0)).alias(v) for k, v in FIRST.items()],
         F.count_if(c("Rows").isNull() | c("Columns").isNull()).alias("n_no_size"), F.greatest(F.count_distinct("Rows"), F.count_distinct("Columns")).alias("n_sizes"),
         missing(c("spacing")).alias("n_no_spacing"), F.count_distinct("spacing").alias("n_spacings"), missing(c("iop")).alias("n_no_iop"), F.max("_turn").alias("iop_spread"),
-        missing(c("ipp")).alias("n_no_ipp"), missing(c("position")).alias("n_no_position"), F.count_if(c("_gap") < epsilon).alias("n_dup"), F.median("_gap").alias("median_gap"),
-        F.when(F.avg("_gap") > 0, F.stddev_pop("_gap") / F.nullif(F.avg("_gap"), F.lit(0.0))).alias("gap_cv"),
+        missing(c("ipp")).alias("n_no_ipp"), missing(c("_place")).alias("n_no_position"), F.when(known, F.count_if(c("_gap") < epsilon)).otherwise(0).alias("n_dup"), F.when(known, F.median("_gap")).alias("median_gap"),
+        F.when(known & (F.avg("_gap") > 0), F.stddev_pop("_gap") / F.nullif(F.avg("_gap"), F.lit(0.0))).alias("gap_cv"),
         F.count_if(c("NumberOfFrames") > 1).alias("n_multiframe"), F.count_distinct(F.coalesce(c("TransferSyntaxUID"), F.lit(""))).alias("n_syntaxes"),
     )
-    return one.withColumn("plane", plane_of(c("_normal"))).withColumn("slice_spacing", F.coalesce("median_gap", "spacing_tag")).drop("_normal")
+    # Of a series that is not spatially ready the plane is unknown.
+    plane = F.when(c("method") == "spatial", plane_of(c("_normal"))).otherwise("unknown")
+    return one.withColumn("plane", plane).withColumn("slice_spacing", F.coalesce("median_gap", "spacing_tag")).drop("_normal")
 
 
 def validated(series: DataFrame, **limits) -> DataFrame:

@@ -43,7 +43,7 @@ def load_train(spark: SparkSession, path: str) -> DataFrame:
 def load_series(spark: SparkSession, path: str) -> DataFrame:
     cols = ["StudyInstanceUID", "SeriesInstanceUID", "Fluid_Sensitive", "Fat_Suppression", "Anatomical_Plane"]
     df = numbers(require_columns(read_csv(spark, path), cols, "series"), cols[2:4], "int")
-    bad = [r[0] for r in df.select("Anatomical_Plane").where(~F.coalesce(F.col("Anatomical_Plane").isin(PLANES), F.lit(False))).distinct().limit(5).collect()]
+    bad = [r[0] for r in df.select("Anatomical_Plane").where(F.col("Anatomical_Plane").isNotNull() & ~F.col("Anatomical_Plane").isin(PLANES)).distinct().limit(5).collect()]
     if bad:
         raise TabularSchemaError(f"series: planes outside {PLANES}: {bad}")
     return df

@@ -74,7 +74,7 @@ def test_rules_over_series(spark, tmp_path):
     assert (got["good"].status, got["good"].codes, got["good"].median_gap) == ("VALID", [], 3.0)
     assert got["mixed"].status == "INVALID" and got["mixed"].codes == ["mixed_size"]
     assert got["twice"].status == "WARNING" and "duplicate_positions" in got["twice"].codes
-    assert (got["bare"].plane, got["bare"].method) == ("unknown", "instance")
+    assert (got["bare"].plane, got["bare"].method) == ("unknown", "instance_number")
     assert {"missing_spacing", "missing_orientation", "missing_position", "ordering_fallback", "positions_unknown", "plane_unknown"} <= set(got["bare"].codes)
 
 
