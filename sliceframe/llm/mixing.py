@@ -103,17 +103,18 @@ def cut_off(queues: DataFrame, budget: int, epochs: int):
     return r["at"], left - r["before"]
 
 
-def schedule(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 7, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+def schedule(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 7, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, keep: list[str] | None = None) -> DataFrame:
     """(row, s, size, source_size, target, queued, words): the row as it was and its place in the mix.
 
     ``queued`` counts the source's words before the document, ``words`` is an
-    array of what the mix takes of each of its copies.
+    array of what the mix takes of each of its copies; ``keep`` names the columns
+    of the row, all by default.
     """
     none = F.lit("")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), none), F.lit(":"), F.coalesce(F.col(f"`{text}`"), none)).cast("binary"))
     # A key that is never null, so that the join and the window share one exchange.
     s = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), none)
-    base = docs.select(as_row(docs).alias("row"), size_of(F.col(f"`{text}`")).alias("size"), h.alias("h"), s.alias("s")).withColumn("b", F.substring("h", 1, 3))
+    base = docs.select(as_row(docs.select(*[f"`{c}`" for c in keep or docs.columns])).alias("row"), size_of(F.col(f"`{text}`")).alias("size"), h.alias("h"), s.alias("s")).withColumn("b", F.substring("h", 1, 3))
     sums = durable(base.groupBy("s", "b").agg(F.sum("size").alias("words")))
     src = F.when(F.col("s") != "", F.expr("substring(s, 2)"))
     sizes = sums.groupBy("s").agg(F.sum("words").alias("source_size")).withColumn("src", src)
@@ -160,7 +161,7 @@ def mix(docs: DataFrame, *, epochs: int = EPOCHS, **how) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     """A row a document, in order of virtual finish time."""
-    done = schedule(docs.select("doc_id", "source", "text"))
+    done = schedule(docs.select("doc_id", "source", "text"), keep=["doc_id"])
     taken = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x)
     return done.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), finish_of(0).alias("finish")).orderBy("finish", "doc_id")
 
