@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sliceframe.functions.scalar import safe_ratio
+from sliceframe.operators.ranks import percentiles
 
 
 def long_labels(df: DataFrame, labels: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -43,11 +44,12 @@ def jaccard(df: DataFrame, labels: list[str]) -> DataFrame:
 def describe(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
     """n, mean, population std, min, p1, p25, median, p75, p99, max; exact percentiles by linear interpolation."""
     c = F.col(f"`{column}`").cast("double")
-    qs = F.percentile(c, F.array(*[F.lit(q) for q in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    one = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), qs.alias("q"))
-    names = ("p1", "p25", "median", "p75", "p99")
+    names = {0.01: "p1", 0.25: "p25", 0.5: "median", 0.75: "p75", 0.99: "p99"}
     r = lambda x: F.round(x, digits)
-    return one.select("n", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("min")).alias("min"), *[r(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(names)], r(F.col("max")).alias("max"))
+    one = df.agg(F.count(c).alias("n"), r(F.avg(c)).alias("mean"), r(F.stddev_pop(c)).alias("std"), r(F.min(c)).alias("min"), r(F.max(c)).alias("max"))
+    ranked = percentiles(df, [], c, list(names)).agg(*[r(F.max(F.when(F.col("q") == q, F.col("value")))).alias(n) for q, n in names.items()])
+    both = one.unionByName(ranked, allowMissingColumns=True)
+    return both.agg(*[F.max(k).alias(k) for k in ("n", "mean", "std", "min", *names.values(), "max")])
 
 
 def value_counts(df: DataFrame, *columns: str, top: int | None = None) -> DataFrame:
