@@ -35,3 +35,65 @@ def attention_checks(df: DataFrame, bag: str) -> DataFrame:
     """Sums to one, and counts of undefined weights, for each bag."""
     bad = F.count_if(F.col("attention").isNull() | F.isnan("attention"))
     return df.groupBy(bag).agg(F.count("*").alias("n"), bad.alias("n_bad"), (F.abs(F.sum("attention") - 1) < 1e-4).alias("sums_to_one"))
+
+
+#: Rows of plane embeddings (fixed values).
+PLANE_INDEX = {"Sagittal": 0, "Coronal": 1, "Axial": 2}
+
+
+def masked_mean(df: DataFrame, bag: str, embedding: str, mask: Column, digits: int = 6) -> DataFrame:
+    """Mean over the rows that ``mask`` holds; zeros for a bag without any."""
+    d = df.select(bag, F.coalesce(mask, F.lit(False)).alias("_on"), F.posexplode(embedding).alias("i", "v"))
+    return d.groupBy(bag, "i").agg(F.round(F.coalesce(F.avg(F.when(F.col("_on"), F.col("v").cast("double"))), F.lit(0.0)), digits).alias("value"))
+
+
+def plane_index(derived: Column, listed: Column) -> Column:
+    """The derived plane's row, else the listed one's, else that of Sagittal; names outside the list count as Sagittal."""
+    name = F.coalesce(F.nullif(derived, F.lit("")), F.nullif(listed, F.lit("")), F.lit("Sagittal"))
+    known = F.create_map(*[F.lit(x) for kv in PLANE_INDEX.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, name), F.lit(0))
+
+
+def label_scores(embedding: Column, projection: list[list[float]], bias: list[float], queries: dict[str, list[float]], *, added: Column | None = None, temperature: float = 1.0) -> dict[str, Column]:
+    """Per label q . tanh(W h' + b) / temperature, where h' is the embedding plus ``added``."""
+    h = embedding if added is None else F.zip_with(embedding, added, lambda a, b: a.cast("double") + b)
+    z = [F.tanh(scores(h, row) + float(b)) for row, b in zip(projection, bias, strict=True)]
+    dot = lambda q: sum((x * float(c) for x, c in zip(z, q, strict=True)), F.lit(0.0))
+    return {label: dot(q) / temperature for label, q in queries.items()}
+
+
+def label_attention_pool(df: DataFrame, bag: str, embedding: str, by_label: dict[str, Column], mask: Column | None = None, digits: int = 6) -> DataFrame:
+    """(bag, label, i, value): for each label the embeddings (without what was added) weighted by the softmax of its scores
+    over the bag's rows that ``mask`` holds. A bag without such a row has none in the result.
+
+    Scores stay columns, so an embedding is not repeated for each label, and only the maxima of bags are joined back.
+    """
+    on = df if mask is None else df.where(mask)
+    d = on.select(bag, F.col(embedding).alias("_h"), *[s.alias(f"_s{k}") for k, s in enumerate(by_label.values())])
+    ks = range(len(by_label))
+    top = d.groupBy(bag).agg(*[F.max(f"_s{k}").alias(f"_m{k}") for k in ks])
+    e = d.join(top, bag).select(bag, *[F.exp(F.col(f"_s{k}") - F.col(f"_m{k}")).alias(f"_e{k}") for k in ks], F.posexplode("_h").alias("i", "v"))
+    one = e.groupBy(bag, "i").agg(*[(F.sum(F.col(f"_e{k}") * F.col("v").cast("double")) / F.sum(f"_e{k}")).alias(f"_v{k}") for k in ks])
+    rows = F.array(*[F.struct(F.lit(label).alias("label"), F.round(f"_v{k}", digits).alias("value")) for k, label in enumerate(by_label)])
+    return one.select(bag, "i", F.inline(rows)).select(bag, "label", "i", "value")
+
+
+def label_classifier(pooled: DataFrame, bag: str, parameters: DataFrame, bias: dict[str, float], eps: float = 1e-5, digits: int = 6) -> DataFrame:
+    """(bag, label, logit): layer normalisation over i, then one linear output for each label.
+
+    ``parameters`` has (label, i, weight, gamma, beta), a row for each label and element: the size of a model's last layer.
+    """
+    d = pooled.join(F.broadcast(parameters), ["label", "i"])
+    wg = F.col("weight") * F.col("gamma")
+    one = d.groupBy(bag, "label").agg(F.avg("value").alias("_m"), F.var_pop("value").alias("_v"), F.sum(F.col("value") * wg).alias("_x"), F.sum(wg).alias("_w"), F.sum(F.col("weight") * F.col("beta")).alias("_b"))
+    b = F.try_element_at(F.create_map(*[F.lit(x) for k, v in bias.items() for x in (k, float(v))]), F.col("label"))
+    logit = (F.col("_x") - F.col("_m") * F.col("_w")) / F.sqrt(F.col("_v") + eps) + F.col("_b") + F.coalesce(b, F.lit(0.0))
+    return one.select(bag, "label", F.round(logit, digits).alias("logit"))
+
+
+def pooling_of(kind: str):
+    """The pooling by name; an unknown one raises."""
+    known = {"mean": mean_pool, "masked_mean": masked_mean, "attention": attention_pool, "label_attention": label_attention_pool}
+    if kind not in known:
+        raise ValueError(f"unknown pooling: {kind}; known: {', '.join(known)}")
+    return known[kind]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sliceframe.functions import scalar, vector
 from sliceframe.operators import aggregates as A
-from sliceframe.operators import metrics, ordering, pooling, quality, sampling, selection, split
+from sliceframe.operators import metrics, ordering, pooling, quality, ranks, sampling, selection, split
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -30,13 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sliceframe.plans import health  # noqa: F401  registers its queries here
+    from sliceframe.plans import health, scoring  # noqa: F401  register their queries here
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from sliceframe.plans import health  # noqa: F401
+    from sliceframe.plans import health, scoring  # noqa: F401
 
     return ORACLES
 
@@ -339,7 +339,9 @@ def regex_markers(t):
 @query("SELECT lang, CAST(min(length(text)) AS BIGINT) AS lo, round(median(length(text)), 6) AS median, CAST(max(length(text)) AS BIGINT) AS hi FROM documents GROUP BY 1")
 def text_length_stats(t):
     n = F.char_length("text")
-    return t("documents").groupBy("lang").agg(F.min(n).cast("long").alias("lo"), F.round(F.median(n), 6).alias("median"), F.max(n).cast("long").alias("hi"))
+    ends = t("documents").groupBy("lang").agg(F.min(n).cast("long").alias("lo"), F.max(n).cast("long").alias("hi"))
+    middle = ranks.percentiles(t("documents"), ["lang"], n, [0.5]).select(F.col("lang").alias("_l"), F.round("value", 6).alias("median"))
+    return ends.join(middle, F.col("lang").eqNullSafe(F.col("_l")), "left").select("lang", "lo", "median", "hi")
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b, CAST(NULL AS DOUBLE) AS c FROM part")
@@ -441,8 +443,8 @@ CLIP = """q AS (SELECT event_type, quantile_cont(value, 0.005) AS lo, quantile_c
 
 def clipped(t):
     e = t("events").select("event_type", "value")
-    q = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.005), F.lit(0.995))).alias("q"))
-    q = q.select("event_type", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+    q = ranks.percentiles(e, ["event_type"], F.col("value"), [0.005, 0.995])
+    q = q.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     return e.join(q, "event_type").withColumn("x", scalar.clip(F.col("value"), F.col("lo"), F.col("hi")))
 
 

@@ -24,7 +24,7 @@ def normal(rows):
     return sorted(str([f"{v:.6f}" if isinstance(v, float) else None if v is None else v for v in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
