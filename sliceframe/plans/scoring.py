@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sliceframe import settings
 from sliceframe.operators import metrics, pooling
 from sliceframe.plans.catalog import PRED, ROC, long, preds, query
 
@@ -85,3 +86,15 @@ def inference_maps(t):
     rows = F.array(F.struct(F.lit("quality").alias("label"), (x / 1000 - 2).alias("score")), F.struct(F.lit("toxic").alias("label"), (1 - x / 2000).alias("score")))
     done = metrics.inference(t("documents").select("doc_id", F.inline(rows)), "doc_id", 0.6)
     return done.select("doc_id", *[F.col(m)[k].alias(f"{m[0]}_{k}") for m in ("probabilities", "decisions") for k in ("quality", "toxic")])
+
+
+KEYED = f"""concat('{{"config":"{settings.fingerprint(settings.defaults())}","pipeline_version":"2","series_uid":"S', l_orderkey, '","sops":[', string_agg(concat('"', l_orderkey, '/', l_linenumber, '"'), ',' ORDER BY l_linenumber, l_partkey), ']}}')"""
+
+
+@query(f"SELECT concat('S', l_orderkey) AS series_id, substr(sha256({KEYED}), 1, 24) AS cache_key FROM lineitem GROUP BY l_orderkey")
+def series_cache_keys(t):
+    """A key hashes a series' slices in order, so a series meets in one task."""
+    slices = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("sop"))))
+    d = t("lineitem").groupBy("l_orderkey").agg(slices.alias("s"))
+    series = F.concat(F.lit("S"), F.col("l_orderkey").cast("string"))
+    return d.select(series.alias("series_id"), settings.series_cache_key(settings.defaults(), series, F.col("s.sop")).alias("cache_key"))
