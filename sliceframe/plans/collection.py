@@ -45,14 +45,16 @@ def series_table(slices: DataFrame, *, epsilon: float = 1e-3) -> DataFrame:
     d = slices.withColumns({"_place": place, "_turn": to_first}).withColumn("_gap", F.abs(c("_place") - F.lag("_place").over(w)))
     known = F.count_if(c("_place").isNull()) == 0
     missing = lambda x: F.count_if(x.isNull())
+    # 2 stands for more than one: rules ask no more, and counts of distinct values would multiply the rows.
+    kinds = lambda x: F.when(F.min(x) != F.max(x), 2).when(F.min(x).isNotNull(), 1).otherwise(0)
     one = d.groupBy(*GROUP).agg(
         F.count("*").alias("n_slices"), F.first("method").alias("method"), F.min_by("normal", "idx").alias("_normal"),
         *[F.get(F.min_by(F.array(k), "idx"), F.lit(0)).alias(v) for k, v in FIRST.items()],
-        F.count_if(c("Rows").isNull() | c("Columns").isNull()).alias("n_no_size"), F.greatest(F.count_distinct("Rows"), F.count_distinct("Columns")).alias("n_sizes"),
-        missing(c("spacing")).alias("n_no_spacing"), F.count_distinct("spacing").alias("n_spacings"), missing(c("iop")).alias("n_no_iop"), F.max("_turn").alias("iop_spread"),
+        F.count_if(c("Rows").isNull() | c("Columns").isNull()).alias("n_no_size"), F.greatest(kinds(c("Rows")), kinds(c("Columns"))).alias("n_sizes"),
+        missing(c("spacing")).alias("n_no_spacing"), kinds(c("spacing")).alias("n_spacings"), missing(c("iop")).alias("n_no_iop"), F.max("_turn").alias("iop_spread"),
         missing(c("ipp")).alias("n_no_ipp"), missing(c("_place")).alias("n_no_position"), F.when(known, F.count_if(c("_gap") < epsilon)).otherwise(0).alias("n_dup"), F.when(known, F.median("_gap")).alias("median_gap"),
         F.when(known & (F.avg("_gap") > 0), F.stddev_pop("_gap") / F.nullif(F.avg("_gap"), F.lit(0.0))).alias("gap_cv"),
-        F.count_if(c("NumberOfFrames") > 1).alias("n_multiframe"), F.count_distinct(F.coalesce(c("TransferSyntaxUID"), F.lit(""))).alias("n_syntaxes"),
+        F.count_if(c("NumberOfFrames") > 1).alias("n_multiframe"), kinds(F.coalesce(c("TransferSyntaxUID"), F.lit(""))).alias("n_syntaxes"),
     )
     # Of a series that is not spatially ready the plane is unknown.
     plane = F.when(c("method") == "spatial", plane_of(c("_normal"))).otherwise("unknown")
