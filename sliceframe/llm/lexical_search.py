@@ -25,12 +25,10 @@ columns of any name are not read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sliceframe.llm.common import WORD_TABLE, checkpoint_dir, durable, few
+from sliceframe.llm.common import WORD_TABLE, durable, few, written
 
 TOP, BUCKETS = 20, 256
 POSTING = "doc_id {}, d long, n long, term string, tf long"
@@ -82,17 +80,15 @@ def postings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ask
     A row is (bucket, term, doc_id, d, n, tf); ``d`` numbers the documents. The table
     is written to the shared folder, each segment sorted by bucket and term.
     """
-    spark = docs.sparkSession
     kind = docs.select(F.col(f"`{doc_id}`")).schema[0].dataType.simpleString()
     # The numbers are made once, with the table that holds them.
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("d"), F.col(f"`{text}`").alias("text"))
     found = rows.mapInArrow(term_counts, POSTING.format(kind))
-    folder = f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
     if asked is not None:
         found = found.join(asked.withColumnRenamed("term", "wanted"), F.col("term") == F.col("wanted"), "left_semi")
-    found.withColumn("bucket", bucket("term")).sortWithinPartitions("bucket", "term", "d").select("bucket", "term", "doc_id", "d", "n", "tf").write.parquet(folder)
+    index = written(found.withColumn("bucket", bucket("term")).sortWithinPartitions("bucket", "term", "d").select("bucket", "term", "doc_id", "d", "n", "tf"))
     total = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(term_totals, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
-    return spark.read.parquet(folder), total[0] or 0, total[1] or 0
+    return index, total[0] or 0, total[1] or 0
 
 
 def term_totals(batches):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sliceframe.llm import chat, cotraining, decontaminate, lexical_search, license_rules, mixing, ngram_join, pii, quality_rules, substring_dedup, tokens, whitening
+from sliceframe.llm import chat, cotraining, decontaminate, lexical_search, license_rules, mixing, ngram_join, pii, quality_rules, substring_dedup, suffix_dedup, tokens, whitening
 from sliceframe.llm.common import table
 
 
@@ -52,12 +52,16 @@ def op11_embedding_whitening(spark, sf_dir):
     return whitening.query(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.query(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark, sf_dir):
     return lexical_search.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_license_scan, op3_substring_dedup, op4_chat_formatting, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_benchmark_decontamination, op9_mixing, op10_ngram_jaccard_join, op11_embedding_whitening, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_pii, op2_license_scan, op3_substring_dedup, op4_chat_formatting, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_benchmark_decontamination, op9_mixing, op10_ngram_jaccard_join, op11_embedding_whitening, op12_suffix_array_dedup, op13_lexical_search)}
 
 
 def oracle_sql():
@@ -67,5 +71,6 @@ def oracle_sql():
         "op8_benchmark_decontamination": decontaminate.ORACLE,
         "op9_mixing": mixing.ORACLE,
         "op10_ngram_jaccard_join": ngram_join.ORACLE,
+        "op12_suffix_array_dedup": suffix_dedup.ORACLE,
         "op13_lexical_search": lexical_search.ORACLE,
     }
