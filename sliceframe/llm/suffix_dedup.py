@@ -269,28 +269,28 @@ def repeated(docs: DataFrame, text: str, broadcast_rows: int) -> DataFrame:
     t = F.col(f"`{text}`")
     keyed = docs.select(F.xxhash64(t).alias("h"), F.hash(t).alias("g"), t.alias("text"))
     places = written(keyed.mapInArrow(place_rows, RUN))
-    kinds = places.groupBy("anchor", "seg").agg(F.sum("c").alias("c"), F.min(F.struct("h", "g", "lo", "n", "d")).alias("at"))
-    kinds = durable(kinds.join(places.groupBy("anchor").agg(F.sum("c").alias("m")).where("m > 1"), "anchor").select("anchor", "seg", "c", "at"))
+    kinds = places.groupBy("anchor", "seg").agg(F.sum("c").alias("c"), F.min(F.struct("h", "g", "lo")).alias("at"), F.first("n").alias("n"), F.first("d").alias("d"))
+    kinds = written(kinds.join(places.groupBy("anchor").agg(F.sum("c").alias("m")).where("m > 1"), "anchor").select("anchor", "seg", "c", "n", "d", "at"))
     # Buckets with several kinds of run: one copy of each goes on.
     several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    one = kinds.join(several, "anchor").select("at.h", "at.g", F.struct("anchor", "seg", F.least("c", F.lit(2)).cast("int").alias("w"), "at.d", "at.n", "at.lo").alias("r"))
+    one = kinds.join(several, "anchor").select("at.h", "at.g", F.struct("anchor", "seg", F.least("c", F.lit(2)).cast("int").alias("w"), "d", "n", "at.lo").alias("r"))
     lists = few(durable(one.groupBy("h", "g").agg(F.collect_list("r").alias("runs"))), broadcast_rows)
     fetched = keyed.join(lists, ["h", "g"]).select("text", "runs").mapInArrow(run_bytes, "anchor long, seg long, w int, d int, n int, bytes binary")
     members = written(fetched.groupBy("anchor", "seg").agg(*[F.first(c).alias(c) for c in ("w", "d", "n", "bytes")]))
 
     cells = written(members.mapInArrow(cell_rows, CELLS))
-    wholes = durable(cells.groupBy("anchor", "cell", "core", "whole").agg(F.sum("w").alias("m"), F.min("seg").alias("seg")))
+    wholes = written(cells.groupBy("anchor", "cell", "core", "whole").agg(F.sum("w").alias("m"), F.min("seg").alias("seg")))
     alike = wholes.groupBy("anchor", "cell", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", "cell", "core")
     wanted = wholes.join(alike, ["anchor", "cell", "core"]).select("anchor", "seg", F.struct("cell", F.least("m", F.lit(2)).cast("int").alias("w")).alias("x"))
     open_runs = members.drop("w").join(wanted.groupBy("anchor", "seg").agg(F.collect_list("x").alias("cells")), ["anchor", "seg"])
     windows = written(open_runs.mapInArrow(window_rows, "anchor long, distance int, id long, seg long, w int, j int"))
     twice = windows.groupBy("anchor", "distance", "id").agg(F.sum("w").alias("m")).where("m > 1").select("anchor", "distance", "id")
 
-    whole_runs = kinds.where("c > 1").select("anchor", "seg", F.lit(0).alias("j"), "at.n")
+    whole_runs = kinds.where("c > 1").select("anchor", "seg", F.lit(0).alias("j"), "n")
     whole_cells = cells.where("w = 1").join(wholes.where("m > 1").select("anchor", "cell", "core", "whole"), ["anchor", "cell", "core", "whole"]).select("anchor", "seg", "j", "n")
     single = windows.where("w = 1").join(twice, ["anchor", "distance", "id"]).select("anchor", "seg", "j", F.lit(1).alias("n"))
     verdicts = whole_runs.unionAll(whole_cells).unionAll(single).groupBy("anchor", "seg").agg(F.collect_list(F.struct("j", "n")).alias("ranges"))
-    found = places.join(durable(verdicts), ["anchor", "seg"]).groupBy("h", "g").agg(F.collect_set(F.struct("lo", "n", "reps", "ranges")).alias("found"))
+    found = places.join(written(verdicts), ["anchor", "seg"]).groupBy("h", "g").agg(F.collect_set(F.struct("lo", "n", "reps", "ranges")).alias("found"))
     return found
 
 
