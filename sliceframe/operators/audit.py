@@ -60,7 +60,9 @@ def audit(files: DataFrame, issues: DataFrame | None = None, *, few: int = 20, m
         finding(outside("syntax", SYNTAXES), c("k"), c("hit"), "WARNING", "transfer_syntax_check"),
         finding(outside("photometric", PHOTOMETRIC), c("k"), c("hit"), "WARNING", "photometric_check"),
         finding(patients, c("patient_id"), c("m") > 1, "WARNING", "patient_id_reuse"),
-        finding(series, c("series_id"), c("mixed_description"), "WARNING", "description_consistency"),
+        finding(series, c("series_id"), c("mixed_description"), "WARNING", "description_consistency").join(series.agg(F.coalesce(F.max("n_description"), F.lit(0)).alias("most")), F.lit(True))
+        # Where nothing is described, nothing is consistent either.
+        .select("code", F.when(c("most") == 0, "WARNING").otherwise(c("severity")).alias("severity"), "n", "evidence"),
     ]
     if issues is not None:
         parts.append(finding(issues, c("path"), F.lit(True), "CRITICAL", "header_issues", None))

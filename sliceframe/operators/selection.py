@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Default weights of score components (fixed values).
-WEIGHTS = {"fluid": 3.0, "slices": 2.0, "resolution": 1.0, "completeness": 1.0, "consistency": 2.0}
-
-
 def score(components: dict[str, Column], weights: dict[str, float], digits: int = 6) -> Column:
     """Weighted sum of components; a null component or a missing weight adds nothing."""
     total = F.lit(0.0)

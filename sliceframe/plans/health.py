@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sliceframe import settings
 from sliceframe.operators import audit
 from sliceframe.plans import collection, preparation
 from sliceframe.plans.catalog import query
 
 #: Fields of a file by order and line number, in expressions that both engines read.
 FILE = {
-    "path": "concat(l_orderkey, '/', l_linenumber)", "series_id": "concat('S', l_orderkey)", "study_id": "concat('T', l_orderkey % 500)", "instance": "CAST(l_linenumber AS INT)",
+    "path": "concat(l_orderkey, '/', l_linenumber)", "series_id": "concat('S', l_orderkey)", "study_id": "concat('T', l_orderkey % 500)", "instance": "CAST(CASE WHEN l_orderkey % 62 <> 0 OR l_linenumber <> 2 THEN l_linenumber END AS INT)",
     "rows": "CAST(CASE WHEN l_orderkey % 17 = 0 AND l_linenumber = 2 THEN 256 WHEN l_orderkey % 23 = 0 AND l_linenumber = 1 THEN NULL ELSE 512 END AS INT)",
     "columns": "CAST(CASE WHEN l_orderkey % 11 = 0 THEN 384 ELSE 512 END AS INT)",
     "modality": "CASE WHEN l_orderkey % 29 = 0 THEN 'CT' ELSE 'MR' END", "syntax": "CASE WHEN l_orderkey % 43 = 0 AND l_linenumber > 2 THEN '1.2.840.10008.1.2' ELSE '1.2.840.10008.1.2.1' END",
@@ -25,7 +26,8 @@ FILE = {
     "slope": "CAST(CASE WHEN l_orderkey % 13 = 0 THEN 1 + l_linenumber WHEN l_orderkey % 7 = 0 AND l_linenumber > 1 THEN NULL ELSE 1 END AS DOUBLE)",
     "spacing_tag": "CAST(CASE WHEN l_orderkey % 6 = 0 THEN NULL WHEN l_orderkey % 10 = 0 THEN 9 ELSE 4 END AS DOUBLE)",
     "spacing": "CAST(CASE WHEN l_orderkey % 59 = 0 AND l_linenumber = 1 THEN NULL WHEN l_orderkey % 61 = 0 THEN l_linenumber ELSE 1 END AS DOUBLE)",
-    "frames": "CAST(CASE WHEN l_orderkey % 67 = 0 THEN 3 ELSE 1 END AS INT)", "axis": "CAST(CASE WHEN l_orderkey % 37 = 0 AND l_linenumber = 2 THEN (l_orderkey + 1) % 3 ELSE l_orderkey % 3 END AS INT)",
+    "frames": "CAST(CASE WHEN l_orderkey % 67 = 0 THEN 3 ELSE 1 END AS INT)", "flip": "l_orderkey % 73 = 0 AND l_linenumber = 2",
+    "axis": "CAST(CASE WHEN l_orderkey % 79 = 0 AND l_linenumber = 1 THEN NULL WHEN l_orderkey % 37 = 0 AND l_linenumber = 2 THEN (l_orderkey + 1) % 3 ELSE l_orderkey % 3 END AS INT)",
     "z": "CAST(CASE WHEN l_orderkey % 31 = 0 AND l_linenumber = 1 THEN NULL WHEN l_orderkey % 19 = 0 AND l_linenumber = 3 THEN 8 WHEN l_orderkey % 9 = 0 AND l_linenumber = 2 THEN 6.5 ELSE l_linenumber * 4 END AS DOUBLE)",
     "patient_id": "CASE WHEN l_orderkey % 71 = 0 THEN NULL WHEN l_orderkey % 500 < 20 THEN 'P0' ELSE concat('P', l_orderkey % 500) END",
     "ok": "l_partkey % 97 <> 0", "digest": "concat(l_partkey, '-', l_suppkey)", "std": "CASE WHEN l_quantity = 1 THEN 0e0 ELSE 1e0 END", "max": "CASE WHEN l_quantity = 2 THEN 0e0 ELSE 9e0 END",
@@ -35,7 +37,8 @@ ATTRIBUTES = {
     "plane_csv": "CASE o_orderkey % 4 WHEN 0 THEN 'Axial' WHEN 1 THEN 'Coronal' WHEN 2 THEN 'Sagittal' END", "fluid": "CAST(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 END AS INT)",
 }
 #: Row and column directions by axis: axial, coronal, sagittal.
-IOP = "CASE axis WHEN 0 THEN array(1e0, 0e0, 0e0, 0e0, 1e0, 0e0) WHEN 1 THEN array(1e0, 0e0, 0e0, 0e0, 0e0, 1e0) ELSE array(0e0, 1e0, 0e0, 0e0, 0e0, 1e0) END"
+SIGN = "CASE WHEN flip THEN -1e0 ELSE 1e0 END"
+IOP = f"CASE axis WHEN 0 THEN array({SIGN}, 0e0, 0e0, 0e0, 1e0, 0e0) WHEN 1 THEN array({SIGN}, 0e0, 0e0, 0e0, 0e0, 1e0) WHEN 2 THEN array(0e0, {SIGN}, 0e0, 0e0, 0e0, 1e0) END"
 IPP = "CASE WHEN z IS NOT NULL THEN CASE CAST(substring(series_id, 2) AS BIGINT) % 3 WHEN 0 THEN array(0e0, 0e0, z) WHEN 1 THEN array(0e0, z, 0e0) ELSE array(z, 0e0, 0e0) END END"
 
 columns = lambda fields: ", ".join(f"{e} AS {n}" for n, e in fields.items())
@@ -98,28 +101,29 @@ def corpus_audit(t):
     return audit.audit(f, f.where("rows is null").select("path"))
 
 
-#: Geometry by series: a series is spatially ready if all have a position and normals agree.
-GEO = f"""{H}, g AS (SELECT *, bool_and(z IS NOT NULL) OVER s AND min(axis) OVER s = max(axis) OVER s AS spatial, bool_and(z IS NOT NULL) OVER s AS placed, first_value(axis) OVER (s ORDER BY instance ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS axis0 FROM h WINDOW s AS (PARTITION BY k)),
-p AS (SELECT *, CASE WHEN axis0 = k % 3 THEN z ELSE 0e0 END AS pos FROM g), q AS (SELECT *, abs(pos - lag(pos) OVER (PARTITION BY k ORDER BY CASE WHEN spatial THEN pos END, instance, path)) AS gap FROM p)"""
+#: Geometry by series: a series is spatially ready if all have a position and normals agree, in stage 2 in their sign too.
+GEO = f"""{H}, g0 AS (SELECT *, bool_and(z IS NOT NULL AND axis IS NOT NULL) OVER s AND min(axis) OVER s = max(axis) OVER s AS spatial, bool_and(z IS NOT NULL) OVER s AS sited, min(flip) OVER s = max(flip) OVER s AS steady, bool_and(instance IS NOT NULL) OVER s AS counted, first_value(axis) OVER (s ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS axis0 FROM h WINDOW s AS (PARTITION BY k)),
+g AS (SELECT *, sited AND axis0 IS NOT NULL AS placed, spatial AND steady AS spatial2, CASE WHEN counted THEN 'instance_number' ELSE 'sop_instance_uid' END AS fallback FROM g0),
+p AS (SELECT *, CASE WHEN axis0 = k % 3 THEN z WHEN axis0 IS NOT NULL THEN 0e0 END AS pos FROM g), q AS (SELECT *, abs(pos - lag(pos) OVER (PARTITION BY k ORDER BY CASE WHEN spatial THEN pos END, path)) AS gap FROM p)"""
 
-STAGE1 = f"""WITH {GEO}, s AS (SELECT k, count(*) AS n, bool_and(spatial) AS spatial, bool_and(placed) AS placed, count(*) - count(rows) AS no_size, greatest(count(DISTINCT rows), count(DISTINCT columns)) AS sizes, count(*) - count(spacing) AS no_sp, count(DISTINCT spacing) AS sps,
-count(DISTINCT axis) AS axes, count(*) - count(z) AS no_ipp, count(CASE WHEN gap < 1e-3 THEN 1 END) AS dup, median(gap) AS med, stddev_pop(gap) / nullif(avg(gap), 0) AS cv, min(axis) AS axis, min(spacing_tag) AS tag, max(frames) AS frames, count(DISTINCT syntax) AS syn, arg_min(description, instance) AS descr FROM q GROUP BY k),
+STAGE1 = f"""WITH {GEO}, s AS (SELECT k, count(*) AS n, bool_and(spatial) AS spatial, min(fallback) AS fallback, bool_and(placed) AS placed, count(*) - count(axis) AS no_iop, count(*) - count(rows) AS no_size, greatest(count(DISTINCT rows), count(DISTINCT columns)) AS sizes, count(*) - count(spacing) AS no_sp, count(DISTINCT spacing) AS sps,
+count(DISTINCT concat(axis, flip)) AS axes, count(*) - count(z) AS no_ipp, count(CASE WHEN gap < 1e-3 THEN 1 END) AS dup, median(gap) AS med, stddev_pop(gap) / nullif(avg(gap), 0) AS cv, min(axis) AS axis, min(spacing_tag) AS tag, max(frames) AS frames, count(DISTINCT syntax) AS syn, arg_min(description, path) AS descr FROM q GROUP BY k),
 x AS (SELECT *, CASE WHEN spatial THEN CASE axis WHEN 0 THEN 'axial' WHEN 1 THEN 'coronal' ELSE 'sagittal' END ELSE 'unknown' END AS plane, CASE WHEN descr LIKE 'AX%' THEN 'axial' WHEN descr LIKE 'SAG%' THEN 'sagittal' END AS hint FROM s),
-c AS (SELECT *, list_filter([CASE WHEN no_size > 0 THEN 'missing_size' END, CASE WHEN sizes > 1 THEN 'mixed_size' END, CASE WHEN no_sp > 0 THEN 'missing_spacing' END, CASE WHEN no_sp = 0 AND sps > 1 THEN 'mixed_spacing' END, CASE WHEN axes > 1 THEN 'mixed_orientation' END,
+c AS (SELECT *, list_filter([CASE WHEN no_size > 0 THEN 'missing_size' END, CASE WHEN sizes > 1 THEN 'mixed_size' END, CASE WHEN no_sp > 0 THEN 'missing_spacing' END, CASE WHEN no_sp = 0 AND sps > 1 THEN 'mixed_spacing' END, CASE WHEN no_iop > 0 THEN 'missing_orientation' END, CASE WHEN no_iop = 0 AND axes > 1 THEN 'mixed_orientation' END,
 CASE WHEN no_ipp > 0 THEN 'missing_position' END, CASE WHEN NOT spatial THEN 'ordering_fallback' END, CASE WHEN placed AND dup > 0 THEN 'duplicate_positions' END, CASE WHEN placed AND cv > 0.15 THEN 'irregular_gaps' END, CASE WHEN placed AND abs(med - tag) / tag > 0.25 THEN 'spacing_disagrees' END,
 CASE WHEN NOT placed THEN 'positions_unknown' END, CASE WHEN n < 4 THEN 'few_slices' END, CASE WHEN plane = 'unknown' THEN 'plane_unknown' END, CASE WHEN frames > 1 THEN 'multi_frame' END, CASE WHEN syn > 1 THEN 'mixed_transfer_syntax' END, CASE WHEN plane <> 'unknown' AND hint <> plane THEN 'description_disagrees' END], lambda v: v IS NOT NULL) AS codes FROM x)"""
 
 
-@query(f"{STAGE1} SELECT concat('S', k) AS series_id, n AS n_slices, CASE WHEN spatial THEN 'spatial' ELSE 'instance_number' END AS method, plane, CASE WHEN len(list_filter(codes, lambda v: v IN ('mixed_size', 'mixed_orientation'))) > 0 THEN 'INVALID' WHEN len(codes) > 0 THEN 'WARNING' ELSE 'VALID' END AS status, array_to_string(codes, ' | ') AS codes, round(CASE WHEN placed AND med IS NOT NULL THEN med ELSE tag END, 6) AS slice_spacing FROM c")
+@query(f"{STAGE1} SELECT concat('S', k) AS series_id, n AS n_slices, CASE WHEN spatial THEN 'spatial' ELSE fallback END AS method, plane, CASE WHEN len(list_filter(codes, lambda v: v IN ('mixed_size', 'mixed_orientation'))) > 0 THEN 'INVALID' WHEN len(codes) > 0 THEN 'WARNING' ELSE 'VALID' END AS status, array_to_string(codes, ' | ') AS codes, round(CASE WHEN placed AND med IS NOT NULL THEN med ELSE tag END, 6) AS slice_spacing FROM c")
 def stage1_validation(t):
     """Headers to ordered slices to validated series, by the library's own rules."""
     done = collection.validated(collection.series_table(collection.slice_table(dicom(t))))
     return done.select("series_id", "n_slices", "method", "plane", "status", F.array_join("codes", " | ").alias("codes"), F.round("slice_spacing", 6).alias("slice_spacing"))
 
 
-INFO = f"""{GEO}, s AS (SELECT k, concat('S', k) AS series_id, min(h.study_id) AS study_id, count(*) AS n, bool_and(spatial) AS spatial, count(*) - count(rows) AS no_size, count(DISTINCT CASE WHEN rows IS NOT NULL THEN rows * 10000 + columns END) AS sizes, min(modality) AS modality, min(axis) AS axis,
-count(CASE WHEN spatial AND gap < 1e-3 THEN 1 END) AS dup, CASE WHEN bool_and(spatial) THEN median(gap) END AS med, CASE WHEN bool_and(spatial) THEN stddev_pop(gap) / nullif(avg(gap), 0) END AS cv,
-list(rows ORDER BY CASE WHEN spatial AND axis = 1 THEN -pos WHEN spatial THEN pos END, CASE WHEN NOT spatial THEN instance END, path)[1] AS rows, min(columns) AS columns FROM q h GROUP BY k),
+INFO = f"""{GEO}, s AS (SELECT k, concat('S', k) AS series_id, min(h.study_id) AS study_id, count(*) AS n, bool_and(spatial2) AS spatial, min(fallback) AS fallback, count(*) - count(rows) AS no_size, count(DISTINCT CASE WHEN rows IS NOT NULL THEN rows * 10000 + columns END) AS sizes, min(modality) AS modality, min(axis) AS axis,
+count(CASE WHEN spatial2 AND gap < 1e-3 THEN 1 END) AS dup, CASE WHEN bool_and(spatial2) THEN median(gap) END AS med, CASE WHEN bool_and(spatial2) THEN stddev_pop(gap) / nullif(avg(gap), 0) END AS cv,
+list(rows ORDER BY CASE WHEN spatial2 AND axis = 1 THEN -pos WHEN spatial2 THEN pos END, path)[1] AS rows, min(columns) AS columns FROM q h GROUP BY k),
 i AS (SELECT s.*, a.plane_csv, a.fluid, CASE WHEN spatial THEN CASE s.axis WHEN 0 THEN 'axial' WHEN 1 THEN 'coronal' ELSE 'sagittal' END ELSE 'unknown' END AS plane, (CASE WHEN rows IS NULL THEN 0 ELSE 1 END + 1 + CASE WHEN spatial THEN 1 ELSE 0 END) / 6e0 AS completeness FROM s LEFT JOIN a ON s.series_id = a.series_id)"""
 
 
@@ -127,34 +131,34 @@ def info(t) -> DataFrame:
     return preparation.series_info(headers(t), attributes(t))
 
 
-@query(f"WITH {INFO} SELECT study_id, series_id, n AS n_slices, CASE WHEN spatial THEN 'spatial' ELSE 'instance_number' END AS method, plane, plane_csv, fluid, rows, columns, modality, dup AS n_dup, round(med, 6) AS median_gap, round(cv, 6) AS gap_cv, round(completeness, 6) AS completeness FROM i")
+@query(f"WITH {INFO} SELECT study_id, series_id, n AS n_slices, CASE WHEN spatial THEN 'spatial' ELSE fallback END AS method, plane, plane_csv, fluid, rows, columns, modality, dup AS n_dup, round(med, 6) AS median_gap, round(cv, 6) AS gap_cv, round(completeness, 6) AS completeness FROM i")
 def series_infos(t):
     return info(t).select("study_id", "series_id", "n_slices", "method", "plane", "plane_csv", "fluid", "rows", "columns", "modality", "n_dup", *[F.round(c, 6).alias(c) for c in ("median_gap", "gap_cv", "completeness")])
 
 
 COMPONENTS = f"""{INFO}, m AS (SELECT *, CASE WHEN plane <> 'unknown' THEN lower(plane_csv) = plane END AS agree FROM i),
 k AS (SELECT *, round(greatest(n - 3, 0) / 45e0 / (1 + greatest(n - 3, 0) / 45e0), 6) AS c1, round(coalesce(rows, 0)::DOUBLE * columns / 262144 / (1 + coalesce(rows, 0)::DOUBLE * columns / 262144), 6) AS c2, round(completeness, 6) AS c3,
-CASE WHEN spatial THEN 1 - CASE WHEN cv > 0.15 THEN 0.5 ELSE 0 END - CASE WHEN dup > 0 THEN 0.25 ELSE 0 END - CASE WHEN agree = false THEN 0.25 ELSE 0 END ELSE 0.5 END::DOUBLE AS c4, CASE WHEN fluid IS NOT NULL THEN CASE WHEN fluid = 1 THEN 1 ELSE 0 END END AS f FROM m),
-r AS (SELECT *, plane_csv AS slot, round(coalesce(f, 0) * 3 + c1 * 2 + c2 + c3 + c4 * 2, 6) AS score FROM k WHERE plane_csv IS NOT NULL),
+CASE WHEN spatial THEN 1 - CASE WHEN cv > 0.15 THEN 0.5 ELSE 0 END - CASE WHEN dup > 0 THEN 0.25 ELSE 0 END - CASE WHEN agree = false THEN 0.25 ELSE 0 END ELSE 0.5 END::DOUBLE AS c4, CASE WHEN fluid IS NOT NULL AND plane_csv <> 'Axial' THEN CASE WHEN fluid = 1 THEN 1 ELSE 0 END END AS f FROM m),
+r AS (SELECT *, plane_csv AS slot, round(coalesce(f, 0) * 1.5::DOUBLE + c1 + c2 * 0.5::DOUBLE + c3 + c4 * 2, 6) AS score FROM k WHERE plane_csv IS NOT NULL),
 rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY study_id, slot ORDER BY score DESC, n DESC, series_id) AS INTEGER) AS rnk FROM r)"""
 
 
 @query(f"""WITH {COMPONENTS} SELECT study_id, slot, series_id, c1 AS c_slices, c2 AS c_resolution, c3 AS c_completeness, c4 AS c_consistency, score, rnk,
-concat(CASE WHEN f IS NOT NULL THEN concat('fluid_sensitive=', fluid, CASE WHEN f = 1 THEN ' == ' ELSE ' != ' END, 'preference 1; ') ELSE '' END, printf('slices=%.3f x w=2; resolution=%.3f x w=1; completeness=%.3f x w=1; consistency=%.3f x w=2', c1, c2, c3, c4)) AS reasons FROM rr""")
+concat(CASE WHEN f IS NOT NULL THEN concat('fluid_sensitive=', fluid, CASE WHEN f = 1 THEN ' == ' ELSE ' != ' END, 'preference 1; ') ELSE '' END, printf('slices=%.3f x w=1; resolution=%.3f x w=0.5; completeness=%.3f x w=1; consistency=%.3f x w=2', c1, c2, c3, c4)) AS reasons FROM rr""")
 def candidate_report(t):
     """Candidates by slot with components, rank and reasons."""
-    d = preparation.candidates(info(t), 1)
+    d = preparation.candidates(info(t), settings.defaults())
     return d.select("study_id", "slot", "series_id", "c_slices", "c_resolution", "c_completeness", "c_consistency", "score", "rnk", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(f"""WITH {COMPONENTS}, e AS (SELECT DISTINCT study_id, unnest(['Axial', 'Coronal', 'Sagittal']) AS slot FROM i), n AS (SELECT study_id, slot, count(*) AS n FROM rr GROUP BY 1, 2)
-SELECT e.study_id, e.slot, rr.series_id, rr.score, coalesce(n.n, 0) AS n_candidates, CASE WHEN rr.series_id IS NULL THEN concat('no candidate series matches plane ', e.slot) ELSE '' END AS note FROM e LEFT JOIN rr ON e.study_id = rr.study_id AND e.slot = rr.slot AND rnk = 1 LEFT JOIN n ON e.study_id = n.study_id AND e.slot = n.slot""")
+SELECT e.study_id, e.slot, CASE WHEN e.slot <> 'Axial' THEN 1 END AS fluid_preference, rr.series_id, rr.score, coalesce(n.n, 0) AS n_candidates, CASE WHEN rr.series_id IS NULL THEN concat('no candidate series matches plane ', e.slot) ELSE '' END AS note FROM e LEFT JOIN rr ON e.study_id = rr.study_id AND e.slot = rr.slot AND rnk = 1 LEFT JOIN n ON e.study_id = n.study_id AND e.slot = n.slot""")
 def selection_report(t):
-    return preparation.selection_report(info(t), 1)
+    return preparation.selection_report(info(t), settings.defaults())
 
 
 @query(f"""WITH {INFO}, c AS (SELECT *, list_filter([CASE WHEN modality <> 'MR' THEN 'unexpected_modality' END, CASE WHEN n < 3 THEN 'insufficient_slices' END, CASE WHEN NOT spatial THEN 'missing_geometry' END, CASE WHEN spatial AND dup > 0 THEN 'duplicate_positions' END, CASE WHEN spatial AND cv > 0.15 THEN 'inconsistent_spacing' END,
-CASE WHEN no_size > 0 THEN 'incomplete_dimensions' END, CASE WHEN sizes > 1 THEN 'inconsistent_dimensions' END, CASE WHEN plane <> 'unknown' AND lower(plane_csv) <> plane THEN 'plane_mismatch' END, CASE WHEN plane = 'unknown' THEN 'unusual_orientation' END], lambda v: v IS NOT NULL) AS codes FROM i)
+CASE WHEN no_size > 0 THEN 'inconsistent_dimensions' END, CASE WHEN sizes > 1 THEN 'inconsistent_dimensions' END, CASE WHEN plane <> 'unknown' AND lower(plane_csv) <> plane THEN 'plane_mismatch' END, CASE WHEN plane = 'unknown' THEN 'unusual_orientation' END], lambda v: v IS NOT NULL) AS codes FROM i)
 SELECT series_id, array_to_string(codes, ' | ') AS codes, n >= 3 AND sizes <= 1 AS usable FROM c""")
 def stage2_checks(t):
     """Quality checks of series by the library's own rules."""
@@ -210,10 +214,10 @@ def rescale_report(t):
     return s.where("n_changed > 0").select("series_id", "n_changed", F.array_join(F.transform(F.slice("v", 1, 10), lambda x: F.format_string("%.3f", x)), ",").alias("slopes"))
 
 
-@query(f"""WITH {GEO} SELECT concat('S', k) AS series_id, path, CAST(row_number() OVER (PARTITION BY k ORDER BY instance, path) AS INTEGER) AS place FROM q WHERE frames = 1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY instance, path) <= 1""")
+@query(f"""WITH {GEO} SELECT concat('S', k) AS series_id, path, CAST(row_number() OVER (PARTITION BY k ORDER BY path) AS INTEGER) AS place FROM q WHERE frames = 1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY path) <= 1""")
 def first_file_of_series(t):
     """Attribute lookup by condition: the first file of each series that meets it."""
-    d = files(t).where("frames = 1").groupBy("series_id").agg(F.min_by("path", F.struct("instance", "path")).alias("path"))
+    d = files(t).where("frames = 1").groupBy("series_id").agg(F.min("path").alias("path"))
     return d.withColumn("place", F.lit(1))
 
 

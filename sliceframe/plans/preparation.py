@@ -6,6 +6,8 @@ aggregation by series is projections and a window by study and slot.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +15,19 @@ from sliceframe.functions.scalar import clip, saturating
 from sliceframe.functions.vector import plane_of
 from sliceframe.operators.ordering import order_rows, slice_positions
 from sliceframe.operators.quality import apply_rules, stage2_rules
-from sliceframe.operators.selection import WEIGHTS, rank_candidates
+from sliceframe.operators.selection import rank_candidates
 
 GROUP = ["study_id", "series_id"]
-#: Slots by plane as the attributes name them, and the derived names (fixed values).
-SLOTS = ("Axial", "Coronal", "Sagittal")
 
 
 def series_info(headers: DataFrame, attributes: DataFrame, *, epsilon: float = 1e-3, complete_tags: int = 6) -> DataFrame:
     """Headers (study_id, series_id, sop_uid, path, instance, iop, ipp, rows, columns, modality) and attributes
     (series_id, plane_csv, fluid) to a row a series.
 
-    Of the ``complete_tags`` tags only rows, columns and the normal can be found, so completeness stays at a half or less.
+    Normals must point the same way here, not only along the same line. Of the ``complete_tags`` tags only rows, columns and the normal can be found, so completeness stays at a half or less.
     """
     c = F.col
-    placed = slice_positions(headers, GROUP)
+    placed = slice_positions(headers, GROUP, absolute=False)
     d = order_rows(placed, GROUP, c("position"), c("instance"), c("sop_uid"), stage=2)
     w = Window.partitionBy(*GROUP).orderBy("idx")
     d = d.withColumn("_gap", F.abs(c("position") - F.lag("position").over(w)))
@@ -63,31 +63,42 @@ def components(*, min_slices: int = 3, max_cv: float = 0.15) -> dict[str, Column
     return {k: F.round(v, 6) for k, v in parts.items()}
 
 
-def candidates(info: DataFrame, fluid_preference: int | None, *, slots=SLOTS, weights: dict[str, float] = WEIGHTS, **limits) -> DataFrame:
-    """(study_id, slot, series_id, components, score, rnk, reasons): a row for each slot that a series may fill.
+def limits(config: Mapping) -> dict:
+    """The settings that checks and components share."""
+    return {"min_slices": config["min_slices_usable"], "max_cv": config["unusual_spacing_cv"]}
+
+
+def preference(config: Mapping, slot: Column) -> Column:
+    """Whether a slot wants fluid-sensitive series (1), others (0), or either (null)."""
+    return F.try_element_at(F.create_map(*[x for p in config["planes"] for x in (F.lit(p), F.lit(config["fluid_preference"].get(p)).cast("int"))]), slot)
+
+
+def candidates(info: DataFrame, config: Mapping) -> DataFrame:
+    """(study_id, slot, series_id, components, score, rnk, reasons): a row for each slot (plane of the settings) that a series may fill.
 
     The listed plane has the spelling of the slots and the derived one has not, so in effect the listed one decides.
     """
-    scored = info.withColumns({f"c_{k}": v for k, v in components(**limits).items()})
-    match = F.when(F.lit(fluid_preference is not None) & F.col("fluid").isNotNull(), (F.col("fluid") == F.lit(fluid_preference)).cast("double"))
+    weights = config["ranking_weights"]
+    may = info.withColumn("slot", F.explode(F.array(*map(F.lit, config["planes"])))).where((F.col("plane_csv") == F.col("slot")) | (F.col("plane") == F.col("slot")))
+    scored = may.withColumns({f"c_{k}": v for k, v in components(**limits(config)).items()} | {"preferred": preference(config, F.col("slot"))})
+    match = F.when(F.col("preferred").isNotNull() & F.col("fluid").isNotNull(), (F.col("fluid") == F.col("preferred")).cast("double"))
     total = F.coalesce(match, F.lit(0.0)) * float(weights.get("fluid", 0.0))
-    said = [F.when(match.isNotNull(), F.concat(F.lit("fluid_sensitive="), F.col("fluid").cast("string"), F.when(match == 1, F.lit(" == ")).otherwise(F.lit(" != ")), F.lit(f"preference {fluid_preference}")))]
+    said = [F.when(match.isNotNull(), F.concat(F.lit("fluid_sensitive="), F.col("fluid").cast("string"), F.when(match == 1, F.lit(" == ")).otherwise(F.lit(" != ")), F.lit("preference "), F.col("preferred").cast("string")))]
     for k in ("slices", "resolution", "completeness", "consistency"):
         w = float(weights.get(k, 0.0))
         total = total + F.col(f"c_{k}") * w
         said.append(F.concat(F.lit(f"{k}="), F.format_string("%.3f", F.bround(f"c_{k}", 3)), F.lit(f" x w={w:g}")))
-    may = scored.withColumn("slot", F.explode(F.array(*map(F.lit, slots)))).where((F.col("plane_csv") == F.col("slot")) | (F.col("plane") == F.col("slot")))
-    may = may.withColumns({"score": F.round(total, 6), "reasons": F.array_compact(F.array(*said))})
-    return rank_candidates(may, ["study_id", "slot"], "score", F.col("n_slices"), F.col("series_id"))
+    done = scored.withColumns({"score": F.round(total, 6), "reasons": F.array_compact(F.array(*said))})
+    return rank_candidates(done, ["study_id", "slot"], "score", F.col("n_slices"), F.col("series_id"))
 
 
-def selection_report(info: DataFrame, fluid_preference: int | None, *, slots=SLOTS, **how) -> DataFrame:
-    """A row for each study and slot: the chosen series and its score, how many could be, and a note where none can."""
-    every = info.select("study_id").distinct().withColumn("slot", F.explode(F.array(*map(F.lit, slots))))
-    best = candidates(info, fluid_preference, slots=slots, **how).groupBy("study_id", "slot").agg(F.count("*").alias("n"), F.min_by(F.struct("series_id", "score"), "rnk").alias("best"))
+def selection_report(info: DataFrame, config: Mapping) -> DataFrame:
+    """A row for each study and slot: the preference, the chosen series and its score, how many could be, and a note where none can."""
+    every = info.select("study_id").distinct().withColumn("slot", F.explode(F.array(*map(F.lit, config["planes"]))))
+    best = candidates(info, config).groupBy("study_id", "slot").agg(F.count("*").alias("n"), F.min_by(F.struct("series_id", "score"), "rnk").alias("best"))
     done = every.join(best, ["study_id", "slot"], "left")
     note = F.when(F.col("best").isNull(), F.concat(F.lit("no candidate series matches plane "), F.col("slot"))).otherwise("")
-    return done.select("study_id", "slot", F.col("best.series_id").alias("series_id"), F.col("best.score").alias("score"), F.coalesce("n", F.lit(0)).alias("n_candidates"), note.alias("note"))
+    return done.select("study_id", "slot", preference(config, F.col("slot")).alias("fluid_preference"), F.col("best.series_id").alias("series_id"), F.col("best.score").alias("score"), F.coalesce("n", F.lit(0)).alias("n_candidates"), note.alias("note"))
 
 
 class SeriesQCError(ValueError):
