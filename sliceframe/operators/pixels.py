@@ -58,18 +58,63 @@ def resize(a, nh: int, nw: int, method: str = "bilinear"):
     return (top * (1 - fy)[:, None] + low * fy[:, None]).astype(a.dtype)
 
 
+def letterbox_geometry(h: int, w: int, height: int, width: int) -> tuple[float, int, int, int, int]:
+    """Scale and pads (top, bottom, left, right); odd pads go to the bottom and right."""
+    k = min(height / h, width / w)
+    nh, nw = (max(1, round(x * k)) for x in (h, w))
+    top, left = (height - nh) // 2, (width - nw) // 2
+    return k, top, height - nh - top, left, width - nw - left
+
+
 def letterbox(a, height: int, width: int, fill: float = 0.0, method: str = "bilinear"):
     import numpy as np
 
-    h, w = a.shape
-    k = min(height / h, width / w)
-    nh, nw = (max(1, int(np.rint(x * k))) for x in (h, w))
+    _, top, bottom, left, right = letterbox_geometry(*a.shape, height, width)
     out = np.full((height, width), fill, dtype=np.float32)
-    top, left = (height - nh) // 2, (width - nw) // 2
+    nh, nw = height - top - bottom, width - left - right
     out[top : top + nh, left : left + nw] = resize(np.asarray(a, dtype=np.float32), nh, nw, method)
     return out
 
 
+def prepare_triplet(slices, inverted: list[bool], *, method: str = "percentile", scope: str = "slice", clip=(0.5, 99.5)):
+    """Three slices normalised, each by itself or by what all three have together, and the figures it was done by.
+
+    An inverted slice is mirrored within its own range first. Pixels are clipped to the percentiles of the finite
+    ones; then ``percentile`` maps the clipped range to 0..1 and ``zscore`` to mean 0, deviation 1; flat ones become zeros.
+    """
+    import numpy as np
+
+    if method not in ("percentile", "zscore"):
+        raise ValueError(f"unknown normalisation: {method}")
+    if scope not in ("slice", "triplet"):
+        raise ValueError(f"unknown scope: {scope}")
+    arrays = []
+    for a, turn in zip(slices, inverted, strict=True):
+        a = np.array(a, dtype=np.float64)
+        ok = a[np.isfinite(a)]
+        arrays.append(ok.max() - (a - ok.min()) if turn and ok.size else a)
+    together = np.concatenate([a[np.isfinite(a)] for a in arrays])
+    outs, stats = [], []
+    for a, turn in zip(arrays, inverted):
+        ok = together if scope == "triplet" else a[np.isfinite(a)]
+        figures = {"method": method, "scope": scope, "clip_low": 0.0, "clip_high": 0.0, "mean": None, "std": None, "inverted": bool(turn)}
+        out = np.zeros_like(a)
+        if ok.size:
+            low, high = (float(x) for x in np.percentile(ok, list(clip)))
+            figures |= {"clip_low": low, "clip_high": high}
+            x = np.clip(a, low, high)
+            if method == "percentile":
+                out = (x - low) / (high - low) if high > low else out
+            else:
+                of = np.clip(ok, low, high)
+                mean, std = float(of.mean()), float(of.std())
+                figures |= {"mean": mean, "std": std}
+                out = (x - mean) / std if std > 0 else out
+        outs.append(out.astype(np.float32))
+        stats.append(figures)
+    return outs, stats
+
+
 def pixel_statistics(a) -> dict:
     """Of the finite pixels: min, max, mean, population std, p1, p99, and how many there are."""
     import numpy as np
@@ -82,14 +127,6 @@ def pixel_statistics(a) -> dict:
     return {"n": len(x), "n_finite": len(ok), "min": ok.min(), "max": ok.max(), "mean": ok.mean(), "std": ok.std(), "p1": p1, "p99": p99}
 
 
-def stack_triplet(slices, height: int, width: int, **how):
-    """Three slices to float32 [3, height, width]; percentiles are shared by the triplet."""
-    import numpy as np
-
-    all_ = normalize(np.stack([np.asarray(s, dtype=np.float64) for s in slices]), **how)
-    return np.stack([letterbox(s, height, width) for s in all_])
-
-
 def embeddings_as_images(df: DataFrame, key: str, column: str, h: int, w: int, size: int) -> DataFrame:
     """Each vector as an image, normalised and letterboxed: key, mean and SHA-256 of the float32 bytes."""
 

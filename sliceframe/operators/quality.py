@@ -52,13 +52,3 @@ def stage1_rules(min_slices: int = 4, max_cv: float = 0.15, max_tag: float = 0.2
         ("description_disagrees", "WARNING", description_hint(c("series_description")).isNotNull() & (c("plane") != "unknown") & (description_hint(c("series_description")) != c("plane"))),
     ]
 
-
-def stage2_rules(min_slices: int = 3, max_cv: float = 0.15) -> list[tuple[str, str, Column]]:
-    c = F.col
-    return [
-        ("unexpected_modality", "WARNING", c("modality").isNotNull() & (c("modality") != "MR")), ("insufficient_slices", "BLOCKING", c("n_slices") < min_slices),
-        ("missing_geometry", "WARNING", c("method") != "spatial"), ("duplicate_positions", "WARNING", (c("method") == "spatial") & (c("n_dup") > 0)),
-        ("inconsistent_spacing", "WARNING", (c("method") == "spatial") & (c("gap_cv") > max_cv)), ("inconsistent_dimensions", "WARNING", c("n_no_size") > 0),
-        ("inconsistent_dimensions", "BLOCKING", c("n_sizes") > 1), ("plane_mismatch", "WARNING", c("plane_csv").isNotNull() & (c("plane") != "unknown") & (F.lower("plane_csv") != c("plane"))),
-        ("unusual_orientation", "WARNING", c("plane") == "unknown"),
-    ]

@@ -17,7 +17,7 @@ from sliceframe.plans.catalog import query
 
 #: Fields of a file by order and line number, in expressions that both engines read.
 FILE = {
-    "path": "concat(l_orderkey, '/', l_linenumber)", "series_id": "concat('S', l_orderkey)", "study_id": "concat('T', l_orderkey % 500)", "instance": "CAST(CASE WHEN l_orderkey % 62 <> 0 OR l_linenumber <> 2 THEN l_linenumber END AS INT)",
+    "path": "concat(l_orderkey, '/', l_linenumber, '-', l_partkey, '-', l_suppkey)", "series_id": "concat('S', l_orderkey)", "study_id": "concat('T', l_orderkey % 500)", "instance": "CAST(CASE WHEN l_orderkey % 62 <> 0 OR l_linenumber <> 2 THEN l_linenumber END AS INT)",
     "rows": "CAST(CASE WHEN l_orderkey % 17 = 0 AND l_linenumber = 2 THEN 256 WHEN l_orderkey % 23 = 0 AND l_linenumber = 1 THEN NULL ELSE 512 END AS INT)",
     "columns": "CAST(CASE WHEN l_orderkey % 11 = 0 THEN 384 ELSE 512 END AS INT)",
     "modality": "CASE WHEN l_orderkey % 29 = 0 THEN 'CT' ELSE 'MR' END", "syntax": "CASE WHEN l_orderkey % 43 = 0 AND l_linenumber > 2 THEN '1.2.840.10008.1.2' ELSE '1.2.840.10008.1.2.1' END",
@@ -34,7 +34,7 @@ FILE = {
 }
 ATTRIBUTES = {
     "series_id": "concat('S', o_orderkey)", "study_id": "concat('T', CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE o_orderkey % 500 END)",
-    "plane_csv": "CASE o_orderkey % 4 WHEN 0 THEN 'Axial' WHEN 1 THEN 'Coronal' WHEN 2 THEN 'Sagittal' END", "fluid": "CAST(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 END AS INT)",
+    "plane_csv": "CASE CAST(floor(o_orderkey / 500) AS BIGINT) % 4 WHEN 0 THEN 'Axial' WHEN 1 THEN 'Coronal' WHEN 2 THEN 'Sagittal' END", "fluid": "CAST(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 END AS INT)",
 }
 #: Row and column directions by axis: axial, coronal, sagittal.
 SIGN = "CASE WHEN flip THEN -1e0 ELSE 1e0 END"
@@ -162,7 +162,7 @@ CASE WHEN no_size > 0 THEN 'inconsistent_dimensions' END, CASE WHEN sizes > 1 TH
 SELECT series_id, array_to_string(codes, ' | ') AS codes, n >= 3 AND sizes <= 1 AS usable FROM c""")
 def stage2_checks(t):
     """Quality checks of series by the library's own rules."""
-    return preparation.checked(info(t)).select("series_id", F.array_join("codes", " | ").alias("codes"), "usable")
+    return preparation.checked(info(t), settings.defaults()).select("series_id", F.array_join("codes", " | ").alias("codes"), "usable")
 
 
 @query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem), s AS (SELECT concat(l_orderkey, '/', l_linenumber) AS path, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, count(CASE WHEN l_discount < 0.1 THEN 1 END) AS fin FROM h GROUP BY 1)

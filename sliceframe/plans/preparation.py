@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from sliceframe.functions.scalar import clip, saturating
 from sliceframe.functions.vector import plane_of
 from sliceframe.operators.ordering import order_rows, slice_positions
-from sliceframe.operators.quality import apply_rules, stage2_rules
 from sliceframe.operators.selection import rank_candidates
 
 GROUP = ["study_id", "series_id"]
@@ -35,7 +34,7 @@ def series_info(headers: DataFrame, attributes: DataFrame, *, epsilon: float = 1
     first = lambda name: F.get(F.min_by(F.array(c(name)), c("idx")), F.lit(0))
     one = d.groupBy(*GROUP).agg(
         F.count("*").alias("n_slices"), F.first("method").alias("method"), F.min_by("normal", "idx").alias("_normal"), first("rows").alias("rows"), first("columns").alias("columns"), F.min("modality").alias("modality"),
-        F.count_if(c("rows").isNull() | c("columns").isNull()).alias("n_no_size"), F.when(F.min(sizes) != F.max(sizes), 2).otherwise(1).alias("n_sizes"),
+        F.count_if(c("rows").isNull() | c("columns").isNull()).alias("n_no_size"), F.array_sort(F.collect_set(sizes)).alias("sizes"),
         F.count_if(c("_gap") < epsilon).alias("n_dup"), F.median("_gap").alias("median_gap"), F.when(F.avg("_gap") > 0, F.stddev_pop("_gap") / F.nullif(F.avg("_gap"), F.lit(0.0))).alias("gap_cv"),
     )
     spatial = c("method") == "spatial"
@@ -105,9 +104,38 @@ class SeriesQCError(ValueError):
     """A series is not usable and the mode is strict."""
 
 
-def checked(info: DataFrame, **limits) -> DataFrame:
-    """Series with codes and usable."""
-    return apply_rules(info, stage2_rules(**limits), ok="OK").withColumn("usable", F.col("status") != "BLOCKING")
+def with_unscanned(info: DataFrame, attributes: DataFrame) -> DataFrame:
+    """``info`` and a row without slices for each listed series that no header names."""
+    return info.unionByName(attributes.join(info.select("series_id"), "series_id", "left_anti").select("study_id", "series_id", "plane_csv", "fluid", F.lit(0).cast("long").alias("n_slices"), F.lit("unknown").alias("plane")), allowMissingColumns=True)
+
+
+def issue_list(config: Mapping) -> Column:
+    """The issues of a series in the order of the rules, as (severity, code, detail). One without slices has no other than that. Severities, codes and the forms of the details are fixed values."""
+    c = F.col
+    spatial = c("method") == "spatial"
+    sizes = F.array_join(F.transform("sizes", lambda x: F.concat(F.lit("("), x["rows"].cast("string"), F.lit(", "), x["columns"].cast("string"), F.lit(")"))), ", ")
+    rules = [
+        ("WARNING", "unexpected_modality", c("modality").isNotNull() & (c("modality") != "MR"), F.concat(F.lit("Modality="), c("modality"))),
+        ("BLOCKING", "insufficient_slices", c("n_slices") < config["min_slices_usable"], F.concat(c("n_slices").cast("string"), F.lit(f" slices < min {config['min_slices_usable']}"))),
+        ("WARNING", "missing_geometry", c("method") != "spatial", F.concat(F.lit("ordering fell back to "), c("method"), F.lit("; no IPP+IOP ordering"))),
+        ("WARNING", "duplicate_positions", spatial & (c("n_dup") > 0), F.concat(c("n_dup").cast("string"), F.lit(f" near-duplicate positions (eps={config['duplicate_position_epsilon_mm']} mm)"))),
+        ("WARNING", "inconsistent_spacing", spatial & (c("gap_cv") > config["unusual_spacing_cv"]), F.concat(F.lit("gap CV="), F.format_string("%.3f", F.bround("gap_cv", 3)), F.lit(f" > {config['unusual_spacing_cv']}"))),
+        ("WARNING", "inconsistent_dimensions", c("n_no_size") > 0, F.lit("some slices missing Rows/Columns")),
+        ("BLOCKING", "inconsistent_dimensions", F.size("sizes") > 1, F.concat(F.lit("mixed matrix sizes within series: ["), sizes, F.lit("]"))),
+        ("WARNING", "plane_mismatch", ~agrees(), F.concat(F.lit("CSV plane "), c("plane_csv"), F.lit(" disagrees with DICOM-derived plane "), c("plane"))),
+        ("WARNING", "unusual_orientation", c("plane") == "unknown", F.lit("anatomical plane could not be derived from IOP")),
+    ]
+    kind = "struct<severity:string,code:string,detail:string>"
+    row = lambda severity, code, detail: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail"))
+    some = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), row(severity, code, detail)) for severity, code, hit, detail in rules]))
+    none = F.array(row("BLOCKING", "empty_series", F.lit("series has no DICOM instances")))
+    return F.when(F.coalesce("n_slices", F.lit(0)) == 0, none).otherwise(some).cast(f"array<{kind}>")
+
+
+def checked(info: DataFrame, config: Mapping) -> DataFrame:
+    """Series with their issues, the codes of those, and whether they are usable."""
+    done = info.withColumn("issues", issue_list(config))
+    return done.withColumns({"codes": F.col("issues.code"), "usable": ~F.exists("issues", lambda i: i["severity"] == "BLOCKING")})
 
 
 def enforce(done: DataFrame, mode: str = "permissive") -> DataFrame:

@@ -256,3 +256,28 @@ def pixel_table(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return found.select("path", "content").mapInArrow(work, PIXEL_SCHEMA)
+
+
+DECODED = "path string, rows int, columns int, pixels array<double>, slope double, photometric string, error string"
+
+
+def decoded(found: DataFrame) -> DataFrame:
+    """(path, content) to the first frame's rescaled pixels, file by file; a file that can't be decoded says why."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        schema = arrow_schema(DECODED)
+        for b in batches:
+            for p, c in zip(b.column(0), b.column(1)):
+                data, row = c.as_py() or b"", {"path": p.as_py()}
+                try:
+                    a = pixels(data)
+                    fields = header(data)
+                    slope = fields.get("RescaleSlope")
+                    row |= {"rows": a.shape[0], "columns": a.shape[1], "pixels": a.ravel(), "slope": 1.0 if slope is None else float(slope), "photometric": fields.get("PhotometricInterpretation")}
+                except DicomError as e:
+                    row["error"] = str(e)
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return found.select("path", "content").mapInArrow(work, DECODED)

@@ -5,14 +5,18 @@ CSV has no arrays or structs, so those columns travel as JSON text.
 
 from __future__ import annotations
 
+import logging
+import time
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NESTED = (T.ArrayType, T.MapType, T.StructType)
+log = logging.getLogger(__name__)
 SPLITS = ("train", "val")
-#: Folders of the cache: one for each two first hex digits of a key.
+#: Digits of a key that name the folder of its entries.
 PREFIX = 2
 
 
@@ -44,19 +48,48 @@ def read_split(spark: SparkSession, dest: str, unit: str = "unit", column: str =
 
 
 def cache_put(samples: DataFrame, path: str) -> None:
-    """Adds rows with a ``cache_key``. Readers see all of a job's files or none."""
-    samples.withColumn("_prefix", F.substring("cache_key", 1, PREFIX)).repartition("_prefix", F.col("cache_key")).write.mode("append").partitionBy("_prefix").parquet(path)
+    """Adds rows with a ``cache_key`` as entries, a row of any columns each. An entry says how many rows it has and what they hash to, and when it was stored; readers see all of a job's files or none."""
+    w = Window.partitionBy("cache_key")
+    row = F.struct(*[F.col(f"`{c}`") for c in samples.columns])
+    entries = samples.select(row.alias("row"), F.col("cache_key")).withColumns({"entry_rows": F.count("*").over(w), "digest": F.xxhash64("row"), "stored_at": F.lit(time.time_ns())})
+    entries.select("*", F.substring("cache_key", 1, PREFIX).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(f"{path}/entries")
 
 
-def cache_get(spark: SparkSession, path: str) -> DataFrame | None:
+def cache_drop(keys: DataFrame, path: str) -> None:
+    """Invalidates entries by ``cache_key``: those stored until now are not found any more. Nothing is rewritten, so readers are not disturbed."""
+    keys.select("cache_key", F.lit(time.time_ns()).alias("dropped_at")).distinct().write.mode("append").parquet(f"{path}/dropped")
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    read = spark.read.option("ignoreCorruptFiles", "true")
     try:
-        return spark.read.option("ignoreCorruptFiles", "true").schema(spark.read.parquet(path).schema).parquet(path).drop("_prefix")
+        return read.schema(read.parquet(path).schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def cache_get(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all whole entries, of a key stored twice the latest; None where there is no cache.
+
+    An entry that has lost rows, or whose rows don't hash to what was stored, is a miss; how many are is logged as a warning.
+    """
+    entries = _table(spark, f"{path}/entries")
+    if entries is None:
+        return None
+    dropped = _table(spark, f"{path}/dropped")
+    good = F.coalesce(F.count_if(F.xxhash64("row") == F.col("digest")) == F.max("entry_rows"), F.lit(False))
+    each = entries.groupBy("cache_key", "stored_at").agg(good.alias("whole"))
+    if dropped is not None:
+        last = dropped.groupBy("cache_key").agg(F.max("dropped_at").alias("dropped_at"))
+        each = each.join(last, "cache_key", "left").where("dropped_at is null or stored_at > dropped_at").drop("dropped_at")
+    if bad := each.where("not whole").count():
+        log.warning("%d entries of the sample cache are damaged and count as misses", bad)
+    latest = each.where("whole").groupBy("cache_key").agg(F.max("stored_at").alias("stored_at"))
+    return entries.join(latest, ["cache_key", "stored_at"], "left_semi").select("row.*")
+
+
 def cache_misses(keys: DataFrame, path: str) -> DataFrame:
     """Rows of ``keys`` whose ``cache_key`` is not in the cache; all of them where there is no cache yet."""
     have = cache_get(keys.sparkSession, path)
