@@ -64,8 +64,10 @@ def histogram(df: DataFrame, group: str, value: Column, name: str = "k") -> Data
 
 
 def duplicate_count(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows beyond the first of each key; equal nulls are duplicates."""
-    one = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    """Rows beyond the first of each key; equal nulls are duplicates. Texts are told apart by their SHA-256, so that none is a shuffle key."""
+    long = lambda k: df.schema[k].dataType.simpleString() in ("string", "binary")
+    own = [F.sha2(F.col(f"`{k}`").cast("binary"), 256) if long(k) else F.col(f"`{k}`") for k in keys]
+    one = df.select(*[c.alias(f"k{i}") for i, c in enumerate(own)]).groupBy(*[f"k{i}" for i in range(len(own))]).agg(F.count("*").alias("n"))
     return one.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.sum(F.col("n") - 1).alias("n_duplicates"))
 
 
@@ -85,10 +87,14 @@ def majority(df: DataFrame, group: str, value: Column, order: list[Column]) -> D
 
 
 def content_duplicates(df: DataFrame, content: Column, key: str, examples: int = 5) -> DataFrame:
-    """Groups of equal content by SHA-256, with the smallest keys; only counts and a bounded heap of keys are kept."""
+    """Groups of equal content by SHA-256, with their size and the ``examples`` smallest keys.
+
+    Keys are ranked with a limit, which Spark applies in each task before it sends rows, so no task holds a large group.
+    """
     h = df.select(F.sha2(content.cast("binary"), 256).alias("sha256"), F.col(key).alias("key"))
     n = h.groupBy("sha256").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
-    return n
+    first = h.withColumn("_k", F.row_number().over(Window.partitionBy("sha256").orderBy("key"))).where(F.col("_k") <= examples)
+    return n.join(first.groupBy("sha256").agg(F.array_sort(F.collect_list("key")).alias("examples")), "sha256")
 
 
 def multi_valued(df: DataFrame, group: str, value: str) -> DataFrame:

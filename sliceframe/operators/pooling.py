@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sliceframe.operators import bags
+
 
 def mean_pool(df: DataFrame, bag: str, embedding: str, digits: int = 6) -> DataFrame:
     """Element-wise mean in long form (bag, i, value); partial sums are combined before the shuffle."""
@@ -18,17 +22,15 @@ def scores(embedding: Column, query: list[float], temperature: float = 1.0) -> C
 
 
 def attention(df: DataFrame, bag: str, score: Column) -> DataFrame:
-    """Adds the softmax of ``score`` over the bag. The bag's maximum and sum come from two small aggregates, not from a window over it."""
-    d = df.withColumn("_s", score)
-    top = d.groupBy(bag).agg(F.max("_s").alias("_m"))
-    e = d.join(top, bag).withColumn("_e", F.exp(F.col("_s") - F.col("_m")))
-    total = e.groupBy(bag).agg(F.sum("_e").alias("_t"))
-    return e.join(total, bag).withColumn("attention", F.col("_e") / F.col("_t")).drop("_s", "_m", "_e", "_t")
+    """Adds the softmax of ``score`` over the bag: one pass for the bags' accumulators, one join of those."""
+    scores = F.array(score)
+    state = bags.accumulate(df, bag, F.expr("cast(array() as array<double>)"), scores)
+    return bags.weights(df, bag, scores, state).withColumn("attention", F.element_at("attention", 1))
 
 
 def attention_pool(df: DataFrame, bag: str, embedding: str, score: Column, digits: int = 6) -> DataFrame:
-    d = attention(df, bag, score).select(bag, "attention", F.posexplode(embedding).alias("i", "v"))
-    return d.groupBy(bag, "i").agg(F.round(F.sum(F.col("attention") * F.col("v").cast("double")), digits).alias("value"))
+    one = bags.pooled(bags.accumulate(df, bag, F.col(embedding), F.array(score)), bag, 1)
+    return one.select(bag, F.posexplode(F.get("pooled", F.lit(0))).alias("i", "value")).withColumn("value", F.round("value", digits))
 
 
 def attention_checks(df: DataFrame, bag: str) -> DataFrame:
@@ -66,16 +68,12 @@ def label_attention_pool(df: DataFrame, bag: str, embedding: str, by_label: dict
     """(bag, label, i, value): for each label the embeddings (without what was added) weighted by the softmax of its scores
     over the bag's rows that ``mask`` holds. A bag without such a row has none in the result.
 
-    Scores stay columns, so an embedding is not repeated for each label, and only the maxima of bags are joined back.
+    One accumulator a bag holds all labels, so an embedding is not repeated for each.
     """
     on = df if mask is None else df.where(mask)
-    d = on.select(bag, F.col(embedding).alias("_h"), *[s.alias(f"_s{k}") for k, s in enumerate(by_label.values())])
-    ks = range(len(by_label))
-    top = d.groupBy(bag).agg(*[F.max(f"_s{k}").alias(f"_m{k}") for k in ks])
-    e = d.join(top, bag).select(bag, *[F.exp(F.col(f"_s{k}") - F.col(f"_m{k}")).alias(f"_e{k}") for k in ks], F.posexplode("_h").alias("i", "v"))
-    one = e.groupBy(bag, "i").agg(*[(F.sum(F.col(f"_e{k}") * F.col("v").cast("double")) / F.sum(f"_e{k}")).alias(f"_v{k}") for k in ks])
-    rows = F.array(*[F.struct(F.lit(label).alias("label"), F.round(f"_v{k}", digits).alias("value")) for k, label in enumerate(by_label)])
-    return one.select(bag, "i", F.inline(rows)).select(bag, "label", "i", "value")
+    one = bags.pooled(bags.accumulate(on, bag, F.col(embedding), F.array(*by_label.values())), bag, len(by_label))
+    each = one.select(bag, F.inline(F.arrays_zip(F.array(*map(F.lit, by_label)).alias("label"), F.col("pooled"))))
+    return each.select(bag, "label", F.posexplode("pooled").alias("i", "value")).withColumn("value", F.round("value", digits))
 
 
 def label_classifier(pooled: DataFrame, bag: str, parameters: DataFrame, bias: dict[str, float], eps: float = 1e-5, digits: int = 6) -> DataFrame:
@@ -91,9 +89,79 @@ def label_classifier(pooled: DataFrame, bag: str, parameters: DataFrame, bias: d
     return one.select(bag, "label", F.round(logit, digits).alias("logit"))
 
 
+#: Own poolings by name: functions of (df, bag, embedding, ...).
+OWN: dict = {}
+
+
+def register_pooling(kind: str, start: Callable, add: Callable, finish: Callable, kept: str) -> None:
+    """A user's pooling from three functions of numpy arrays.
+
+    ``start`` makes a state (a vector) of a matrix of rows, ``add`` one of two states, ``finish`` the result (of Spark
+    type ``kept``, say ``array<double>``) of a state. States are merged in any order, so ``add`` must not depend on it;
+    that is tried on a small matrix here, and a function that does is refused.
+    """
+    import numpy as np
+
+    rows = np.arange(24.0).reshape(6, 4) % 7
+    whole, split, turned = start(rows), add(start(rows[:2]), start(rows[2:])), add(start(rows[2:]), start(rows[:2]))
+    if not (np.allclose(whole, split) and np.allclose(whole, turned)):
+        raise ValueError(f"states of pooling {kind} don't merge")
+    if kind in KNOWN or kind in OWN:
+        raise ValueError(f"pooling {kind} is there already")
+
+    def pool(df: DataFrame, bag: str, embedding: str) -> DataFrame:
+        key = df.schema[bag].dataType.simpleString()
+        schema = f"bag {key}, salt int, state array<double>"
+
+        def of_batch(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            salt = TaskContext.get().partitionId() % bags.SALTS
+            for batch in batches:
+                if len(batch):
+                    coded = batch.columns[0].dictionary_encode(null_encoding="encode")
+                    codes, h = coded.indices.to_numpy(zero_copy_only=False), bags.rows_of(batch.columns[1])
+                    kinds = np.unique(codes)
+                    states = [np.asarray(start(h[codes == k]), dtype=float).tolist() for k in kinds]
+                    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(kinds)), pa.array([salt] * len(kinds), type=pa.int32()), pa.array(states, type=pa.list_(pa.float64()))], names=["bag", "salt", "state"])
+
+        def merge(batches):
+            import pyarrow as pa
+
+            at, kind_, state = None, None, None
+            made = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]], type=kind_), pa.array([at[1]], type=pa.int32()), pa.array([np.asarray(state, dtype=float).tolist()], type=pa.list_(pa.float64()))], names=["bag", "salt", "state"])
+            for batch in batches:
+                for bag_, salt, own in zip(*(c.to_pylist() for c in batch.columns)):
+                    if at == (bag_, salt):
+                        state = add(state, np.array(own))
+                    else:
+                        if at is not None:
+                            yield made()
+                        at, kind_, state = (bag_, salt), batch.columns[0].type, np.array(own)
+            if at is not None:
+                yield made()
+
+        @F.arrow_udf(kept)
+        def last(column):
+            import pyarrow as pa
+
+            return pa.array([np.asarray(finish(np.array(s.as_py()))).tolist() for s in column])
+
+        d = df.select(F.col(bag).alias("bag"), F.col(embedding).cast("array<double>").alias("h")).where("h is not null").mapInArrow(of_batch, schema)
+        for salt in (F.col("salt"), F.lit(0)):
+            d = d.withColumn("salt", salt).repartition("bag", "salt").sortWithinPartitions("bag", "salt").mapInArrow(merge, schema)
+        return d.select(F.col("bag").alias(bag), last(F.col("state")).alias("pooled"))
+
+    OWN[kind] = pool
+
+
+KNOWN = {"mean": mean_pool, "masked_mean": masked_mean, "attention": attention_pool, "label_attention": label_attention_pool, "multihead": bags.multihead_pool}
+
+
 def pooling_of(kind: str):
-    """The pooling by name; an unknown one raises."""
-    known = {"mean": mean_pool, "masked_mean": masked_mean, "attention": attention_pool, "label_attention": label_attention_pool}
+    """The pooling by name, built in or registered; an unknown one raises."""
+    known = KNOWN | OWN
     if kind not in known:
         raise ValueError(f"unknown pooling: {kind}; known: {', '.join(known)}")
     return known[kind]

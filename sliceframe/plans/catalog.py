@@ -156,9 +156,10 @@ def majority_value(t):
     return A.majority(t("events"), "user_id", F.col("event_type"), [F.col("ts"), F.col("event_id")])
 
 
-@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_key FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_key, array_to_string(list_sort(list(doc_id))[1:5], ' ') AS examples FROM documents GROUP BY 1 HAVING count(*) > 1")
 def content_hash_dups(t):
-    return A.content_duplicates(t("documents"), F.col("text"), "doc_id")
+    d = A.content_duplicates(t("documents"), F.col("text"), "doc_id")
+    return d.withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), " "))
 
 
 @query("SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_values FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")

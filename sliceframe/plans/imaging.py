@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sliceframe import settings
-from sliceframe.plans import health, preparation, samples
+from sliceframe.plans import health, reports, samples
 from sliceframe.plans.catalog import query
 from sliceframe.plans.health import COMPONENTS
 
@@ -114,3 +114,110 @@ def study_batches(t):
     d = samples.study_batches(studies, made, labels, NAMES, CONFIG, chunk=4)
     names = F.array_join(F.transform("sample_metadata", lambda m: F.concat(m["slot"], m["sample"].cast("string"))), " ")
     return d.select("study_id", "chunk", F.size("images").alias("n_images"), names.alias("samples"), F.array_join(F.transform("labels", lambda x: F.coalesce(x.cast("int").cast("string"), F.lit("-"))), " ").alias("labels"))
+
+
+#: Six labels of each document, the first two as listed.
+SIX = {"quality": "quality", "toxic": "toxic", "m3": "CASE d.doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END", "m5": "CASE WHEN d.doc_id % 5 < 2 THEN 1 ELSE 0 END", "m7": "CASE WHEN d.doc_id % 7 = 1 THEN 2 WHEN d.doc_id % 7 > 4 THEN 0 END", "m0": "CAST(NULL AS INT)"}
+WORDS = {"a": "(?iu)license|licence", "b": "(?iu)the|der"}
+PAIRS = [(a, b) for i, a in enumerate(SIX) for b in list(SIX)[i + 1 :]]
+
+
+@query(f"""WITH t AS (SELECT text, CASE WHEN d.doc_id % 13 <> 0 THEN quality END AS quality, CASE WHEN d.doc_id % 13 <> 0 THEN toxic END AS toxic, {', '.join(f"CASE WHEN d.doc_id % 13 <> 0 THEN {e} END AS {n}" for n, e in list(SIX.items())[2:])} FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT label, count(*) AS total, count(y) AS labeled, count(CASE WHEN y > 0 THEN 1 END) AS positive, count(CASE WHEN y = 0 THEN 1 END) AS negative, list_sort(list(DISTINCT y) FILTER (WHERE y IS NOT NULL)) AS v, place FROM ({' UNION ALL '.join(f"SELECT '{n}' AS label, {n} AS y, {k} AS place FROM t" for k, n in enumerate(SIX))}) GROUP BY label, place),
+j AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, {k} AS place, count(CASE WHEN {a} > 0 AND {b} > 0 THEN 1 END) AS joint, count(CASE WHEN {a} > 0 OR {b} > 0 THEN 1 END) AS either FROM t" for k, (a, b) in enumerate(PAIRS))}),
+n AS (SELECT count(*) AS n, count(CASE WHEN coalesce({', '.join(SIX)}) IS NOT NULL THEN 1 END) AS m, count(text) AS tx, min(length(text)) AS lo, median(length(text)) AS md, max(length(text)) AS hi, count(CASE WHEN regexp_matches(text, 'license|licence', 'i') THEN 1 END) AS ma, count(CASE WHEN regexp_matches(text, 'the|der', 'i') THEN 1 END) AS mb FROM t),
+k AS (SELECT {' + '.join(f'CASE WHEN {n} > 0 THEN 1 ELSE 0 END' for n in SIX)} AS k, count(*) AS c FROM t WHERE coalesce({', '.join(SIX)}) IS NOT NULL GROUP BY 1)
+SELECT part, name, CAST(place AS INTEGER) AS place, round(CAST(value AS DOUBLE), 6) AS value FROM (
+SELECT 'studies' AS part, 'n_studies' AS name, 0 AS place, n::DOUBLE AS value FROM n UNION ALL SELECT 'studies', 'n_labeled', 0, m FROM n UNION ALL SELECT 'studies', 'n_unlabeled', 0, n - m FROM n UNION ALL SELECT 'texts', 'non_null', 0, tx FROM n
+UNION ALL SELECT 'length', 'min', 0, lo FROM n UNION ALL SELECT 'length', 'median', 0, md FROM n UNION ALL SELECT 'length', 'max', 0, hi FROM n UNION ALL SELECT 'markers', 'a', 0, ma FROM n UNION ALL SELECT 'markers', 'b', 0, mb FROM n
+UNION ALL SELECT 'labeled', label, 0, labeled FROM s UNION ALL SELECT 'positive', label, 0, positive FROM s UNION ALL SELECT 'negative', label, 0, negative FROM s UNION ALL SELECT 'missing', label, 0, total - labeled FROM s UNION ALL SELECT 'prevalence', label, 0, positive / nullif(labeled, 0)::DOUBLE FROM s
+UNION ALL SELECT 'values', label, generate_subscripts(v, 1) - 1, unnest(v) FROM s UNION ALL SELECT 'joint', concat(a, ' | ', b), 0, joint FROM j WHERE joint > 0 UNION ALL SELECT 'positives', CAST(k AS VARCHAR), 0, c FROM k
+UNION ALL (SELECT 'top', concat(a, ' | ', b), row_number() OVER (ORDER BY joint / nullif(either, 0)::DOUBLE DESC NULLS LAST, place) - 1, joint / nullif(either, 0)::DOUBLE FROM j QUALIFY row_number() OVER (ORDER BY joint / nullif(either, 0)::DOUBLE DESC NULLS LAST, place) <= 8)
+UNION ALL SELECT 'rank', label, row_number() OVER (ORDER BY positive / nullif(labeled, 0)::DOUBLE DESC NULLS LAST, place) - 1, positive / nullif(labeled, 0)::DOUBLE FROM s)""")
+def label_report(t):
+    """The whole label report in long form."""
+    d = t("documents").alias("d").join(t("labels").alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "left")
+    wide = d.select("text", *[F.expr(f"CASE WHEN d.doc_id % 13 <> 0 THEN {e} END").alias(n) for n, e in SIX.items()])
+    done = reports.figures(reports.label_report(wide, list(SIX), "text", markers=WORDS))
+    return done.withColumn("value", F.round("value", 6))
+
+
+NORMALS = f"""{health.H}, nv AS (SELECT *, CASE WHEN flip THEN -1e0 ELSE 1e0 END AS sg FROM h), nm AS (SELECT *, CASE WHEN axis IS NOT NULL THEN CASE axis WHEN 2 THEN sg ELSE 0 END END AS x, CASE WHEN axis IS NOT NULL THEN CASE axis WHEN 1 THEN -sg ELSE 0 END END AS y, CASE WHEN axis IS NOT NULL THEN CASE axis WHEN 0 THEN sg ELSE 0 END END AS zz FROM nv),
+mn AS (SELECT *, avg(x) OVER s AS mx, avg(y) OVER s AS my, avg(zz) OVER s AS mz FROM nm WINDOW s AS (PARTITION BY series_id)),
+od AS (SELECT series_id, count(*) AS n_slices, count(x) AS n_usable, max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (zz - mz) ** 2)) AS spread, avg(x) AS x, avg(y) AS y, avg(zz) AS z, arg_min(CASE WHEN x IS NOT NULL THEN concat(sign(x)::INT, ' ', sign(y)::INT, ' ', sign(zz)::INT) ELSE '' END, path) AS signs FROM mn GROUP BY series_id),
+ou AS (SELECT *, CASE WHEN sqrt(x * x + y * y + z * z) > 1e-8 THEN [abs(x), abs(y), abs(z)] END AS a, sqrt(x * x + y * y + z * z) AS m FROM od), ov AS (SELECT *, list_reverse_sort(a)[1] / m AS best, list_reverse_sort(a)[1] / m - list_reverse_sort(a)[2] / m AS apart, ['sagittal', 'coronal', 'axial'][list_position(a, list_reverse_sort(a)[1])] AS axis FROM ou),
+ow AS (SELECT ov.*, CASE WHEN n_usable > 0 THEN CASE WHEN coalesce(best >= 0.8 AND apart >= 0.2, false) THEN axis ELSE 'unknown' END END AS derived_plane, a2.plane_csv FROM ov LEFT JOIN a a2 USING (series_id))"""
+
+
+@query(f"WITH {NORMALS} SELECT series_id, n_slices, n_usable, round(spread, 6) AS spread, axis AS dominant_axis, round(best, 6) AS alignment, round(apart, 6) AS separation, derived_plane, CASE WHEN derived_plane IS NULL THEN 'no usable IOP' WHEN derived_plane = 'unknown' THEN 'oblique or ambiguous normal' END AS reason, plane_csv FROM ow")
+def orientation_details(t):
+    """The orientation report's series."""
+    d = reports.orientation_details(health.headers(t), health.attributes(t))
+    return d.select("series_id", "n_slices", "n_usable", *[F.round(c, 6).alias(c) for c in ("spread", "alignment", "separation")], "dominant_axis", "derived_plane", "reason", "plane_csv")
+
+
+@query(f"""WITH {NORMALS}, b AS (SELECT *, derived_plane IS NOT NULL AND plane_csv IS NOT NULL AS both_, coalesce(lower(plane_csv) = derived_plane, false) AS same FROM ow)
+SELECT count(*) AS n_series, count(derived_plane) AS n_derivable, round(count(CASE WHEN same THEN 1 END) / count(CASE WHEN both_ THEN 1 END)::DOUBLE, 6) AS agreement, count(CASE WHEN both_ AND NOT same THEN 1 END) AS n_confusions, count(CASE WHEN derived_plane = 'unknown' THEN 1 END) AS n_unknown, round(count(CASE WHEN spread < 1e-6 THEN 1 END) / count(spread)::DOUBLE, 6) AS constant_rate,
+concat('Sagittal ', count(CASE WHEN both_ AND plane_csv = 'Sagittal' THEN 1 END), ' ', count(CASE WHEN same AND plane_csv = 'Sagittal' THEN 1 END), ', Coronal ', count(CASE WHEN both_ AND plane_csv = 'Coronal' THEN 1 END), ' ', count(CASE WHEN same AND plane_csv = 'Coronal' THEN 1 END), ', Axial ', count(CASE WHEN both_ AND plane_csv = 'Axial' THEN 1 END), ' ', count(CASE WHEN same AND plane_csv = 'Axial' THEN 1 END)) AS by_plane,
+(SELECT string_agg(concat(signs, ': ', n), ', ' ORDER BY signs) FROM (SELECT signs, count(*) AS n FROM ow WHERE signs <> '' GROUP BY signs)) AS signs FROM b""")
+def orientation_summary(t):
+    """The orientation report's figures."""
+    d = reports.orientation_summary(reports.orientation_details(health.headers(t), health.attributes(t)))
+    by = F.array_join(F.transform("by_plane", lambda x: F.concat_ws(" ", x["plane"], x["n"].cast("string"), x["agree"].cast("string"))), ", ")
+    each = F.transform("signs", lambda x: F.concat(F.concat_ws(" ", F.get(x["signs"], F.lit(0)), F.get(x["signs"], F.lit(1)), F.get(x["signs"], F.lit(2))), F.lit(": "), x["n_series"].cast("string")))
+    return d.select("n_series", "n_derivable", F.round("agreement", 6).alias("agreement"), "n_confusions", "n_unknown", F.round("constant_rate", 6).alias("constant_rate"), by.alias("by_plane"), F.array_join(F.array_sort(each), ", ").alias("signs"))
+
+
+ORDERED = f"""{NORMALS}, ip AS (SELECT *, CASE WHEN axis IS NOT NULL AND z IS NOT NULL THEN CASE k % 3 WHEN 0 THEN zz * z WHEN 1 THEN y * z ELSE x * z END END AS pos FROM nm),
+rf AS (SELECT *, first_value([x, y, zz]) OVER (PARTITION BY series_id ORDER BY x IS NULL, path ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ref, pos - lag(pos) OVER (PARTITION BY series_id ORDER BY pos NULLS FIRST) AS gap,
+CASE WHEN instance IS NOT NULL THEN rank() OVER (PARTITION BY series_id, instance IS NULL ORDER BY instance) + (count(*) OVER (PARTITION BY series_id, instance) - 1) / 2.0::DOUBLE END AS ri, rank() OVER (PARTITION BY series_id ORDER BY pos NULLS FIRST) + (count(*) OVER (PARTITION BY series_id, pos) - 1) / 2.0::DOUBLE AS rp FROM ip),
+os AS (SELECT series_id, count(*) AS n_slices, count(DISTINCT instance) = count(instance) AS uniq, count(*) - count(instance) AS n_missing, CASE WHEN count(instance) > 0 THEN min(instance) = 1 AND max(instance) = count(instance) AND count(DISTINCT instance) = count(instance) END AS contiguous, count(pos) AS n_spatial, min(x * ref[1] + y * ref[2] + zz * ref[3]) AS worst,
+max(pos) - min(pos) AS span, median(gap) AS med, CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) END AS cv, count(CASE WHEN gap < 1e-3 THEN 1 END) AS dup, CASE WHEN stddev_pop(ri) > 0 AND stddev_pop(CASE WHEN ri IS NOT NULL THEN rp END) > 0 THEN covar_pop(ri, CASE WHEN ri IS NOT NULL THEN rp END) / (stddev_pop(ri) * stddev_pop(CASE WHEN ri IS NOT NULL THEN rp END)) END AS r FROM rf GROUP BY series_id),
+ot AS (SELECT *, n_spatial = n_slices AND n_slices >= 2 AS full_ FROM os), oe AS (SELECT series_id, n_slices, uniq, n_missing, contiguous, n_spatial, CASE WHEN full_ THEN worst > 0.99 END AS consistent, CASE WHEN full_ THEN round(span, 4) END AS span, CASE WHEN full_ THEN round(med, 4) END AS median_gap, CASE WHEN full_ THEN round(cv, 4) END AS gap_cv, CASE WHEN full_ THEN dup END AS n_dup, CASE WHEN full_ THEN round(r, 4) END AS rho, CASE WHEN full_ THEN CASE WHEN round(r, 10) > 0 THEN 'increasing' WHEN r IS NOT NULL THEN 'decreasing' END END AS direction FROM ot)"""
+
+
+@query(f"WITH {ORDERED} SELECT series_id, n_slices, uniq AS \"unique\", n_missing, contiguous, n_spatial, consistent, span, median_gap, gap_cv, n_dup, rho FROM oe")
+def ordering_details(t):
+    """The ordering report's series."""
+    return reports.ordering_details(health.headers(t)).drop("direction")
+
+
+@query(f"""WITH {ORDERED} SELECT count(*) AS n_series, count(CASE WHEN n_spatial = n_slices THEN 1 END) AS n_spatial, round(count(CASE WHEN uniq THEN 1 END) / count(*)::DOUBLE, 6) AS unique_rate, CAST(sum(n_missing) AS BIGINT) AS n_missing, round(count(CASE WHEN contiguous THEN 1 END) / count(*)::DOUBLE, 6) AS contiguous_rate, count(rho) AS n_rho, round(avg(rho), 6) AS mean_rho, round(stddev_pop(rho), 6) AS std_rho, min(rho) AS min_rho, max(rho) AS max_rho,
+round(count(CASE WHEN abs(rho) >= 0.999 THEN 1 END) / count(rho)::DOUBLE, 6) AS monotone_rate, max(gap_cv) AS max_gap_cv, count(CASE WHEN n_dup > 0 THEN 1 END) AS n_with_duplicates FROM oe""")
+def ordering_summary(t):
+    """The ordering report's figures."""
+    d = reports.ordering_summary(reports.ordering_details(health.headers(t))).drop("n_increasing", "n_decreasing")
+    return d.withColumns({k: F.round(k, 6) for k in ("unique_rate", "contiguous_rate", "mean_rho", "std_rho", "monotone_rate")})
+
+
+#: Headers below folders named by series, and series of another table, some of which are listed in both.
+def others(t):
+    return health.attributes(t).where("CAST(substring(series_id, 2) AS BIGINT) % 90 = 7 OR CAST(substring(series_id, 2) AS BIGINT) < 4")
+
+
+HOLD = "listed AS (SELECT * FROM a WHERE k % 97 <> 5), others AS (SELECT * FROM a WHERE k % 90 = 7 OR k < 4), hd AS (SELECT *, concat('S', split_part(path, '/', 1)) AS folder FROM h), ps AS (SELECT study_id, count(*) AS k FROM listed GROUP BY 1), pz AS (SELECT series_id, min(study_id) AS study_id, count(*) AS k FROM hd GROUP BY 1)"
+ONE = lambda part, name, sql: f"SELECT '{part}' AS part, '{name}' AS name, ({sql})::DOUBLE AS value"
+SHAPE = {"mean": "avg(k)", "std": "stddev_pop(k)", "min": "min(k)", "median": "median(k)", "max": "max(k)"}
+
+
+@query(f"WITH {health.H}, {HOLD} SELECT part, name, round(value, 6) AS value FROM (" + " UNION ALL ".join([
+    ONE("listed", "rows", "SELECT count(*) FROM listed"), ONE("listed", "series", "SELECT count(DISTINCT series_id) FROM listed"), ONE("listed", "studies", "SELECT count(DISTINCT study_id) FROM listed"),
+    ONE("found", "files", "SELECT count(*) FROM hd"), ONE("found", "series", "SELECT count(DISTINCT series_id) FROM hd"), ONE("found", "studies", "SELECT count(DISTINCT study_id) FROM hd"), ONE("found", "without_key", "SELECT 0"),
+    *[ONE("series_per_study", n, f"SELECT {e} FROM ps") for n, e in SHAPE.items()], *[ONE("slices_per_series", n, f"SELECT {e} FROM pz") for n, e in SHAPE.items()],
+    "SELECT 'series_per_study_n', CAST(k AS VARCHAR), count(*)::DOUBLE FROM ps GROUP BY k", "SELECT 'slices_per_series_n', CAST(k AS VARCHAR), count(*)::DOUBLE FROM pz GROUP BY k",
+    "SELECT 'planes', coalesce(plane_csv, 'null'), count(*) FROM listed GROUP BY plane_csv", "SELECT 'flags', concat(coalesce(plane_csv, 'null'), '|', coalesce(CAST(fluid AS VARCHAR), 'null')), count(*) FROM listed GROUP BY plane_csv, fluid",
+    "SELECT 'sizes', concat(rows, '|', columns), count(*) FROM hd WHERE rows IS NOT NULL AND columns IS NOT NULL GROUP BY rows, columns", ONE("sizes", "non_square", "SELECT count(*) FROM hd WHERE rows <> columns"),
+    *[ONE("missing", n, f"SELECT count(*) - count({n}) FROM listed") for n in ("study_id", "series_id", "plane_csv", "fluid")],
+    ONE("duplicates", "series", "SELECT count(*) - count(DISTINCT series_id) FROM listed"), ONE("duplicates", "pairs", "SELECT count(*) - count(DISTINCT (study_id, series_id)) FROM listed"), ONE("duplicates", "sop", "SELECT count(*) - count(DISTINCT path) FROM hd"),
+    ONE("one_side", "found_series", "SELECT count(*) FROM pz ANTI JOIN listed USING (series_id)"), ONE("one_side", "listed_series", "SELECT count(*) FROM (SELECT DISTINCT series_id FROM listed) ANTI JOIN hd USING (series_id)"),
+    ONE("one_side", "found_studies", "SELECT count(*) FROM (SELECT DISTINCT study_id FROM hd) ANTI JOIN listed USING (study_id)"), ONE("one_side", "listed_studies", "SELECT count(*) FROM (SELECT DISTINCT study_id FROM listed) ANTI JOIN hd USING (study_id)"),
+    ONE("overlap", "series", "SELECT count(*) FROM (SELECT DISTINCT series_id FROM listed) SEMI JOIN others USING (series_id)"), ONE("overlap", "studies", "SELECT count(*) FROM (SELECT DISTINCT study_id FROM listed) SEMI JOIN others USING (study_id)"),
+    ONE("mapping", "matching", "SELECT count(*) FROM pz JOIN listed USING (series_id) WHERE pz.study_id = listed.study_id"), ONE("mapping", "moved", "SELECT count(*) FROM pz JOIN listed USING (series_id) WHERE pz.study_id <> listed.study_id"),
+    ONE("partial", "studies", "SELECT count(*) FROM (SELECT study_id, count(DISTINCT series_id) AS n FROM listed GROUP BY 1) JOIN (SELECT study_id, count(DISTINCT series_id) AS m FROM hd GROUP BY 1) USING (study_id) WHERE n <> m"),
+    "SELECT 'layout', 'series', count(DISTINCT folder)::DOUBLE FROM hd",
+]) + ")")
+def structure_figures(t):
+    """The whole structure report in long form."""
+    headers = health.headers(t).withColumn("path", F.concat(F.lit("S"), F.col("path")))
+    listed = health.attributes(t).where("CAST(substring(series_id, 2) AS BIGINT) % 97 != 5")
+    return reports.structure_figures(headers, listed, others(t)).withColumn("value", F.round("value", 6))
