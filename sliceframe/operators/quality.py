@@ -42,6 +42,7 @@ def stage1_rules(min_slices: int = 4, max_cv: float = 0.15, max_tag: float = 0.2
     c = F.col
     off = F.abs(c("median_gap") - c("spacing_tag")) / F.nullif(c("spacing_tag"), F.lit(0.0))
     return [
+        ("empty_series", "INVALID", c("n_slices") == 0), ("unreadable", "INVALID", c("n_unreadable") > 0),
         ("missing_size", "WARNING", c("n_no_size") > 0), ("mixed_size", "INVALID", c("n_sizes") > 1),
         ("missing_spacing", "WARNING", c("n_no_spacing") > 0), ("mixed_spacing", "WARNING", (c("n_no_spacing") == 0) & (c("n_spacings") > 1)),
         ("missing_orientation", "WARNING", c("n_no_iop") > 0), ("mixed_orientation", "INVALID", (c("n_no_iop") == 0) & (c("iop_spread") > 1e-3)),
@@ -52,3 +53,22 @@ def stage1_rules(min_slices: int = 4, max_cv: float = 0.15, max_tag: float = 0.2
         ("description_disagrees", "WARNING", description_hint(c("series_description")).isNotNull() & (c("plane") != "unknown") & (description_hint(c("series_description")) != c("plane"))),
     ]
 
+
+
+def stage1_sentences(min_slices: int = 4, max_cv: float = 0.15) -> dict[str, Column]:
+    """A sentence for each code of ``stage1_rules``. Their forms are fixed values; of several values in a series all are named, in order."""
+    c = F.col
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("None")) for x in parts])
+    three = lambda x: F.format_string("%.3f", F.bround(x, 3))
+    short = lambda x: F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
+    many = lambda name: F.array_join(F.transform(name, lambda x: x.cast("string")), ", ")
+    return {
+        "empty_series": say("empty series (no DICOM instances)"), "unreadable": say(c("n_unreadable"), " unreadable instance(s), e.g. ", c("first_error")),
+        "missing_size": say("missing Rows/Columns on at least one instance"), "mixed_size": say("inconsistent dimensions rows={", many("all_rows"), "} columns={", many("all_columns"), "}"),
+        "missing_spacing": say("missing PixelSpacing on at least one instance"), "mixed_spacing": say("inconsistent PixelSpacing values: {", F.array_join(F.transform("all_spacings", lambda x: F.concat(F.lit("("), F.array_join(F.transform(x, lambda y: y.cast("string")), ", "), F.lit(")"))), ", "), "}"),
+        "missing_orientation": say("missing ImageOrientationPatient on at least one instance"), "mixed_orientation": say("inconsistent ImageOrientationPatient across slices"), "missing_position": say("missing ImagePositionPatient on at least one instance"),
+        "ordering_fallback": say("slice order used fallback method=", c("method")), "duplicate_positions": say("duplicate or near-duplicate slice positions"), "irregular_gaps": say("unusual slice spacing variation CV=", three(c("gap_cv")), f" > {max_cv}"),
+        "spacing_disagrees": say("SpacingBetweenSlices tag=", short(c("spacing_tag")), " disagrees with median position delta=", short(c("median_gap"))), "positions_unknown": say("could not compute slice positions for spacing checks"), "few_slices": say("few slices (", c("n_slices"), f" < {min_slices})"),
+        "plane_unknown": say("anatomical plane unknown"), "multi_frame": say("multi-frame DICOM detected NumberOfFrames={", many("all_frames"), "} (not expanded in this milestone)"), "mixed_transfer_syntax": say("mixed transfer syntaxes in series: {", F.array_join("all_syntaxes", ", "), "}"),
+        "description_disagrees": say("SeriesDescription plane hint disagrees with spatial plane"),
+    }

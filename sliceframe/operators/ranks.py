@@ -2,7 +2,9 @@
 
 A number's bucket is a fixed, monotone function of it: 256 buckets an octave of
 1 + 1024 |x|, so a column of any range has a few thousand. Sums over buckets
-are accumulated by group, and exact order is needed only within one bucket.
+are accumulated by group, and exact order is needed only within one bucket. Rows
+are read twice: once for the sums, which every task combines, and once for the
+values of the few buckets that hold a wanted rank; no other value is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST, MOST = -(2**62), 2**62
+#: Wanted buckets that are sent to every task; more of them (very many groups) meet the values by a shuffle.
+SENT = 200_000
 
 
 def bucket(x: Column) -> Column:
@@ -26,9 +30,9 @@ def bucket(x: Column) -> Column:
 def percentiles(df: DataFrame, by: Sequence[str], value: Column, qs: Sequence[float]) -> DataFrame:
     """(by, q, value): exact percentiles by linear interpolation; groups without a value have no row."""
     by = list(by)
-    values = df.select(*by, value.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n")).withColumn("_b", bucket(F.col("_v")))
+    each = df.select(*by, value.cast("double").alias("_v")).where("_v is not null").withColumn("_b", bucket(F.col("_v")))
     same = by or [F.lit(1)]
-    sums = values.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
+    sums = each.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
     sums = sums.withColumn("_to", F.sum("_m").over(Window.partitionBy(*same).orderBy("_b"))).withColumn("_all", F.sum("_m").over(Window.partitionBy(*same)))
     at = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
     part = lambda q, rank, share: F.struct(F.lit(float(q)).alias("q"), rank.cast("long").alias("rank"), share.alias("share"))
@@ -38,6 +42,11 @@ def percentiles(df: DataFrame, by: Sequence[str], value: Column, qs: Sequence[fl
     meet = F.col("_b") == F.col("_kb")
     for c in by:
         meet = meet & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    near = values.join(held, meet).withColumn("_end", F.col("_from") + F.sum("_n").over(Window.partitionBy(*same, "_b").orderBy("_v")))
+    # Without groups there are two buckets a percentile at most; with groups they are counted, and kept, as they are needed twice.
+    if not by or (held := held.persist()).count() <= SENT:
+        counted = each.join(F.broadcast(held), meet).groupBy(*by, "_v", "_b", "_from", "_r").agg(F.count("*").alias("_n"))
+    else:
+        counted = each.groupBy(*by, "_v", "_b").agg(F.count("*").alias("_n")).join(held, meet)
+    near = counted.withColumn("_end", F.col("_from") + F.sum("_n").over(Window.partitionBy(*same, "_b").orderBy("_v")))
     hit = near.withColumn("_x", F.explode("_r")).where((F.col("_x.rank") < F.col("_end")) & (F.col("_x.rank") >= F.col("_end") - F.col("_n")))
     return hit.groupBy(*by, F.col("_x.q").alias("q")).agg(F.sum(F.col("_x.share") * F.col("_v")).alias("value"))

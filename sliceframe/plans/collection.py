@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sliceframe.functions.vector import dot, plane_of
 from sliceframe.operators.ordering import order_rows, slice_positions
-from sliceframe.operators.quality import apply_rules, stage1_rules
+from sliceframe.operators.quality import apply_rules, stage1_rules, stage1_sentences
 
 GROUP = ["study_id", "series_id"]
 #: What the manifest takes from a series' first ordered slice, and under which name.
@@ -24,7 +24,8 @@ FIRST = {
 def slice_table(headers: DataFrame) -> DataFrame:
     """Valid headers with group keys, usable geometry, position, method and idx (from 0)."""
     c = F.col
-    d = headers.where("kind = 'dicom'").withColumns({
+    d = headers if "read_error" in headers.columns else headers.withColumn("read_error", F.lit(None).cast("string"))
+    d = d.where("kind = 'dicom'").withColumns({
         "study_id": F.coalesce(c("StudyInstanceUID"), F.lit("MISSING_STUDY")),
         "series_id": F.coalesce(c("SeriesInstanceUID"), F.lit("MISSING_SERIES")),
         "sop_uid": F.coalesce(c("SOPInstanceUID"), F.concat(F.lit("MISSING_SOP::"), c("path"))),
@@ -54,15 +55,28 @@ def series_table(slices: DataFrame, *, epsilon: float = 1e-3) -> DataFrame:
         missing(c("spacing")).alias("n_no_spacing"), kinds(c("spacing")).alias("n_spacings"), missing(c("iop")).alias("n_no_iop"), F.max("_turn").alias("iop_spread"),
         missing(c("ipp")).alias("n_no_ipp"), missing(c("_place")).alias("n_no_position"), F.when(known, F.count_if(c("_gap") < epsilon)).otherwise(0).alias("n_dup"), F.when(known, F.median("_gap")).alias("median_gap"),
         F.when(known & (F.avg("_gap") > 0), F.stddev_pop("_gap") / F.nullif(F.avg("_gap"), F.lit(0.0))).alias("gap_cv"),
-        F.count_if(c("NumberOfFrames") > 1).alias("n_multiframe"), kinds(F.coalesce(c("TransferSyntaxUID"), F.lit(""))).alias("n_syntaxes"),
+        *[F.array_sort(F.collect_set(k)).alias(v) for k, v in {"Rows": "all_rows", "Columns": "all_columns", "spacing": "all_spacings", "TransferSyntaxUID": "all_syntaxes"}.items()], F.array_sort(F.collect_set(F.when(c("NumberOfFrames") > 1, c("NumberOfFrames")))).alias("all_frames"),
+        F.count("read_error").alias("n_unreadable"), F.min_by("read_error", F.when(c("read_error").isNotNull(), c("idx"))).alias("first_error"), F.count_if(c("NumberOfFrames") > 1).alias("n_multiframe"), kinds(F.coalesce(c("TransferSyntaxUID"), F.lit(""))).alias("n_syntaxes"),
     )
     # Of a series that is not spatially ready the plane is unknown.
     plane = F.when(c("method") == "spatial", plane_of(c("_normal"))).otherwise("unknown")
     return one.withColumn("plane", plane).withColumn("slice_spacing", F.coalesce("median_gap", "spacing_tag")).drop("_normal")
 
 
+def with_unscanned(series: DataFrame, listed: DataFrame) -> DataFrame:
+    """``series`` and a row without slices for each listed one (study_id, series_id) that no header names."""
+    there = series.select(*GROUP)
+    return series.unionByName(listed.select(*GROUP).distinct().join(there, GROUP, "left_anti").withColumns({"n_slices": F.lit(0).cast("long"), "plane": F.lit("unknown")}), allowMissingColumns=True)
+
+
 def validated(series: DataFrame, **limits) -> DataFrame:
-    return apply_rules(series, stage1_rules(**limits))
+    """Series with their status, codes, and a sentence for each code. One without slices has no other finding than that."""
+    done = apply_rules(series, stage1_rules(**limits))
+    done = done.withColumn("codes", F.when(F.col("n_slices") == 0, F.array(F.lit("empty_series"))).otherwise(F.col("codes")))
+    said = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in stage1_sentences(**{k: v for k, v in limits.items() if k != "max_tag"}).items()]))
+    messages = F.transform("codes", lambda k: F.element_at("_said", k))
+    # Bound once a row: in the lambda the map would be made again for each code.
+    return done.withColumn("_said", said).withColumn("messages", F.when(F.size("codes") == 0, F.array(F.lit("all inspected checks passed"))).otherwise(messages)).drop("_said")
 
 
 def manifest(checked: DataFrame, root: str = "") -> DataFrame:
@@ -72,18 +86,30 @@ def manifest(checked: DataFrame, root: str = "") -> DataFrame:
     return checked.select(
         *GROUP, "series_description", "series_number", "modality", "body_part_examined", "protocol_name", "sequence_name", "plane", c("n_slices").alias("slice_count"), "rows", "columns",
         F.to_json("pixel_spacing").alias("pixel_spacing"), "slice_spacing", "slice_thickness", F.to_json("orientation").alias("orientation"), "transfer_syntax_uid", c("method").alias("ordering_method"),
-        c("status").alias("validation_status"), F.array_join("codes", " | ").alias("validation_messages"), F.regexp_replace(below, "/?[^/]*$", "").alias("source_dir"), below.alias("example_path"),
+        c("status").alias("validation_status"), F.array_join("messages", " | ").alias("validation_messages"), F.regexp_replace(below, "/?[^/]*$", "").alias("source_dir"), below.alias("example_path"),
     )
 
 
 def study_summary(checked: DataFrame) -> DataFrame:
-    """A row a study: how many series and slices, and its series as JSON by id."""
-    item = F.struct("series_id", "series_description", "plane", "n_slices", "method", "status", "codes")
-    return checked.groupBy("study_id").agg(F.count("*").alias("n_series"), F.sum("n_slices").alias("n_slices"), F.to_json(F.array_sort(F.collect_list(item))).alias("series"))
+    """A row a study: its series by status, planes as they first occur among its series by id, slices, what was found wrong, and the series as JSON by id."""
+    item = F.struct("series_id", "series_description", "plane", F.col("n_slices").alias("slice_count"), "rows", "columns", "pixel_spacing", "slice_spacing", "orientation", F.col("status").alias("validation_status"), F.col("messages").alias("validation_messages"), F.col("method").alias("ordering_method"))
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s.lower()}_series")
+    one = checked.groupBy("study_id").agg(F.count("*").alias("n_series"), n("VALID"), n("WARNING"), n("INVALID"), F.sum("n_slices").alias("n_slices"), F.array_sort(F.collect_list(item)).alias("s"))
+    wrong = F.flatten(F.transform(F.filter("s", lambda x: x["validation_status"] != "VALID"), lambda x: F.transform(x["validation_messages"], lambda m: F.concat(x["series_id"], F.lit(": "), m))))
+    return one.select("study_id", "n_series", "n_valid_series", "n_warning_series", "n_invalid_series", F.array_distinct("s.plane").alias("available_planes"), "n_slices", wrong.alias("validation_warnings"), F.to_json("s", {"ignoreNullFields": "false"}).alias("series"))
+
+
+def scan_counts(checked: DataFrame) -> DataFrame:
+    """Studies and series by status, in one row."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s.lower()}_series")
+    return checked.agg(F.count_distinct("study_id").alias("n_studies"), F.count("*").alias("n_series"), n("VALID"), n("WARNING"), n("INVALID"))
 
 
 def write_manifests(checked: DataFrame, found_issues: DataFrame, dest: str, root: str = "") -> None:
     """Manifest as CSV and JSON, issues as CSV, study summaries as JSON; folders under ``dest`` are replaced."""
+    # Ordering and validation of all slices run once; four sinks read their result.
+    checked.write.mode("overwrite").parquet(f"{dest}/series")
+    checked = checked.sparkSession.read.parquet(f"{dest}/series")
     rows = manifest(checked, root)
     rows.write.mode("overwrite").csv(f"{dest}/series_manifest_csv", header=True)
     rows.write.mode("overwrite").json(f"{dest}/series_manifest_json")

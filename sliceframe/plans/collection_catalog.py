@@ -34,13 +34,14 @@ class Collection:
 
     def counts(self) -> DataFrame:
         """The scan's counters beside those of studies and series."""
-        status = F.col("status")
-        one = self.series.agg(
-            F.count_distinct("study_id").alias("n_studies"), F.count("*").alias("n_series"), F.count_if(status == "VALID").alias("n_valid_series"), F.count_if(status == "WARNING").alias("n_warning_series"), F.count_if(status == "INVALID").alias("n_invalid_series")
-        )
+        one = collection.scan_counts(self.series)
         # Two tables of one row each.
         return dicom.scan_counts(self.headers).withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
+    def iter_series(self) -> DataFrame:
+        """All series in order of study and series."""
+        return self.series.orderBy("study_id", "series_id")
+
     def study_ids(self) -> DataFrame:
         return self.series.select("study_id").distinct().orderBy("study_id")
 

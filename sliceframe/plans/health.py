@@ -121,6 +121,39 @@ def stage1_validation(t):
     return done.select("series_id", "n_slices", "method", "plane", "status", F.array_join("codes", " | ").alias("codes"), F.round("slice_spacing", 6).alias("slice_spacing"))
 
 
+SAYS = f"""{STAGE1}, say AS (SELECT *, concat('T', k % 500) AS study_id, concat('S', k) AS series_id, CASE WHEN len(list_filter(codes, lambda v: v IN ('mixed_size', 'mixed_orientation'))) > 0 THEN 'INVALID' WHEN len(codes) > 0 THEN 'WARNING' ELSE 'VALID' END AS status,
+CASE WHEN len(codes) = 0 THEN ['all inspected checks passed'] ELSE list_transform(codes, lambda v: CASE v WHEN 'few_slices' THEN concat('few slices (', n, ' < 4)') WHEN 'plane_unknown' THEN 'anatomical plane unknown' WHEN 'ordering_fallback' THEN concat('slice order used fallback method=', fallback) WHEN 'positions_unknown' THEN 'could not compute slice positions for spacing checks' WHEN 'irregular_gaps' THEN printf('unusual slice spacing variation CV=%.3f > 0.15', cv)
+WHEN 'missing_size' THEN 'missing Rows/Columns on at least one instance' WHEN 'duplicate_positions' THEN 'duplicate or near-duplicate slice positions' WHEN 'missing_orientation' THEN 'missing ImageOrientationPatient on at least one instance' WHEN 'mixed_orientation' THEN 'inconsistent ImageOrientationPatient across slices' WHEN 'missing_position' THEN 'missing ImagePositionPatient on at least one instance' WHEN 'missing_spacing' THEN 'missing PixelSpacing on at least one instance'
+WHEN 'description_disagrees' THEN 'SeriesDescription plane hint disagrees with spatial plane' ELSE v END) END AS messages FROM c)"""
+#: Codes whose sentences the oracle does not repeat.
+UNSAID = ["mixed_size", "mixed_spacing", "spacing_disagrees", "multi_frame", "mixed_transfer_syntax"]
+
+
+def validated_series(t) -> DataFrame:
+    return collection.validated(collection.series_table(collection.slice_table(dicom(t))))
+
+
+@query(f"{SAYS} SELECT study_id, count(*) AS n_series, count(CASE WHEN status = 'VALID' THEN 1 END) AS n_valid_series, count(CASE WHEN status = 'WARNING' THEN 1 END) AS n_warning_series, count(CASE WHEN status = 'INVALID' THEN 1 END) AS n_invalid_series, CAST(sum(n) AS BIGINT) AS n_slices, array_to_string(list_sort(list(DISTINCT plane)), ' ') AS planes, CAST(sum(CASE WHEN status <> 'VALID' THEN len(codes) ELSE 0 END) AS BIGINT) AS n_warnings FROM say GROUP BY study_id")
+def study_summaries(t):
+    """The library's study summary."""
+    d = collection.study_summary(validated_series(t))
+    return d.select("study_id", "n_series", "n_valid_series", "n_warning_series", "n_invalid_series", "n_slices", F.array_join(F.array_sort("available_planes"), " ").alias("planes"), F.size("validation_warnings").cast("long").alias("n_warnings"))
+
+
+@query(f"{SAYS} SELECT count(DISTINCT study_id) AS n_studies, count(*) AS n_series, count(CASE WHEN status = 'VALID' THEN 1 END) AS n_valid_series, count(CASE WHEN status = 'WARNING' THEN 1 END) AS n_warning_series, count(CASE WHEN status = 'INVALID' THEN 1 END) AS n_invalid_series FROM say")
+def scan_statistics(t):
+    """The library's scan statistics."""
+    return collection.scan_counts(validated_series(t))
+
+
+@query(f"{SAYS} SELECT series_id, status, array_to_string(list_transform(list_zip(codes, messages), lambda x: CASE WHEN x[1] IN ({', '.join(repr(u) for u in UNSAID)}) THEN x[1] ELSE x[2] END), ' | ') AS messages FROM say WHERE len(codes) > 0 UNION ALL SELECT series_id, status, messages[1] FROM say WHERE len(codes) = 0")
+def series_messages(t):
+    """The sentences of series by the library's rules; those that list a series' values are told by their code here, and tested on small tables."""
+    d = validated_series(t)
+    said = F.zip_with("codes", "messages", lambda c, m: F.when(c.isin(*UNSAID), c).otherwise(m))
+    return d.select("series_id", "status", F.array_join(F.when(F.size("codes") == 0, F.col("messages")).otherwise(said), " | ").alias("messages"))
+
+
 INFO = f"""{GEO}, s AS (SELECT k, concat('S', k) AS series_id, min(h.study_id) AS study_id, count(*) AS n, bool_and(spatial2) AS spatial, min(fallback) AS fallback, count(*) - count(rows) AS no_size, count(DISTINCT CASE WHEN rows IS NOT NULL THEN rows * 10000 + columns END) AS sizes, min(modality) AS modality, min(axis) AS axis,
 count(CASE WHEN spatial2 AND gap < 1e-3 THEN 1 END) AS dup, CASE WHEN bool_and(spatial2) THEN median(gap) END AS med, CASE WHEN bool_and(spatial2) THEN stddev_pop(gap) / nullif(avg(gap), 0) END AS cv,
 list(rows ORDER BY CASE WHEN spatial2 AND axis = 1 THEN -pos WHEN spatial2 THEN pos END, path)[1] AS rows, min(columns) AS columns FROM q h GROUP BY k),

@@ -5,6 +5,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sliceframe.plans import collection
 from sliceframe.sources import dicom
@@ -103,6 +104,25 @@ def test_manifests_and_summary(spark, tmp_path):
     assert [(r.series_id, r.slice_count, r.source_dir, r.example_path, r.pixel_spacing) for r in rows] == [("a", "4", "s", "s/4", "[0.5,0.5]"), ("b", "4", "t", "t/4", "[0.5,0.5]")]
     one = collection.study_summary(done).first()
     assert (one.study_id, one.n_series, one.n_slices) == ("1", 2, 8)
+    assert (one.n_valid_series, one.n_warning_series, one.n_invalid_series, one.available_planes, one.validation_warnings) == (2, 0, 0, ["sagittal"], [])
+    assert json.loads(one.series)[0]["validation_messages"] == ["all inspected checks passed"] and rows[0].validation_messages == "all inspected checks passed"
+
+
+def test_sentences(spark, tmp_path):
+    for n in range(1, 5):
+        image(tmp_path / "m" / str(n), series="m", number=n, ipp=((0, 2, 4, 30)[n - 1], 0, 0), rows=8 * (1 + n % 2), spacing=(0.5, 0.5 * n))
+        image(tmp_path / "t" / str(n), series="t", number=n, ipp=None, iop=None)
+    h = dicom.scan_headers(spark, str(tmp_path)).withColumns({"NumberOfFrames": F.when(F.col("path").contains("/t/"), F.lit(3)), "read_error": F.when(F.col("path").rlike("/t/[23]"), F.lit("cut off")), "SpacingBetweenSlices": F.lit(9.0)})
+    series = collection.series_table(collection.slice_table(h))
+    listed = spark.createDataFrame([("1", "m"), ("1", "z"), ("9", "y")], "study_id string, series_id string")
+    done = collection.validated(collection.with_unscanned(series, listed))
+    got = {r.series_id: (r.status, r.messages) for r in done.collect()}
+    assert got["z"] == got["y"] == ("INVALID", ["empty series (no DICOM instances)"])
+    assert got["m"][0] == "INVALID" and got["m"][1][:2] == ["inconsistent dimensions rows={8, 16} columns={8}", "inconsistent PixelSpacing values: {(0.5, 0.5), (0.5, 1.0), (0.5, 1.5), (0.5, 2.0)}"]
+    assert "unusual slice spacing variation CV=1.131 > 0.15" in got["m"][1] and "SpacingBetweenSlices tag=9 disagrees with median position delta=2" in got["m"][1]
+    assert got["t"][1][0] == "2 unreadable instance(s), e.g. cut off" and "multi-frame DICOM detected NumberOfFrames={3} (not expanded in this milestone)" in got["t"][1] and got["t"][0] == "INVALID"
+    both = {r.study_id: r for r in collection.study_summary(done).collect()}
+    assert (both["1"].n_invalid_series, both["1"].n_series, both["9"].available_planes, both["9"].validation_warnings) == (3, 3, ["unknown"], ["y: empty series (no DICOM instances)"])
 
 
 def test_ingest_parses_only_new_files(spark, tmp_path):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sliceframe import settings
-from sliceframe.operators import pooling
+from sliceframe.operators import pooling, ranks
 from sliceframe.operators.ranks import bucket, percentiles
 from sliceframe.sources import files
 
@@ -54,12 +54,15 @@ def test_cache(spark, tmp_path):
     assert files.cache_misses(keys, at).isEmpty() and files.cache_get(spark, at).count() == 3
 
 
-def test_buckets_and_percentiles(spark):
+def test_buckets_and_percentiles(spark, monkeypatch):
     xs = [float("-inf"), -1e300, -5.0, -1e-9, 0.0, 1e-9, 0.3, 0.30001, 5.0, 1e300, float("inf"), float("nan")]
     got = [r.b for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", bucket(F.col("x")).alias("b")).orderBy("x").collect()]
     assert got == sorted(got) and len(set(got)) > 6
     d = spark.createDataFrame([(g, float(v)) for g, n in (("a", 5), (None, 2)) for v in range(n)] + [("a", 4.0), ("b", None)], "g string, v double")
-    assert {(r.g, r.q): r.value for r in percentiles(d, ["g"], F.col("v"), [0.0, 0.5, 1.0]).collect()} == {("a", 0.0): 0.0, ("a", 0.5): 2.5, ("a", 1.0): 4.0, (None, 0.0): 0.0, (None, 0.5): 0.5, (None, 1.0): 1.0}
+    want = {("a", 0.0): 0.0, ("a", 0.5): 2.5, ("a", 1.0): 4.0, (None, 0.0): 0.0, (None, 0.5): 0.5, (None, 1.0): 1.0}
+    for sent in (ranks.SENT, 0):
+        monkeypatch.setattr(ranks, "SENT", sent)
+        assert {(r.g, r.q): r.value for r in percentiles(d, ["g"], F.col("v"), [0.0, 0.5, 1.0]).collect()} == want
     assert percentiles(d.limit(0), [], F.col("v"), [0.5]).isEmpty()
 
 
