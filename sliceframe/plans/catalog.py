@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sliceframe import settings
 from sliceframe.functions import scalar, vector
 from sliceframe.operators import aggregates as A
 from sliceframe.operators import metrics, ordering, pooling, quality, ranks, sampling, selection, split
@@ -392,14 +393,14 @@ def audit_findings(t):
 
 
 CAND = """b AS (SELECT o_custkey, o_orderkey, o_totalprice, unnest(['F', 'O']) AS slot, o_orderstatus, o_orderpriority FROM orders),
-c AS (SELECT o_custkey, slot, o_orderkey, o_totalprice, round(2 * round((o_totalprice / 1e5) / (1 + o_totalprice / 1e5), 6) + 3 * CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END, 6) AS score FROM b WHERE o_orderstatus = slot),
+c AS (SELECT o_custkey, slot, o_orderkey, o_totalprice, round(round((o_totalprice / 1e5) / (1 + o_totalprice / 1e5), 6) + 1.5::DOUBLE * CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END, 6) AS score FROM b WHERE o_orderstatus = slot),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey, slot ORDER BY score DESC, o_totalprice DESC, o_orderkey) AS INTEGER) AS rnk FROM c)"""
 
 
 def ranked(t):
     price = F.col("o_totalprice") / 1e5
     parts = {"slices": F.round(scalar.saturating(price), 6), "fluid": F.when(F.col("o_orderpriority").startswith("1"), 1.0).otherwise(0.0)}
-    c = selection.per_slot(t("orders"), ["F", "O"], F.col("o_orderstatus") == F.col("slot")).withColumn("score", selection.score(parts, selection.WEIGHTS))
+    c = selection.per_slot(t("orders"), ["F", "O"], F.col("o_orderstatus") == F.col("slot")).withColumn("score", selection.score(parts, settings.defaults()["ranking_weights"]))
     return selection.rank_candidates(c, ["o_custkey", "slot"], "score", F.col("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "slot", "o_orderkey", "score", "rnk")
 
 
