@@ -162,12 +162,12 @@ TRUTH = "CASE WHEN bag % 5 = 0 THEN NULL WHEN bag % 3 = {} THEN 1 ELSE 0 END"
 ra AS (SELECT label, score, y, rank() OVER (PARTITION BY label ORDER BY score) AS r, sum(y) OVER (PARTITION BY label ORDER BY score DESC) AS tp, count(*) OVER (PARTITION BY label ORDER BY score DESC) AS al FROM k),
 one AS (SELECT label, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y))::DOUBLE, 6) AS roc_auc, round(sum(y * tp / al::DOUBLE) / sum(y), 6) AS pr_auc FROM ra GROUP BY label),
 lo2 AS (SELECT count(*) AS n, round(avg((1 - y) * score + (ln(1 + exp(-abs(score))) + greatest(-score, 0))), 6) AS loss FROM k)
-SELECT label, roc_auc, pr_auc, true AS valid, round(avg(roc_auc) OVER (), 4) AS macro_roc_auc, round(avg(pr_auc) OVER (), 4) AS macro_pr_auc, n, loss, (SELECT CAST(sum(CASE WHEN score >= 0 THEN 1 ELSE 0 END) AS BIGINT) FROM pr) AS n_decided FROM one, lo2""")
+SELECT label, roc_auc, pr_auc, true AS valid, round(avg(roc_auc) OVER (), 4) AS macro_roc_auc, round(avg(pr_auc) OVER (), 4) AS macro_pr_auc, n, loss, (SELECT CAST(sum(CASE WHEN 1 / (1 + exp(-score)) >= 0.55 THEN 1 ELSE 0 END) AS BIGINT) FROM pr) AS n_decided FROM one, lo2""")
 def batch_evaluation(t):
     """Loss, both areas and decisions from predictions that are made once."""
     truth = t("embeddings").select(F.expr(BAG).alias("bag")).distinct().select("bag", F.inline(F.array(*[F.struct(F.lit(n).alias("label"), F.expr(TRUTH.format(k)).cast("double").alias("y")) for k, n in enumerate("xy")])))
     done = evaluation.evaluate(scored_by_mean(t).logits, truth, "bag")
-    decided = done.decisions(0.5).agg(F.sum(F.aggregate(F.map_values("decisions"), F.lit(0), lambda a, x: a + x)).cast("long").alias("n_decided"))
+    decided = done.decisions(0.55).agg(F.sum(F.aggregate(F.map_values("decisions"), F.lit(0), lambda a, x: a + x)).cast("long").alias("n_decided"))
     # Two tables of one row each; means of rounded areas are rounded coarser than these.
     both = done.metrics.join(F.broadcast(done.loss), F.lit(True)).join(F.broadcast(decided), F.lit(True))
     return both.withColumns({k: F.round(k, 4) for k in ("macro_roc_auc", "macro_pr_auc")})
