@@ -53,3 +53,22 @@ def transfer_syntax_class(c: Column) -> Column:
 
 def safe_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def general(x: Column, digits: int) -> Column:
+    """A double as text of at most ``digits`` (up to 8) significant digits: plain from 0.0001 to below 10 to the power of ``digits``, else with an exponent.
+
+    The rounded number decides which; ties are those of its shortest decimal text. Null stays null.
+    """
+    text = F.format_string(f"%.{digits - 1}e", x)
+    mantissa = F.regexp_replace(F.substring_index(text, "e", 1), r"\.?0+$", "") if digits > 1 else F.substring_index(text, "e", 1)
+    power = F.substring_index(text, "e", -1)
+    plain = F.regexp_replace(text.cast(f"decimal(30, {digits + 4})").cast("string"), r"\.?0+$", "")
+    shown = F.when(x == 0, mantissa).when(power.cast("int").between(-4, digits - 1), plain).otherwise(F.concat(mantissa, F.lit("e"), power))
+    special = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(x.isNotNull(), F.coalesce(special, shown))
+
+
+def shown_vector(v: Column) -> Column:
+    """Numbers of six digits between brackets."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: general(x, 6)), ", "), F.lit("]"))

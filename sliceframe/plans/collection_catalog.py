@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceframe.plans import collection
+from sliceframe.plans import collection, visualize
 from sliceframe.sources import dicom
 
 
@@ -55,5 +55,14 @@ class Collection:
     def study_summary(self, study_id: str) -> DataFrame:
         return collection.study_summary(self.study(study_id))
 
+    def visualize(self, study_id: str, dest: str, **options) -> list[str]:
+        """Images of a study's series; KeyError if there is no such study."""
+        return visualize.visualize_study(self.spark, self.study(study_id), self.slices, study_id, dest, **options)
+
+    def export_headers(self, dest: str) -> None:
+        """All headers as CSV, and what could not be read, with the scan's counters, as JSON; folders under ``dest`` are replaced."""
+        dicom.header_export(self.headers, self.root).write.mode("overwrite").csv(f"{dest}/dicom_headers", header=True, escape='"')
+        dicom.issue_report(self.headers).write.mode("overwrite").json(f"{dest}/dicom_header_issues")
+
     def write_manifests(self, dest: str) -> None:
         collection.write_manifests(self.series, dicom.issues(self.headers), dest, self.root)

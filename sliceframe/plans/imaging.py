@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sliceframe import settings
-from sliceframe.plans import health, reports, samples
+from sliceframe.operators import previews
+from sliceframe.plans import health, reports, samples, visualize
 from sliceframe.plans.catalog import query
 from sliceframe.plans.health import COMPONENTS
 
@@ -20,10 +21,10 @@ ROWS, COLUMNS = "CASE WHEN l_orderkey % 11 <> 0 AND l_orderkey % 3 = 1 THEN 2 EL
 PIXEL = "CASE WHEN l_suppkey % 50 = 0 AND {i} = 0 THEN {nan} WHEN l_quantity = 1 THEN 7e0 ELSE CAST((l_partkey * ({i} + 1)) % 251 AS DOUBLE) END"
 
 
-def decoded(t):
+def decoded(t, photometric="CAST(NULL AS STRING)", *more):
     values = f"transform(sequence(0, ({ROWS}) * ({COLUMNS}) - 1), i -> {PIXEL.format(i='i', nan='double(chr(78) || chr(97) || chr(78))')})"
     good = health.FILE["ok"]
-    return t("lineitem").selectExpr(f"{health.FILE['path']} AS path", f"CAST({ROWS} AS INT) AS rows", f"CAST({COLUMNS} AS INT) AS columns", f"CASE WHEN {good} THEN {values} END AS pixels", f"{health.FILE['slope']} AS slope", "CAST(NULL AS STRING) AS photometric", f"CASE WHEN NOT ({good}) THEN 'too few pixels' END AS error")
+    return t("lineitem").selectExpr(f"{health.FILE['path']} AS path", f"CAST({ROWS} AS INT) AS rows", f"CAST({COLUMNS} AS INT) AS columns", f"CASE WHEN {good} THEN {values} END AS pixels", f"{health.FILE['slope']} AS slope", f"{photometric} AS photometric", *more, f"CASE WHEN NOT ({good}) THEN 'too few pixels' END AS error")
 
 
 def chosen(t, config=CONFIG):
@@ -221,3 +222,54 @@ def structure_figures(t):
     headers = health.headers(t).withColumn("path", F.concat(F.lit("S"), F.col("path")))
     listed = health.attributes(t).where("CAST(substring(series_id, 2) AS BIGINT) % 97 != 5")
     return reports.structure_figures(headers, listed, others(t)).withColumn("value", F.round("value", 6))
+
+
+#: A window that some slices lack, and that has no width on others.
+WINDOW = {"window_center": "CAST(CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber * 30 END AS DOUBLE)", "window_width": "CAST(l_linenumber % 4 * 50 AS DOUBLE)"}
+
+
+def shades(lines: str, windowed: bool) -> str:
+    """Pixels of readable slices in long form, clipped, and between 0 and 1."""
+    v = "CASE WHEN wc IS NOT NULL AND ww > 0 AND NOT isnan(v0) THEN least(greatest(v0, wc - ww / 2), wc + ww / 2) ELSE v0 END" if windowed else "v0"
+    return f"""s0 AS (SELECT *, {health.FILE['path']} AS path, {health.FILE['photometric']} AS ph, {WINDOW['window_center']} AS wc, {WINDOW['window_width']} AS ww, unnest(range(0, ({ROWS}) * ({COLUMNS}))) AS i FROM (SELECT *, row_number() OVER () AS rn FROM {lines}) WHERE {health.FILE['ok']}),
+s1 AS (SELECT *, {v} AS v FROM (SELECT *, {PIXEL.format(i='i', nan="'nan'::DOUBLE")} AS v0 FROM s0)), s2 AS (SELECT *, min(v) FILTER (WHERE NOT isnan(v)) OVER p AS lo, max(v) FILTER (WHERE NOT isnan(v)) OVER p AS hi FROM s1 WINDOW p AS (PARTITION BY rn)),
+sh AS (SELECT path, rn, i, CASE WHEN lo = hi THEN 0 WHEN NOT isnan(v) THEN CASE WHEN ph = 'MONOCHROME1' THEN ((hi - (v - lo)) - lo) / (hi - lo) ELSE (v - lo) / (hi - lo) END END AS p FROM s2)"""
+
+
+@query(f"WITH {shades('lineitem', True)} SELECT path, count(p) AS n, round(sum(p), 6) AS total, round(min(CASE WHEN i = 1 THEN p END), 6) AS second, round(sum(i * p), 6) AS weighted FROM sh GROUP BY path, rn UNION ALL SELECT {health.FILE['path']}, NULL, NULL, NULL, NULL FROM lineitem WHERE NOT ({health.FILE['ok']})")
+def previews_windowed(t):
+    """Display previews of all slices, clipped to their window where they have one."""
+    d = previews.with_preview(decoded(t, health.FILE["photometric"], *[f"{e} AS {n}" for n, e in WINDOW.items()]), windowed=True)
+    sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    p = F.col("preview")
+    return d.select("path", F.when(p.isNotNull(), F.size(F.filter(p, lambda v: v.isNotNull()))).cast("long").alias("n"), F.round(sum_of(p), 6).alias("total"), F.round(F.get(p, F.lit(1)), 6).alias("second"), F.round(sum_of(F.transform(p, lambda v, i: v * i)), 6).alias("weighted"))
+
+
+@query(f"""{health.STAGE1}, w AS (SELECT *, CASE WHEN len(list_filter(codes, lambda v: v IN ('mixed_size', 'mixed_orientation'))) > 0 THEN 'INVALID' WHEN len(codes) > 0 THEN 'WARNING' ELSE 'VALID' END AS status FROM c),
+o AS (SELECT k, path, description, CAST(row_number() OVER (PARTITION BY k ORDER BY CASE WHEN spatial THEN CASE WHEN axis = 1 THEN -pos ELSE pos END END, path) - 1 AS INTEGER) AS idx FROM q),
+e AS (SELECT w.k, w.n, w.plane, w.status, unnest(CASE WHEN w.n <= 5 THEN range(0, w.n) ELSE list_transform(range(0, 5), lambda i: CAST(round_even(i * ((w.n - 1) / 4.0::DOUBLE), 0) AS BIGINT)) END) AS place FROM w WHERE status <> 'INVALID'),
+pk AS (SELECT DISTINCT e.*, o.path FROM e JOIN o ON e.k = o.k AND e.place = o.idx), li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_quantity) AS l_quantity FROM lineitem SEMI JOIN pk ON pk.path = {health.FILE['path']} GROUP BY 1, 2, 3, 4), {shades('li', False)},
+b AS (SELECT path, CAST(sum(floor(coalesce(p, 0) * 255 + 0.5)) AS BIGINT) AS light FROM sh GROUP BY path), sz AS (SELECT DISTINCT l_orderkey AS k, {ROWS} AS r, {COLUMNS} AS c FROM lineitem),
+m AS (SELECT pk.k, any_value(n) AS n, any_value(plane) AS plane, any_value(status) AS status, count(*) AS n_tiles, count(*) - count(light) AS n_errors, CAST(coalesce(sum(light), 0) AS BIGINT) AS light, string_agg(concat('idx ', place, '/', n - 1, ' ', right(pk.path, 10), CASE WHEN light IS NULL THEN ': decode error: too few pixels' ELSE '' END), chr(10) ORDER BY place) AS captions FROM pk LEFT JOIN b ON pk.path = b.path GROUP BY pk.k)
+SELECT concat('S', m.k) AS series_id, concat('T', m.k % 500, '_S', m.k, '_', plane, '.png') AS name, concat(o.description, ' | plane=', plane, ' | ', n, ' slices | ', status) AS title, captions, CAST(n_tiles AS INTEGER) AS n_tiles, CAST(n_errors AS INTEGER) AS n_errors,
+CAST(n_tiles * (CASE WHEN n_errors = n_tiles THEN 32 ELSE c END + 4) - 4 AS INTEGER) AS width, CAST(CASE WHEN n_errors = n_tiles THEN 32 ELSE r END AS INTEGER) AS height, light + n_errors * 510 * CASE WHEN n_errors = n_tiles THEN 32 ELSE r END AS light FROM m JOIN sz ON m.k = sz.k JOIN o ON m.k = o.k AND o.idx = 0""")
+def mosaics_of_series(t):
+    """Five slices of each valid series as an image: what it says, its size, and its brightness as read back from it."""
+    slices = health.collection.slice_table(health.dicom(t))
+    series = health.collection.validated(health.collection.series_table(slices))
+    # Some line items share their keys; a path is one file.
+    once = t("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("l_quantity").alias("l_quantity"))
+    made = visualize.series_mosaics(visualize.picks(visualize.shown(series), slices), decoded(lambda _: once, health.FILE["photometric"]))
+    read = brightness()(F.col("image"))
+    return made.withColumn("_read", read).select("series_id", "name", "title", F.col("_read.captions").alias("captions"), "n_tiles", "n_errors", "width", "height", F.col("_read.light").alias("light"))
+
+
+def brightness():
+    @F.arrow_udf("light long, captions string")
+    def read(images):
+        import pyarrow as pa
+
+        rows = [{"light": int(previews.png_bytes(i.as_py()).sum()), "captions": dict(previews.texts(i.as_py()))["Description"]} for i in images]
+        return pa.array(rows, type=pa.struct([("light", pa.int64()), ("captions", pa.string())]))
+
+    return read

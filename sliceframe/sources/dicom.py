@@ -10,9 +10,11 @@ from __future__ import annotations
 import struct
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sliceframe.functions.scalar import general, parse_vector
+
 #: Tags by keyword (fixed values of the DICOM standard), grouped by the type of their column.
 TEXT = {
     "StudyInstanceUID": 0x0020000D, "SeriesInstanceUID": 0x0020000E, "SOPInstanceUID": 0x00080018, "SOPClassUID": 0x00080016, "PatientID": 0x00100020,
@@ -26,7 +28,9 @@ INTS = {
 }
 DOUBLES = {"SliceThickness": 0x00180050, "SpacingBetweenSlices": 0x00180088, "RescaleSlope": 0x00281053, "RescaleIntercept": 0x00281052}
 VECTORS = {"ImageOrientationPatient": 0x00200037, "ImagePositionPatient": 0x00200032, "PixelSpacing": 0x00280030}
-FIELDS = TEXT | INTS | DOUBLES | VECTORS
+#: Read with pixels only, and no part of a header row.
+WINDOW = {"WindowCenter": 0x00281050, "WindowWidth": 0x00281051}
+FIELDS = TEXT | INTS | DOUBLES | VECTORS | WINDOW
 NAMES = {tag: name for name, tag in FIELDS.items()}
 #: Value representations with a four-byte length, and formats of binary ones (fixed values).
 LONG = frozenset((b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UN", b"UR", b"UT", b"UV"))
@@ -111,7 +115,7 @@ def typed(name: str, vr: bytes, raw: bytes, order: str):
         numbers = [float(p) for p in parts]
     except ValueError:
         return None
-    if name in VECTORS:
+    if name in VECTORS or name in WINDOW:
         return numbers or None
     return numbers[0] if len(numbers) == 1 else None
 
@@ -231,6 +235,53 @@ def issues(headers: DataFrame) -> DataFrame:
     return headers.where("kind = 'unreadable'").select("path", F.lit("discovery").alias("stage"), "message", "kind")
 
 
+#: Columns of the header export (names and order are fixed values).
+EXPORTED = (
+    "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "SeriesDescription", "SeriesNumber", "Modality", "BodyPartExamined", "ProtocolName", "SequenceName",
+    "PhotometricInterpretation", "PatientID", "StudyDate", "StudyDescription", "Manufacturer", "ManufacturerModelName", "Laterality", "PatientPosition", "TransferSyntaxUID",
+    "Rows", "Columns", "InstanceNumber", "NumberOfFrames", "ImageOrientationPatient", "ImagePositionPatient", "PixelSpacing", "SliceThickness", "SpacingBetweenSlices",
+    "SamplesPerPixel", "BitsAllocated", "BitsStored", "HighBit", "PixelRepresentation", "RescaleSlope", "RescaleIntercept",
+)
+#: Columns of the header cache of stage 2 (fixed values).
+CACHED = (
+    "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "SeriesDescription", "Modality", "PhotometricInterpretation", "TransferSyntaxUID", "Rows", "Columns", "InstanceNumber",
+    "ImageOrientationPatient", "ImagePositionPatient", "PixelSpacing", "SliceThickness", "SpacingBetweenSlices", "RescaleSlope", "RescaleIntercept", "Laterality", "PatientPosition",
+)
+
+
+def below(path: Column, root: str) -> Column:
+    """A path as it stands below ``root``, however either names the local file system."""
+    plain = lambda x: F.regexp_replace(x, "^file:/+", "/")
+    base = F.concat(plain(F.lit(root.rstrip("/"))), F.lit("/"))
+    return F.when(F.startswith(plain(path), base), F.substr(plain(path), F.length(base) + 1)).otherwise(path)
+
+
+def header_export(headers: DataFrame, root: str, fields: tuple[str, ...] = EXPORTED) -> DataFrame:
+    """A row a readable file: its path below ``root`` and the fields; vectors are numbers of eight digits between semicolons."""
+    one = [F.array_join(F.transform(n, lambda v: general(v, 8)), ";").alias(n) if n in VECTORS else F.col(n) for n in fields]
+    return headers.where("kind = 'dicom'").select(below(F.col("path"), root).alias("path"), *one)
+
+
+def read_header_export(spark: SparkSession, path: str, fields: tuple[str, ...] = EXPORTED) -> DataFrame:
+    """The table that ``header_export`` became as CSV, typed as headers are; identifiers stay text, and a vector that does not parse is null."""
+    kind = lambda n: "int" if n in INTS else "double" if n in DOUBLES else "string"
+    raw = spark.read.csv(path, header=True, schema=", ".join(["path string"] + [f"{n} {kind(n)}" for n in fields]), escape='"', multiLine=True, enforceSchema=False)
+    return raw.select("path", F.lit("dicom").alias("kind"), *[parse_vector(F.col(n)).alias(n) if n in VECTORS else F.col(n) for n in fields])
+
+
+def header_cache(spark: SparkSession, root: str, dest: str) -> DataFrame:
+    """Headers from the CSV folder ``dest``, which a scan of ``root`` fills where it is absent."""
+    header_export(scan_headers(spark, root), root, CACHED).write.mode("ignore").csv(dest, header=True, escape='"')
+    return read_header_export(spark, dest, CACHED)
+
+
+def issue_report(headers: DataFrame) -> DataFrame:
+    """A row an issue beside one with the scan's counters, so that no report holds all issues in one value."""
+    found = issues(headers).select(F.lit("issue").alias("part"), "path", "stage", "message", "kind")
+    counts = scan_counts(headers)
+    return counts.select(F.lit("counts").alias("part"), *counts.columns).unionByName(found, allowMissingColumns=True)
+
+
 PIXEL_SCHEMA = "path string, ok boolean, message string, n long, n_finite long, min double, max double, mean double, std double, p1 double, p99 double, sha256 string"
 
 
@@ -258,7 +309,7 @@ def pixel_table(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInArrow(work, PIXEL_SCHEMA)
 
 
-DECODED = "path string, rows int, columns int, pixels array<double>, slope double, photometric string, error string"
+DECODED = "path string, rows int, columns int, pixels array<double>, slope double, photometric string, window_center double, window_width double, error string"
 
 
 def decoded(found: DataFrame) -> DataFrame:
@@ -276,6 +327,8 @@ def decoded(found: DataFrame) -> DataFrame:
                     fields = header(data)
                     slope = fields.get("RescaleSlope")
                     row |= {"rows": a.shape[0], "columns": a.shape[1], "pixels": a.ravel(), "slope": 1.0 if slope is None else float(slope), "photometric": fields.get("PhotometricInterpretation")}
+                    # Of several windows the first.
+                    row |= {"window_center": (fields.get("WindowCenter") or [None])[0], "window_width": (fields.get("WindowWidth") or [None])[0]}
                 except DicomError as e:
                     row["error"] = str(e)
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
