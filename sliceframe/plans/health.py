@@ -72,11 +72,12 @@ def found(code: str, severity: str, rows: str, hit: str, key: str, other: str |
     return pick + inner + ("" if other else " WHERE n > 0")
 
 
-AUDIT = f"""WITH {H}, ok AS (SELECT * FROM h WHERE ok),
+AUDIT_TABLES = f"""WITH {H}, ok AS (SELECT * FROM h WHERE ok),
 dg AS (SELECT digest, count(*) AS m, min(path) AS path FROM ok GROUP BY 1), sh AS (SELECT rows, columns, count(*) AS m FROM ok GROUP BY 1, 2),
 sr AS (SELECT series_id, count(*) AS n, count(slope) AS n_slope, count(DISTINCT round(slope, 6)) AS slopes, count(DISTINCT rows) FILTER (WHERE ok) AS r, count(DISTINCT columns) FILTER (WHERE ok) AS c, count(DISTINCT description) AS d FROM h GROUP BY 1),
 pt AS (SELECT patient_id, count(DISTINCT study_id) AS m FROM h WHERE patient_id IS NOT NULL GROUP BY 1)
-""" + " UNION ALL ".join([
+"""
+AUDIT_FINDINGS = " UNION ALL ".join([
     found("unreadable_pixels", "CRITICAL", "h", "NOT ok", "path", else_code="pixel_decode"),
     found("duplicate_images", "WARNING", "dg", "m > 1", "path", None, weight="m"),
     found("constant_or_empty_images", "WARNING", "ok", "std = 0 OR max = 0", "path", None),
@@ -92,13 +93,52 @@ pt AS (SELECT patient_id, count(DISTINCT study_id) AS m FROM h WHERE patient_id
     found("description_consistency", "WARNING", "sr", "d > 1", "series_id"),
     found("header_issues", "CRITICAL", "(SELECT path FROM h WHERE rows IS NULL)", "true", "path", None),
 ])
+AUDIT = AUDIT_TABLES + AUDIT_FINDINGS
+
+
+def audited(t) -> DataFrame:
+    f = files(t)
+    return audit.audit(f, f.where("rows is null").select("path"))
 
 
 @query(AUDIT)
 def corpus_audit(t):
     """All checks of the audit, with evidence."""
-    f = files(t)
-    return audit.audit(f, f.where("rows is null").select("path"))
+    return audited(t).drop("detail")
+
+
+PRESENT = lambda c: f"(SELECT concat('[', string_agg(concat(chr(39), v, chr(39)), ', ' ORDER BY v), ']') FROM (SELECT DISTINCT {c} AS v FROM h WHERE {c} IS NOT NULL))"
+#: By code what it says; codes that the driver's tables never raise are left to the tests.
+DETAILS = {
+    "unreadable_pixels": "concat((SELECT count(*) FROM h WHERE NOT ok), ' file(s) failed pixel decode')", "duplicate_images": "(SELECT concat(sum(m), ' files share exact pixel content in ', count(*), ' group(s)') FROM dg WHERE m > 1)",
+    "constant_or_empty_images": "concat((SELECT count(*) FROM ok WHERE std = 0 OR max = 0), ' image(s) are constant or all-zero')", "non_square_matrices": "concat((SELECT sum(m) FROM sh WHERE rows <> columns), ' image(s) have Rows != Columns')",
+    "inconsistent_size_within_series": "concat((SELECT count(*) FROM sr WHERE r > 1 OR c > 1), ' series mix matrix sizes')", "rescale_slope_inconsistent_within_series": "(SELECT concat(count(CASE WHEN slopes > 1 THEN 1 END), ' series with multiple slopes, ', count(CASE WHEN n_slope > 0 AND n_slope < n THEN 1 END), ' with slope on some slices only') FROM sr)",
+    "spacing_tag_missing": "(SELECT concat('SpacingBetweenSlices absent on ', count(*) - count(spacing_tag), '/', count(*), ' files (geometry still recoverable from IPP)') FROM h)", "slice_count_range": "(SELECT concat('slices per series: min=', min(n), ' max=', max(n)) FROM sr)",
+    "modality_check": f"concat('modalities present: ', {PRESENT('modality')})", "transfer_syntax_check": f"concat('transfer syntaxes present: ', {PRESENT('syntax')})", "photometric_check": f"concat('photometric interpretations: ', {PRESENT('photometric')})",
+    "patient_id_reuse": "(SELECT concat(count(*), ' distinct pseudonymized PatientIDs in subset; ', count(CASE WHEN m > 1 THEN 1 END), ' map to >1 study') FROM pt)", "description_consistency": "'some series mix descriptions'", "header_issues": "concat((SELECT count(*) FROM h WHERE rows IS NULL), ' header-level issue(s)')",
+}
+
+
+@query(f"{AUDIT_TABLES} SELECT code, CASE code {' '.join(f'WHEN {c!r} THEN {e}' for c, e in DETAILS.items())} END AS detail FROM ({AUDIT_FINDINGS})")
+def audit_details(t):
+    """What each finding of the audit says."""
+    return audited(t).select("code", "detail")
+
+
+#: Prices stand for a file's highest pixel, quantities for its lowest.
+INTENSITY = {"n": "count(v)", "mean": "avg(v)", "std": "stddev_pop(v)", "min": "min(v)", "p1": "quantile_cont(v, 0.01)", "p25": "quantile_cont(v, 0.25)", "median": "median(v)", "p75": "quantile_cont(v, 0.75)", "p99": "quantile_cont(v, 0.99)", "max": "max(v)", "global_min": "min(lo)", "global_max": "max(v)"}
+
+
+@query(f"""{AUDIT_TABLES}, f AS ({AUDIT_FINDINGS}), v AS (SELECT CAST(l_extendedprice AS DOUBLE) AS v, CAST(l_quantity AS DOUBLE) AS lo FROM lineitem WHERE {FILE['ok']})
+SELECT part, name, round(CAST(value AS DOUBLE), 4) AS value FROM (SELECT 'scope' AS part, 'n_files' AS name, count(*)::DOUBLE AS value FROM h UNION ALL SELECT 'scope', 'n_decode_failures', count(CASE WHEN NOT ok THEN 1 END) FROM h UNION ALL SELECT 'scope', 'n_series', count(DISTINCT series_id) FROM h UNION ALL SELECT 'scope', 'n_studies', count(DISTINCT study_id) FROM h
+UNION ALL SELECT 'severity', s, count(severity) FROM (SELECT unnest(['CRITICAL', 'WARNING', 'INFO']) AS s) LEFT JOIN f ON s = severity GROUP BY s {' '.join(f"UNION ALL SELECT 'intensity', '{n}', {e} FROM v" for n, e in INTENSITY.items())})""")
+def audit_report(t):
+    """The audit's scope, findings by severity and intensities, in long form."""
+    light = t("lineitem").selectExpr(f"{FILE['ok']} AS ok", "CAST(l_quantity AS DOUBLE) AS min", "CAST(l_extendedprice AS DOUBLE) AS max")
+    # One row each.
+    long = lambda part, d: d.select(F.lit(part).alias("part"), F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in d.columns])))
+    severity = audit.severity_counts(audited(t)).select(F.lit("severity").alias("part"), F.col("severity").alias("name"), F.col("n").cast("double").alias("value"))
+    return long("scope", audit.scope(files(t))).unionByName(severity).unionByName(long("intensity", audit.intensity(light))).withColumn("value", F.round("value", 4))
 
 
 #: Geometry by series: a series is spatially ready if all have a position and normals agree, in stage 2 in their sign too.
