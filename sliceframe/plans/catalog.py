@@ -31,13 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sliceframe.plans import health, imaging, scoring  # noqa: F401  register their queries here
+    from sliceframe.plans import encoded, health, imaging, scoring  # noqa: F401  register their queries here
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from sliceframe.plans import health, imaging, scoring  # noqa: F401
+    from sliceframe.plans import encoded, health, imaging, scoring  # noqa: F401
 
     return ORACLES
 

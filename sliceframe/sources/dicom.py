@@ -165,8 +165,8 @@ def header(data: bytes) -> dict:
     return {"kind": "dicom", **fields}
 
 
-def pixels(data: bytes):
-    """The first frame, rescaled, as float64 [rows, columns]; DicomError if it can't be decoded."""
+def decode(data: bytes):
+    """(first frame, rescaled, as float64 [rows, columns]; fields); DicomError if it can't be decoded."""
     import numpy as np
 
     try:
@@ -181,7 +181,11 @@ def pixels(data: bytes):
         raise DicomError("too few pixels")
     a = np.frombuffer(body, dtype=kind, count=rows * columns, offset=place[0]).reshape(rows, columns).astype(np.float64)
     slope, intercept = f.get("RescaleSlope"), f.get("RescaleIntercept")
-    return a * (1.0 if slope is None else slope) + (0.0 if intercept is None else intercept)
+    return a * (1.0 if slope is None else slope) + (0.0 if intercept is None else intercept), f
+
+
+def pixels(data: bytes):
+    return decode(data)[0]
 
 
 #: Folders that hold no images (fixed values); folders that start with a dot are left out as well.
@@ -309,28 +313,36 @@ def pixel_table(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInArrow(work, PIXEL_SCHEMA)
 
 
+#: A batch of decoded files ends with the file that brings it to so many bytes of pixels, or rows.
+HELD, BATCH = 8 << 20, 1000
 DECODED = "path string, rows int, columns int, pixels array<double>, slope double, photometric string, window_center double, window_width double, error string"
 
 
 def decoded(found: DataFrame) -> DataFrame:
-    """(path, content) to the first frame's rescaled pixels, file by file; a file that can't be decoded says why."""
+    """(path, content) to the first frame's rescaled pixels, in batches of bounded size; a file that can't be decoded says why."""
 
     def work(batches):
         import pyarrow as pa
 
         schema = arrow_schema(DECODED)
+        rows, held = [], 0
         for b in batches:
             for p, c in zip(b.column(0), b.column(1)):
-                data, row = c.as_py() or b"", {"path": p.as_py()}
+                row = {"path": p.as_py()}
                 try:
-                    a = pixels(data)
-                    fields = header(data)
+                    a, fields = decode(c.as_py() or b"")
                     slope = fields.get("RescaleSlope")
                     row |= {"rows": a.shape[0], "columns": a.shape[1], "pixels": a.ravel(), "slope": 1.0 if slope is None else float(slope), "photometric": fields.get("PhotometricInterpretation")}
                     # Of several windows the first.
                     row |= {"window_center": (fields.get("WindowCenter") or [None])[0], "window_width": (fields.get("WindowWidth") or [None])[0]}
+                    held += a.nbytes
                 except DicomError as e:
                     row["error"] = str(e)
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                rows.append(row)
+                if held >= HELD or len(rows) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return found.select("path", "content").mapInArrow(work, DECODED)
