@@ -13,8 +13,10 @@ each with a flag that is set on assistant texts alone.
 
 Defined results: null role or text counts as empty; turns sort by (turn, role,
 text), null first; repeated rows are turns of their own; a null conv_id is a
-conversation like others; an empty table gives an empty result; extra columns
-are ignored. A conversation is one row of output, so its turns meet in a task.
+conversation like others; texts of any length stay whole; an empty table gives an
+empty result, and in the query the one row of conversation -7; extra columns are
+ignored, whatever their names. A conversation is one row of output, so its turns
+meet in a task.
 """
 
 from __future__ import annotations

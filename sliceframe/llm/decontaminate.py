@@ -10,7 +10,8 @@ and one automaton each, with the hits carried from pass to pass.
 Defined results: null or wordless text has no words and no hits; an item
 without words matches nothing; an item shorter than a window is one window; a
 null item_id counts as the empty id; repeated items count once by id; repeated
-rows are judged alike; empty tables give empty or all-clean results.
+rows, and rows with a null id, are judged alike; texts of any length are scanned
+whole; empty tables give empty or all-clean results.
 """
 
 from __future__ import annotations

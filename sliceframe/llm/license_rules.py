@@ -11,7 +11,10 @@ Besides, three fixed phrases are counted as runs of words.
 
 Defined results: null text counts as empty; repeated rows are judged alike;
 words are kept apart by anything but ASCII letters, digits and non-ASCII
-characters; an empty table gives an empty result; extra columns pass through.
+characters; of equal intervals with equal priorities one stays; texts of any
+length are scanned whole; rows with a null id are judged like others; an empty
+table gives an empty result; extra columns pass through, but for one named as
+the result, which is replaced.
 """
 
 from __future__ import annotations

@@ -21,8 +21,9 @@ words of every text; their table is broadcast only when a count shows it is
 within ``broadcast_rows``; beyond it the same joins shuffle.
 
 Defined results: null text counts as empty and has no spans; repeated rows are
-treated alike; null ids are kept; an empty table gives an empty result; extra
-columns pass through.
+treated alike; null ids are kept; of two verdicts on one term the stronger holds;
+texts of any length are scanned whole; an empty table gives an empty result;
+extra columns pass through, but for one named as the result, which is replaced.
 """
 
 from __future__ import annotations

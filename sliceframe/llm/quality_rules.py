@@ -12,8 +12,10 @@ The classifier may be fitted on a bounded sample: at most ``fit_rows`` labelled
 documents, those with the smallest hash of the id. It is scored on all.
 
 Defined results: null text counts as empty (fails the base rule); null labels
-are ignored; repeated rows are judged alike; without labels there are no rules
-and only the base rule rejects; extra columns pass through.
+are ignored; repeated rows, and rows with a null id, are judged alike; texts of
+any length are measured whole; without labels there are no rules and only the
+base rule rejects; an empty table gives an empty result; extra columns pass
+through, but for one named as the result, which is replaced.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ shows to be small.
 
 Defined results: null or wordless text has no words and nothing removed; texts
 shorter than a window stay; repeated rows are other places, so their windows
-are repeated; an empty table gives an empty result; extra columns of
+are repeated, and a null id makes no difference; texts of any length are judged
+whole; an empty table gives an empty result; extra columns of
 any name pass through, but for one named as the result, which is replaced.
 """
 

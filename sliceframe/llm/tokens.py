@@ -10,8 +10,9 @@ proof fails has its texts encoded whole. The plan is map-only; the model's bytes
 and proof travel in a broadcast bounded by the vocabulary file.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); nothing is
-truncated; repeated rows are counted alike; an empty table gives an empty
-result; extra columns pass through.
+truncated, however long; repeated rows, and rows with a null id, are counted
+alike; an empty table gives an empty result; extra columns pass through, but for
+one named as the result, which is replaced.
 """
 
 from __future__ import annotations
