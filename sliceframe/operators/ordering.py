@@ -53,18 +53,29 @@ def gap_statistics(df: DataFrame, group: list[str], position: Column, order: lis
     )
 
 
-def average_rank(group: list[str], value: Column) -> Column:
+def twice_average_rank(group: list[str], value: Column) -> Column:
+    """A whole number, as average ranks may end in a half."""
     w = Window.partitionBy(*group)
     peers = F.count("*").over(Window.partitionBy(*group, value))
-    return F.rank().over(w.orderBy(value)) + (peers - 1) / F.lit(2.0)
+    return 2 * F.rank().over(w.orderBy(value)).cast("long") + peers - 1
+
+
+def average_rank(group: list[str], value: Column) -> Column:
+    return twice_average_rank(group, value) / F.lit(2.0)
 
 
 def spearman(df: DataFrame, group: list[str], x: Column, y: Column, digits: int = 6) -> DataFrame:
-    """Pearson correlation of average ranks; null if either side is constant."""
-    d = df.where(x.isNotNull() & y.isNotNull()).select(*group, average_rank(group, x).alias("_x"), average_rank(group, y).alias("_y"))
-    sx, sy = F.stddev_pop("_x"), F.stddev_pop("_y")
-    one = d.groupBy(*group).agg(F.count("*").alias("n"), sx.alias("sx"), sy.alias("sy"), F.covar_pop("_x", "_y").alias("c"))
-    rho = F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("c") / (F.col("sx") * F.col("sy")))
+    """Pearson correlation of average ranks; null if either side is constant.
+
+    Sums are whole numbers, so that a correlation of zero is zero in any order of the rows and has no direction.
+    """
+    d = df.where(x.isNotNull() & y.isNotNull()).select(*group, twice_average_rank(group, x).alias("_x"), twice_average_rank(group, y).alias("_y"))
+    total = lambda a, b: F.sum((F.col(a) * F.col(b)).cast("decimal(19,0)"))
+    one = d.groupBy(*group).agg(F.count("*").alias("n"), F.sum("_x").cast("decimal(19,0)").alias("s"), total("_x", "_x").alias("xx"), total("_y", "_y").alias("yy"), total("_x", "_y").alias("xy"))
+    # Ranks of either side have the same sum.
+    central = lambda c: F.col("n").cast("decimal(10,0)") * F.col(c) - F.col("s") * F.col("s")
+    one = one.select(*group, "n", *[central(c).cast("double").alias(c) for c in ("xx", "yy", "xy")])
+    rho = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / (F.sqrt("xx") * F.sqrt("yy")))
     return one.select(*group, "n", F.round(rho, digits).alias("rho"), F.when(rho > 0, "up").when(rho < 0, "down").alias("direction"))
 
 

@@ -68,6 +68,15 @@ def test_order_and_planes(spark):
     assert [r.h for r in hints] == ["sagittal", None, None]
 
 
+def test_no_correlation_has_no_direction(spark):
+    from itertools import islice, permutations
+
+    flat = list(islice((p for p in permutations(range(9)) if 2 * sum((a - b) ** 2 for a, b in enumerate(p)) == 9 * 80 // 3), 300))
+    d = spark.createDataFrame([(k, i, float(v)) for k, p in enumerate(flat) for i, v in enumerate(p)] + [(-1, i, float(i // 2)) for i in range(4)], "k int, x int, y double").repartition(5)
+    got = {r.k: (r.rho, r.direction) for r in ordering.spearman(d, ["k"], F.col("x"), F.col("y")).collect()}
+    assert got.pop(-1) == (0.894427, "up") and set(got.values()) == {(0.0, None)} and len(got) == 300
+
+
 def test_letterbox_and_normalize():
     import numpy as np
 
