@@ -64,3 +64,12 @@ def test_duplicates(spark):
     assert aggregates.duplicate_count(d, "t").first().asDict() == {"n_rows": 14, "n_keys": 5, "n_duplicates": 9}
     one = aggregates.content_duplicates(d.where("t is not null"), F.col("t"), "k", 3).collect()
     assert [(r.n, r.first_key, r.examples) for r in one] == [(9, 0, [0, 1, 2])]
+
+
+def test_first_file_is_the_first_by_number(spark):
+    from sliceframe.plans import health
+
+    # Files 10 and 2 of series 5 (10 comes first as text), and series 62, whose line 2 has no number.
+    lines = [(k, n, 1, s, 5.0) for k, n, s in [(5, 10, 1), (5, 2, 1), (62, 2, 1), (62, 3, 1), (62, 3, 2)]]
+    d = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    assert {r.series_id: (r.path, r.place) for r in health.first_file_of_series(lambda _: d).collect()} == {"S5": ("5/2-1-1", 1), "S62": ("62/3-1-1", 1)}
