@@ -1,4 +1,4 @@
-"""Geometry on arrays of doubles, inside whole-stage code generation."""
+"""Geometry on arrays of doubles."""
 
 from __future__ import annotations
 
@@ -12,15 +12,24 @@ def cross(a: list[Column], b: list[Column]) -> list[Column]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
-def unit(v: list[Column], least: float = 1e-8) -> Column:
-    n = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    return F.when(n >= least, F.array(*[x / n for x in v]))
+def bound(value: Column, body) -> Column:
+    """Evaluates ``value`` once a row for ``body``: repeated in generated code, it would make methods too long to be compiled."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unit(v: Column, least: float = 1e-8) -> Column:
+    length = lambda v: F.sqrt(dot(v, v))
+    return bound(v, lambda v: bound(length(v), lambda n: F.when(n >= least, F.transform(v, lambda x: x / n))))
 
 
 def slice_normal(iop: Column) -> Column:
     """Normalised cross product of row and column directions; null if short or degenerate."""
-    g = [F.get(iop, F.lit(i)).cast("double") for i in range(6)]
-    return F.when(F.size(iop) >= 6, unit(cross(g[:3], g[3:])))
+
+    def product(v: Column) -> Column:
+        g = [F.get(v, F.lit(i)).cast("double") for i in range(6)]
+        return F.when(F.size(v) >= 6, F.array(*cross(g[:3], g[3:])))
+
+    return unit(bound(iop, product))
 
 
 def dot(a: Column, b: Column) -> Column:

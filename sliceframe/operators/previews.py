@@ -55,7 +55,7 @@ def png(a, texts: dict[str, str] | None = None) -> bytes:
 
     rows, columns = a.shape
     # Each line starts with its filter: none.
-    lines = b"".join(b"\0" + a[i].tobytes() for i in range(rows))
+    lines = b"\0" + b"\0".join(map(bytes, a)) if rows else b""
     said = b"".join(chunk(b"iTXt", k.encode("latin-1") + b"\0\0\0\0\0" + v.encode()) for k, v in (texts or {}).items())
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", columns, rows, 8, 0, 0, 0, 0)) + said + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
@@ -76,17 +76,24 @@ def tile(values, rows: int, columns: int):
 
 def mosaic(tiles: list[dict], per_row: int | None = None):
     """Tiles (preview, rows, columns; null where not decoded) from left to right and top to bottom, each in the middle of a cell of the largest size."""
+    return placed([None if t["preview"] is None else tile(t["preview"], t["rows"], t["columns"]) for t in tiles], per_row)
+
+
+def placed(tiles: list, per_row: int | None = None):
+    """Tiles as arrays of bytes [rows, columns], or None for a crossed one, as one image."""
     import numpy as np
 
-    sizes = [(t["rows"], t["columns"]) for t in tiles if t["preview"] is not None]
+    sizes = [t.shape for t in tiles if t is not None]
     h, w = (max(s) for s in zip(*sizes)) if sizes else (32, 32)
     across = min(per_row or len(tiles), len(tiles)) or 1
     down = max(1, -(-len(tiles) // across))
     out = np.full((down * (h + GAP) - GAP, across * (w + GAP) - GAP), EMPTY, dtype=np.uint8)
     for i, t in enumerate(tiles):
-        r, c = (t["rows"], t["columns"]) if t["preview"] is not None else (h, w)
+        if t is None:
+            t = tile(None, h, w)
+        r, c = t.shape
         top, left = i // across * (h + GAP) + (h - r) // 2, i % across * (w + GAP) + (w - c) // 2
-        out[top : top + r, left : left + c] = tile(t["preview"], r, c)
+        out[top : top + r, left : left + c] = t
     return out
 
 
@@ -99,20 +106,35 @@ def mosaics(tiles: DataFrame, per_row: int | None = None) -> DataFrame:
     Groups are as large as the tiles that were picked for a series, never its slices. Title, captions and errors
     stand in the image's texts. A tile without a place says that its series has none: the image is one empty cell.
     """
+    # Spark gathers a series' tiles, as shades from 0 to 255; Python is called for a batch of series, not for each.
+    shades = F.transform("preview", lambda v: F.when(finite(v), F.floor(v * 255 + 0.5)).otherwise(0).cast("int"))
+    said = F.concat_ws(": ", "caption", F.concat(F.lit("decode error: "), F.nullif("error", F.lit(""))))
+    one = F.when(F.col("place").isNotNull(), F.struct("place", said.alias("said"), "rows", "columns", shades.alias("shades")))
+    bags = tiles.groupBy("study_id", "series_id").agg(F.first("name").alias("name"), F.first("title").alias("title"), F.collect_list(one).alias("tiles"))
 
-    def work(key, table):
+    def work(batches):
         import pyarrow as pa
 
-        rows = sorted((r for r in table.to_pylist() if r["place"] is not None), key=lambda r: r["place"])
-        first = table.slice(0, 1).to_pylist()[0]
-        a = mosaic(rows, per_row)
-        said = {"Title": first["title"] or "", "Description": "\n".join(": ".join(x for x in (r["caption"], r["error"] and f"decode error: {r['error']}") if x) for r in rows)}
-        errors = sum(r["preview"] is None for r in rows)
-        out = {"study_id": key[0].as_py(), "series_id": key[1].as_py(), "name": first["name"], "title": first["title"], "n_tiles": len(rows), "n_errors": errors, "width": a.shape[1], "height": a.shape[0], "image": png(a, said)}
-        s, i = pa.string(), pa.int32()
-        return pa.Table.from_pylist([out], schema=pa.schema([("study_id", s), ("series_id", s), ("name", s), ("title", s), ("n_tiles", i), ("n_errors", i), ("width", i), ("height", i), ("image", pa.binary())]))
-
-    return tiles.groupBy("study_id", "series_id").applyInArrow(work, MOSAIC)
+        for b in batches:
+            bag = b.column("tiles")
+            each = bag.flatten()
+            place, lines, rows, columns, found = (each.field(n) for n in ("place", "said", "rows", "columns", "shades"))
+            ends, there = found.offsets.to_pylist(), found.is_valid().to_pylist()
+            values = found.values.fill_null(0).to_numpy(zero_copy_only=False).astype("uint8")
+            place, lines, rows, columns = (x.to_pylist() for x in (place, lines, rows, columns))
+            out = {n: [] for n in ("n_tiles", "n_errors", "width", "height", "image")}
+            at = 0
+            for title, size in zip(b.column("title").to_pylist(), bag.value_lengths().to_pylist()):
+                order = sorted(range(at, at + size), key=place.__getitem__)
+                at += size
+                a = placed([values[ends[i] : ends[i + 1]].reshape(rows[i], columns[i]) if there[i] else None for i in order], per_row)
+                image = png(a, {"Title": title or "", "Description": "\n".join(lines[i] for i in order)})
+                for n, x in zip(out, (size, sum(not there[i] for i in order), a.shape[1], a.shape[0], image)):
+                    out[n].append(x)
+            made = [pa.array(v, type=pa.binary() if n == "image" else pa.int32()) for n, v in out.items()]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("study_id", "series_id", "name", "title")), *made], names=["study_id", "series_id", "name", "title", *out])
+
+    return bags.mapInArrow(work, MOSAIC)
 
 
 def png_bytes(image: bytes):

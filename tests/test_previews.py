@@ -72,6 +72,26 @@ def test_tiles_are_placed_by_row_and_column():
     assert previews.mosaic([]).shape == (32, 32)
 
 
+def test_python_is_called_for_a_batch_of_series(spark):
+    rows = [("T", s, f"{s}.png", s, p, f"idx {p}", None if (s, p) == ("S1", 1) else [0.0, None if p else 0.5, 1.0, NAN], 2, 2, "gone" if (s, p) == ("S1", 1) else None) for s in ("S0", "S1") for p in (1, 0)] + [("T", "S2", "S2.png", None, None, None, None, None, None, None)]
+    d = previews.mosaics(spark.createDataFrame(rows, "study_id string, series_id string, name string, title string, place int, caption string, preview array<double>, rows int, columns int, error string"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    got = {r.series_id: r for r in d.collect()}
+    assert [(r.n_tiles, r.n_errors, r.width, r.height) for r in (got["S0"], got["S1"], got["S2"])] == [(2, 0, 8, 2), (2, 1, 8, 2), (0, 0, 32, 32)]
+    assert previews.png_bytes(got["S0"].image).tolist() == [[0, 128, 0, 0, 0, 0, 0, 0], [255, 0, 0, 0, 0, 0, 255, 0]]
+    assert dict(previews.texts(got["S1"].image)) == {"Title": "S1", "Description": "idx 0\nidx 1: decode error: gone"}
+
+
+def test_a_normal_reads_its_orientation_once(spark):
+    from sliceframe.functions.vector import slice_normal
+
+    iops = [[0.0, 2.0, 0.0, 0.0, 0.0, -1.0], [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], [1.0] * 5, [1.0, 0.0, 0.0, None, 1.0, 0.0], None]
+    d = spark.createDataFrame([(x,) for x in iops], "iop array<double>").select(slice_normal(F.col("iop")).alias("n"))
+    assert [r.n for r in d.collect()] == [[-1.0, 0.0, 0.0], None, None, None, None]
+    assert d._jdf.queryExecution().optimizedPlan().toString().split("\n")[0].count("iop#") == 1
+
+
 def test_sink(spark, tmp_path):
     d = spark.range(6).select(F.concat(F.lit("i"), "id", F.lit(".png")).alias("name"), F.encode(F.col("id").cast("string"), "utf-8").alias("image"))
     for folder in (f"{tmp_path}/a b", f"file://{tmp_path}/c"):
