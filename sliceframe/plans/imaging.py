@@ -28,14 +28,15 @@ def decoded(t, photometric="CAST(NULL AS STRING)", *more):
 
 
 def chosen(t, config=CONFIG):
-    headers = health.headers(t)
-    return samples.ordered_slices(headers), samples.outcomes(health.info(t), config)
+    """Slots with their outcome, evaluated once, and the slices of the chosen series."""
+    slots = samples.kept_once(samples.outcomes(health.info(t), config))
+    return samples.slices_of(health.headers(t), slots.where("outcome = 'chosen'")), slots
 
 
 def stream(t, config=CONFIG):
     slices, slots = chosen(t, config)
     plans = samples.sample_plans(slots.where("outcome = 'chosen'"), slices, config)
-    return samples.folded(samples.channels(plans, slices, decoded(t)), config), slots
+    return samples.kept_once(samples.folded(samples.channels(plans, slices, decoded(t)), config)), slots
 
 
 #: The choice by slot with its outcome, and the slices in stage 2's order.

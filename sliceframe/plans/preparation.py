@@ -72,14 +72,10 @@ def preference(config: Mapping, slot: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for p in config["planes"] for x in (F.lit(p), F.lit(config["fluid_preference"].get(p)).cast("int"))]), slot)
 
 
-def candidates(info: DataFrame, config: Mapping) -> DataFrame:
-    """(study_id, slot, series_id, components, score, rnk, reasons): a row for each slot (plane of the settings) that a series may fill.
-
-    The listed plane has the spelling of the slots and the derived one has not, so in effect the listed one decides.
-    """
+def scored(may: DataFrame, config: Mapping) -> DataFrame:
+    """``may`` (series with a slot) with components, score and reasons."""
     weights = config["ranking_weights"]
-    may = info.withColumn("slot", F.explode(F.array(*map(F.lit, config["planes"])))).where((F.col("plane_csv") == F.col("slot")) | (F.col("plane") == F.col("slot")))
-    scored = may.withColumns({f"c_{k}": v for k, v in components(**limits(config)).items()} | {"preferred": preference(config, F.col("slot"))})
+    parts = may.withColumns({f"c_{k}": v for k, v in components(**limits(config)).items()} | {"preferred": preference(config, F.col("slot"))})
     match = F.when(F.col("preferred").isNotNull() & F.col("fluid").isNotNull(), (F.col("fluid") == F.col("preferred")).cast("double"))
     total = F.coalesce(match, F.lit(0.0)) * float(weights.get("fluid", 0.0))
     said = [F.when(match.isNotNull(), F.concat(F.lit("fluid_sensitive="), F.col("fluid").cast("string"), F.when(match == 1, F.lit(" == ")).otherwise(F.lit(" != ")), F.lit("preference "), F.col("preferred").cast("string")))]
@@ -87,7 +83,16 @@ def candidates(info: DataFrame, config: Mapping) -> DataFrame:
         w = float(weights.get(k, 0.0))
         total = total + F.col(f"c_{k}") * w
         said.append(F.concat(F.lit(f"{k}="), F.format_string("%.3f", F.bround(f"c_{k}", 3)), F.lit(f" x w={w:g}")))
-    done = scored.withColumns({"score": F.round(total, 6), "reasons": F.array_compact(F.array(*said))})
+    return parts.withColumns({"score": F.round(total, 6), "reasons": F.array_compact(F.array(*said))})
+
+
+def candidates(info: DataFrame, config: Mapping) -> DataFrame:
+    """(study_id, slot, series_id, components, score, rnk, reasons): a row for each slot (plane of the settings) that a series may fill.
+
+    The listed plane has the spelling of the slots and the derived one has not, so in effect the listed one decides.
+    """
+    may = info.withColumn("slot", F.explode(F.array(*map(F.lit, config["planes"])))).where((F.col("plane_csv") == F.col("slot")) | (F.col("plane") == F.col("slot")))
+    done = scored(may, config)
     return rank_candidates(done, ["study_id", "slot"], "score", F.col("n_slices"), F.col("series_id"))
 
 
@@ -100,6 +105,18 @@ def selection_report(info: DataFrame, config: Mapping) -> DataFrame:
     return done.select("study_id", "slot", preference(config, F.col("slot")).alias("fluid_preference"), F.col("best.series_id").alias("series_id"), F.col("best.score").alias("score"), F.coalesce("n", F.lit(0)).alias("n_candidates"), note.alias("note"))
 
 
+def best_candidates(info: DataFrame, config: Mapping, *kept: str) -> DataFrame:
+    """A row for each study and slot: n_candidates and the first one by rank (series_id and the columns ``kept``), null where none can be.
+
+    An aggregate, of which each task sends a row a study and slot, so that candidates are neither shuffled nor ranked among each other.
+    """
+    fits = (F.col("plane_csv") == F.col("slot")) | (F.col("plane") == F.col("slot"))
+    every = scored(info.withColumn("slot", F.explode(F.array(*map(F.lit, config["planes"])))), config)
+    key = F.when(F.coalesce(fits, F.lit(False)), F.struct((-F.col("score")).alias("score"), (-F.col("n_slices")).alias("n"), "series_id"))
+    best = every.groupBy("study_id", "slot").agg(F.count(key).alias("n_candidates"), F.min_by(F.struct("series_id", *kept), key).alias("best"))
+    return best.select("study_id", "slot", "n_candidates", *[F.col(f"best.{c}").alias(c) for c in ("series_id", *kept)])
+
+
 class SeriesQCError(ValueError):
     """A series is not usable and the mode is strict."""
 

@@ -34,6 +34,28 @@ SAMPLE = (
 )
 
 
+#: Tables of at most so many rows are sent to every task.
+SENT = 100_000
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """``df``, evaluated now and read from there: in the shared folder, or with the executors where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc.getCheckpointDir() else df.localCheckpoint()
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a table that is kept and has few rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
+
+
+def slices_of(headers: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The ordered slices of chosen series alone; a series that isn't chosen is neither shuffled nor sorted, if few are."""
+    return ordered_slices(headers.join(sent(kept_once(chosen.select(*GROUP).distinct())), GROUP, "left_semi"))
+
+
 def ordered_slices(headers: DataFrame) -> DataFrame:
     """Headers in stage 2's order, from idx 0, with positions where the series is spatially ready."""
     return order_rows(slice_positions(headers, GROUP, absolute=False), GROUP, F.col("position"), F.col("instance"), F.col("sop_uid"), stage=2)
@@ -41,12 +63,13 @@ def ordered_slices(headers: DataFrame) -> DataFrame:
 
 def outcomes(info: DataFrame, config: Mapping) -> DataFrame:
     """A row for each study and slot: outcome is no_candidate, unusable (with its reason) or chosen. In strict mode an unusable choice raises."""
-    judged = preparation.checked(info, config).select("study_id", "series_id", "n_slices", "method", "median_gap", "plane", "plane_csv", "usable", "issues")
-    slots = preparation.selection_report(info, config).join(judged, ["study_id", "series_id"], "left")
+    kept = ("n_slices", "method", "median_gap", "plane", "plane_csv", "usable", "issues")
+    slots = preparation.best_candidates(preparation.checked(info, config), config, *kept)
     if config["mode"] == "strict":
         preparation.enforce(slots.where("series_id is not null").select("series_id", "usable", F.col("issues.code").alias("codes")), "strict")
     outcome = F.when(F.col("series_id").isNull(), "no_candidate").when(F.col("usable"), "chosen").otherwise("unusable")
-    reason = F.when(outcome == "no_candidate", F.col("note")).when(outcome == "unusable", F.array_join(F.transform("issues", lambda i: F.concat(i["code"], F.lit(": "), i["detail"])), "; "))
+    note = F.concat(F.lit("no candidate series matches plane "), F.col("slot"))
+    reason = F.when(outcome == "no_candidate", note).when(outcome == "unusable", F.array_join(F.transform("issues", lambda i: F.concat(i["code"], F.lit(": "), i["detail"])), "; "))
     return slots.select(*SLOT, "n_slices", "method", "median_gap", "plane", "plane_csv", outcome.alias("outcome"), reason.alias("reason"))
 
 
@@ -97,8 +120,9 @@ def channels(plans: DataFrame, slices: DataFrame, decoded: DataFrame) -> DataFra
     # A path is one file: where it stands twice, either row has its pixels. Only paths that a plan names are looked for.
     own = decoded.select("path", F.struct("pixels", "rows", "columns", "slope", F.col("photometric").alias("decoded_photometric"), "error").alias("payload"))
     here = slices.select(*GROUP, "idx", "position", "sop_uid", "path", "photometric")
-    wanted = each.join(here, [*GROUP, "idx"], "left")
-    needed = own.join(wanted.select("path").distinct(), "path", "left_semi").dropDuplicates(["path"])
+    # Kept, so that few paths can be sent to the files: else all their pixels would be shuffled to meet them.
+    wanted = kept_once(each.join(here, [*GROUP, "idx"], "left"))
+    needed = own.join(sent(kept_once(wanted.select("path").distinct())), "path", "left_semi").dropDuplicates(["path"])
     return wanted.join(needed, "path", "left")
 
 
@@ -168,10 +192,10 @@ def process(headers: DataFrame, attributes: DataFrame, decoded: DataFrame, confi
     there whole are taken from it (they have no notes), and those processed without a note are put there.
     """
     spark = headers.sparkSession
-    slices = ordered_slices(headers)
     slots = outcomes(preparation.series_info(headers, attributes, epsilon=config["duplicate_position_epsilon_mm"]), config)
     slots.write.mode("overwrite").parquet(f"{dest}/outcomes")
     chosen = spark.read.parquet(f"{dest}/outcomes").where("outcome = 'chosen'")
+    slices = slices_of(headers, chosen)
     cache = config["cache_dir"] if config["cache_enabled"] else None
     hits = None
     if cache:

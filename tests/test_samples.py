@@ -207,3 +207,25 @@ def test_study_batches(spark):
     assert order == [(s, k) for s in ("Coronal", "Axial") for k in range(5)]
     with pytest.raises(ValueError):
         samples.study_batches(studies, samples.samples(done), labels, names, config, mode="test")
+
+
+def test_neither_pixels_nor_candidates_are_shuffled(spark):
+    rows = series("A", 5) + series("B", 7) + series("C", 7) + series("D", 4, study="U")
+    headers, attributes, decoded = tables(spark, rows, [("T", "A", "Axial", 1), ("T", "B", "Axial", 0), ("T", "C", "Axial", 0), ("U", "D", None, 0)], pictures(rows))
+    info = preparation.series_info(headers, attributes)
+    slots = samples.outcomes(info, CONFIG)
+    report = {(r.study_id, r.slot): (r.series_id, r.n_candidates) for r in preparation.selection_report(info, CONFIG).collect()}
+    assert {(r.study_id, r.slot): (r.series_id, r.n_candidates) for r in preparation.best_candidates(info, CONFIG).collect()} == report and report["T", "Axial"][1] == 3
+    assert {(r.study_id, r.slot): r.series_id for r in slots.collect()} == {k: v[0] for k, v in report.items()}
+    # The series' own windows and one scan of the attributes, not one each time they are needed.
+    assert slots._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = slots.where("outcome = 'chosen'")
+        slices = samples.ordered_slices(headers)
+        read = samples.channels(samples.sample_plans(chosen, slices, CONFIG), slices, decoded)
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert read.count() == 3 * 3 and "BroadcastHashJoin [path" in plan and "LeftSemi" in plan.split("BroadcastHashJoin [path")[1].split("\n")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
