@@ -149,3 +149,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["series"][0]["plane"] == "sagittal"
     assert main(["study-summary", root, "--study", "none"]) == 2
     assert main(["inspect", str(tmp_path / "missing")]) == 2
+
+
+def test_an_element_costs_no_calls(tmp_path):
+    import sys
+
+    image(tmp_path / "1")
+    data, calls = (tmp_path / "1").read_bytes(), []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        got = dicom.header(data)
+    finally:
+        sys.setprofile(None)
+    # Only the sequence of undefined length is walked by calls.
+    assert got["kind"] == "dicom" and got["Rows"] and calls.count("skip") <= 1
