@@ -53,23 +53,25 @@ def gap_statistics(df: DataFrame, group: list[str], position: Column, order: lis
     )
 
 
-def twice_average_rank(group: list[str], value: Column) -> Column:
-    """A whole number, as average ranks may end in a half."""
+def twice_average_rank(group: list[str], value: Column, *, missing_last: bool = False) -> Column:
+    """A whole number, as average ranks may end in a half; nulls are equals before all values, or behind them."""
     w = Window.partitionBy(*group)
     peers = F.count("*").over(Window.partitionBy(*group, value))
-    return 2 * F.rank().over(w.orderBy(value)).cast("long") + peers - 1
+    return 2 * F.rank().over(w.orderBy(value.asc_nulls_last() if missing_last else value)).cast("long") + peers - 1
 
 
 def average_rank(group: list[str], value: Column) -> Column:
     return twice_average_rank(group, value) / F.lit(2.0)
 
 
-def spearman(df: DataFrame, group: list[str], x: Column, y: Column, digits: int = 6) -> DataFrame:
+def spearman(df: DataFrame, group: list[str], x: Column, y: Column, digits: int = 6, *, missing_last: bool = False) -> DataFrame:
     """Pearson correlation of average ranks; null if either side is constant.
 
+    Rows without y are left out, and those without x, unless ``missing_last`` ranks them behind all others.
     Sums are whole numbers, so that a correlation of zero is zero in any order of the rows and has no direction.
     """
-    d = df.where(x.isNotNull() & y.isNotNull()).select(*group, twice_average_rank(group, x).alias("_x"), twice_average_rank(group, y).alias("_y"))
+    kept = y.isNotNull() if missing_last else x.isNotNull() & y.isNotNull()
+    d = df.where(kept).select(*group, twice_average_rank(group, x, missing_last=missing_last).alias("_x"), twice_average_rank(group, y).alias("_y"))
     total = lambda a, b: F.sum((F.col(a) * F.col(b)).cast("decimal(19,0)"))
     one = d.groupBy(*group).agg(F.count("*").alias("n"), F.sum("_x").cast("decimal(19,0)").alias("s"), total("_x", "_x").alias("xx"), total("_y", "_y").alias("yy"), total("_x", "_y").alias("xy"))
     # Ranks of either side have the same sum.

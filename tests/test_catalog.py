@@ -77,6 +77,16 @@ def test_no_correlation_has_no_direction(spark):
     assert got.pop(-1) == (0.894427, "up") and set(got.values()) == {(0.0, None)} and len(got) == 300
 
 
+def test_events_without_id_rank_last(spark, tmp_path):
+    rows = [(None if (k * 13 + i * i) % 7 == 0 else i // 2 if k % 3 else i, k, None if i == 4 else float((i * 37 + k * k) % 11)) for k in range(40) for i in range(30)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["spearman_order"](spark, str(tmp_path)).select("user_id", "n", "rho", "direction").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT user_id, n, rho, direction FROM ({catalog.ORACLES['spearman_order']})").fetchall()
+    assert normal(tuple(r) for r in got) == normal(want) and all(r.n == 29 and abs(r.rho) > 1e-6 for r in got)
+
+
 def test_letterbox_and_normalize():
     import numpy as np
 
