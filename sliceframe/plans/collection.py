@@ -21,13 +21,16 @@ FIRST = {
 }
 
 
+def keyed(headers: DataFrame) -> DataFrame:
+    """Headers with the keys of their study and series."""
+    return headers.withColumns({"study_id": F.coalesce("StudyInstanceUID", F.lit("MISSING_STUDY")), "series_id": F.coalesce("SeriesInstanceUID", F.lit("MISSING_SERIES"))})
+
+
 def slice_table(headers: DataFrame) -> DataFrame:
     """Valid headers with group keys, usable geometry, position, method and idx (from 0)."""
     c = F.col
     d = headers if "read_error" in headers.columns else headers.withColumn("read_error", F.lit(None).cast("string"))
-    d = d.where("kind = 'dicom'").withColumns({
-        "study_id": F.coalesce(c("StudyInstanceUID"), F.lit("MISSING_STUDY")),
-        "series_id": F.coalesce(c("SeriesInstanceUID"), F.lit("MISSING_SERIES")),
+    d = keyed(d.where("kind = 'dicom'")).withColumns({
         "sop_uid": F.coalesce(c("SOPInstanceUID"), F.concat(F.lit("MISSING_SOP::"), c("path"))),
         "iop": F.when(F.size("ImageOrientationPatient") >= 6, F.slice("ImageOrientationPatient", 1, 6)),
         "ipp": F.when(F.size("ImagePositionPatient") == 3, c("ImagePositionPatient")),
@@ -105,6 +108,17 @@ def scan_counts(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count_distinct("study_id").alias("n_studies"), F.count("*").alias("n_series"), n("VALID"), n("WARNING"), n("INVALID"))
 
 
+def scan_summary(headers: DataFrame) -> DataFrame:
+    """Files by kind, with the studies and series that the readable ones make, in one row and one pass over the headers."""
+    one = keyed(headers).groupBy("kind", *GROUP).agg(F.count("*").alias("n"))
+    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0).cast("long"))
+    good = F.col("kind") == "dicom"
+    return one.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("files_seen"), of("dicom").alias("dicom_valid"), of("unreadable").alias("dicom_unreadable"), of("not_dicom").alias("not_dicom"),
+        F.count_distinct(F.when(good, F.col("study_id"))).alias("n_studies"), F.count_if(good).alias("n_series"),
+    )
+
+
 def write_manifests(checked: DataFrame, found_issues: DataFrame, dest: str, root: str = "") -> None:
     """Manifest as CSV and JSON, issues as CSV, study summaries as JSON; folders under ``dest`` are replaced."""
     # Ordering and validation of all slices run once; four sinks read their result.

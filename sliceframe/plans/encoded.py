@@ -10,6 +10,7 @@ import struct
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sliceframe.functions.vector import bound
 from sliceframe.plans import health
 from sliceframe.plans.catalog import query
 from sliceframe.plans.imaging import COLUMNS, ROWS, WINDOW
@@ -27,38 +28,50 @@ FIELDS = {
 }
 
 
+#: Every byte by its value, and by l_partkey % 251 the pixels of the largest file: lookups that Spark compiles, where functions of arrays are interpreted.
+BYTES, MOST = bytes(range(256)), 24
+PIXELS_OF = bytes(key * (i + 1) % 251 for key in range(251) for i in range(MOST))
+
+
 def small(n: Column) -> Column:
     """Two bytes, the lower one first."""
-    byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
-    return F.unhex(F.concat(byte(n % 256), byte(F.floor(n / 256))))
+    byte = lambda x: F.substring(F.lit(BYTES), x.cast("int") + 1, F.lit(1))
+    return F.concat(byte(n % 256), byte(F.shiftright(n, 8)))
 
 
 def element(tag: int, vr: str, raw: Column, explicit: Column) -> Column:
     """An encoded element of even length below 65536; nothing for null."""
-    even = F.concat(raw, F.when(F.length(raw) % 2 == 1, F.lit(b" ")).otherwise(F.lit(b"")))
-    n = small(F.length(even))
+    odd = F.length(raw) % 2
+    n = small(F.length(raw) + odd)
     head, empty = F.lit(struct.pack("<HH", tag >> 16, tag & 0xFFFF)), F.lit(b"\0\0")
     size = F.concat(F.lit(vr.encode()), empty, n, empty) if vr.encode() in dicom.LONG else F.concat(F.lit(vr.encode()), n)
-    return F.coalesce(F.concat(head, F.when(explicit, size).otherwise(F.concat(n, empty)), even), F.lit(b""))
+    return F.coalesce(F.concat(head, F.when(explicit, size).otherwise(F.concat(n, empty)), raw, F.substring(F.lit(b" "), F.lit(1), odd)), F.lit(b""))
 
 
 def files(t) -> DataFrame:
-    """(path, content) of a file for each line item."""
-    c = F.col
+    """(path, content) of a file for each line item.
+
+    Spark would make one method of all projections, too long for the JVM to compile; a function of an array keeps a projection out of it.
+    """
+    c, apart = F.col, bound(F.col("path"), lambda p: p).alias("path")
     d = t("lineitem").selectExpr("*", *[f"{e} AS {n}" for n, e in (health.FILE | WINDOW).items() if n not in ("rows", "columns")], f"{ROWS} AS r", f"{COLUMNS} AS c").selectExpr("*", f"{health.IOP} AS iop", f"{health.IPP} AS ipp")
-    d = d.selectExpr("path", "syntax", f"{JUNK} AS junk", f"{CUT} AS cut", f"{SHORT} AS short", f"transform(sequence(0, r * c - 1), i -> lpad(hex(CAST({PIXEL} AS BIGINT)), 2, '0')) AS bytes", *[f"{e} AS `{n}`" for n, e in FIELDS.items()])
+    pixels = F.substring(F.lit(PIXELS_OF), (c("l_partkey") % 251 * MOST).cast("int") + 1, c("r") * c("c"))
+    d = d.select(apart, "syntax", *[F.expr(e).alias(n) for n, e in {"junk": JUNK, "cut": CUT, "short": SHORT}.items()], F.coalesce(pixels, F.lit(b"")).alias("bytes"), *[F.expr(e).alias(n) for n, e in FIELDS.items()])
     explicit = c("syntax") != dicom.IMPLICIT
 
     def raw(name: str) -> Column:
         if KINDS.get(name) == "US":
             return small(c(name))
-        text = F.array_join(F.transform(c(name), lambda x: x.cast("string")), "\\") if name in dicom.VECTORS else c(name).cast("string")
+        text = F.array_join(c(name).cast("array<string>"), "\\") if name in dicom.VECTORS else c(name).cast("string")
         return text.cast("binary")
 
-    whole = [element(dicom.FIELDS[n], KINDS.get(n, "LO"), raw(n), explicit) for n in sorted(FIELDS, key=dicom.FIELDS.get)]
-    pixels = element(dicom.PIXELS, "OW", F.unhex(F.array_join("bytes", "")), explicit)
-    body = F.concat(F.lit(b"\0" * 128 + b"DICM"), element(dicom.FIELDS["TransferSyntaxUID"], "UI", c("syntax").cast("binary"), F.lit(True)), *whole, pixels)
-    content = F.when(c("junk"), F.lit(b"no image")).when(c("cut"), F.substring(body, 1, 170)).when(c("short"), F.substring(body, 1, F.length(body) - 3)).otherwise(body)
+    # Values first, as an element names its value more than once.
+    d = d.select(apart, "junk", "cut", "short", explicit.alias("explicit"), c("syntax").cast("binary").alias("syntax"), "bytes", *[raw(n).alias(n) for n in FIELDS])
+    whole = [element(dicom.FIELDS[n], KINDS.get(n, "LO"), c(n), c("explicit")) for n in sorted(FIELDS, key=dicom.FIELDS.get)]
+    pixels = element(dicom.PIXELS, "OW", c("bytes"), c("explicit"))
+    d = d.select(apart, "junk", "cut", "short", F.concat(F.lit(b"\0" * 128 + b"DICM"), element(dicom.FIELDS["TransferSyntaxUID"], "UI", c("syntax"), F.lit(True)), *whole, pixels).alias("body"))
+    body = c("body")
+    content = F.when(c("junk"), F.lit(b"no image")).when(c("cut"), F.substring(body, 1, 170)).when(c("short"), F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body)
     return d.select("path", content.alias("content"))
 
 
@@ -81,9 +94,7 @@ def dicom_headers(t):
 @query(f"WITH {ROWS_OF} SELECT count(*) AS files_seen, count(CASE WHEN kind = 'dicom' THEN 1 END) AS dicom_valid, count(CASE WHEN kind = 'unreadable' THEN 1 END) AS dicom_unreadable, count(CASE WHEN kind = 'not_dicom' THEN 1 END) AS not_dicom, count(DISTINCT CASE WHEN kind = 'dicom' THEN study_id END) AS n_studies, count(DISTINCT CASE WHEN kind = 'dicom' THEN series_id END) AS n_series FROM h")
 def dicom_scan(t):
     """A scan's counters, with the studies and series that stage 1 makes of its headers."""
-    headers = dicom.headers_of(files(t))
-    series = health.collection.validated(health.collection.series_table(health.collection.slice_table(headers)))
-    return dicom.scan_counts(headers).join(health.collection.scan_counts(series).select("n_studies", "n_series"), F.lit(True))
+    return health.collection.scan_summary(dicom.headers_of(files(t)))
 
 
 @query(f"""WITH {ROWS_OF}, p AS (SELECT path, row_number() OVER () AS k, * EXCLUDE (path) FROM h), x AS (SELECT k, avg(v) AS mean, min(v) AS least, max(v) AS most, sum(i * v) AS weighted FROM (SELECT k, i, {PIXEL} * coalesce(slope, 1) AS v FROM (SELECT *, unnest(range(0, r * c)) AS i FROM p)) GROUP BY k)

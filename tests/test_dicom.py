@@ -163,3 +163,26 @@ def test_an_element_costs_no_calls(tmp_path):
         sys.setprofile(None)
     # Only the sequence of undefined length is walked by calls.
     assert got["kind"] == "dicom" and got["Rows"] and calls.count("skip") <= 1
+
+
+def test_a_scan_parses_each_file_once(spark, tmp_path):
+    from sliceframe.plans import catalog
+
+    plan = catalog.queries()["dicom_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    for n in range(1, 5):
+        image(tmp_path / str(n), series=f"1.{n % 2}", study=str(n % 2 or ""), number=n)
+    (tmp_path / "x").write_bytes(b"no image")
+    (tmp_path / "y").write_bytes(b"\0" * 128 + b"DICM" + b"\xff" * 80)
+    assert tuple(collection.scan_summary(dicom.scan_headers(spark, str(tmp_path))).first()) == (6, 4, 1, 1, 2, 2)
+    assert tuple(collection.scan_summary(dicom.scan_headers(spark, str(tmp_path)).limit(0)).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_files_share_values_but_no_lists(tmp_path):
+    known = {}
+    for n in (1, 2, 3):
+        image(tmp_path / str(n), number=n, ipp=(n, 0, 0), sop=f"u{n}")
+        data = (tmp_path / str(n)).read_bytes()
+        assert dicom.header(data, known) == (one := dicom.header(data, known)) == dicom.header(data)
+        one["ImageOrientationPatient"].append(7.0)
+    assert known and len(dicom.header(data, known)["ImageOrientationPatient"]) == 6
